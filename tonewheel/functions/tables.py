@@ -69,4 +69,4 @@ CLASS_IDS = {
 TRUTH_FIELDS = {"dcase20": 3, "dcase21": 2, "dcase22": 2, "dcase23": 2, "dcase24": 2, "dcase25": 2}
 
 # Suffixes of archives in link pages.
-ARCHIVE_SUFFIXES = [".zip", ".rar", ".7z", ".tgz", ".tar.gz", ".tar", ".gz"]
+ARCHIVE_SUFFIXES = [".zip", ".rar", ".tar", ".gz", ".bz2", ".7z"]
