@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once; a plain column expression inside a lambda runs per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
 
@@ -15,14 +22,12 @@ def mean(x: Column) -> Column:
 
 
 def deviation(x: Column, ddof: int = 1) -> Column:
-    m = mean(x)
-    squares = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
+    squares = let(mean(x), lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)))
     return F.when(F.size(x) > ddof, F.sqrt(squares / F.nullif(F.size(x) - ddof, F.lit(0))))
 
 
 def centered(x: Column) -> Column:
-    m = mean(x)
-    return F.transform(x, lambda v: v - m)
+    return let(mean(x), lambda m: F.transform(x, lambda v: v - m))
 
 
 def padded(x: Column, win: int) -> Column:
@@ -47,8 +52,10 @@ def valid_frames(valid: Column, n_fft: int, hop: int, frames: Column) -> Column:
 
 def mono(channels: Column) -> Column:
     """Mean over an array of equally long channels."""
-    n = F.size(channels)
-    return F.transform(channels[0], lambda _, i: F.aggregate(channels, F.lit(0.0), lambda a, c: a + c[i]) / n)
+    def average(cs: Column) -> Column:
+        return F.transform(cs[0], lambda _, i: F.aggregate(cs, F.lit(0.0), lambda a, c: a + c[i]) / F.size(cs))
+
+    return let(channels, average)
 
 
 def every_kth(x: Column, k: int) -> Column:
@@ -63,8 +70,7 @@ def decimated(x: Column, rate: int, target: int) -> Column:
 
 
 def gained(x: Column, decibel: Column) -> Column:
-    factor = F.pow(F.lit(10.0), decibel / 20)
-    return F.transform(x, lambda v: v * factor)
+    return let(F.pow(F.lit(10.0), decibel / 20), lambda factor: F.transform(x, lambda v: v * factor))
 
 
 def norm(x: Column) -> Column:
@@ -73,8 +79,7 @@ def norm(x: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """Vector over its length; the zero vector stays."""
-    n = norm(x)
-    return F.transform(x, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(v.cast("double")))
+    return let(norm(x), lambda n: F.transform(x, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(v.cast("double"))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -92,9 +97,8 @@ def cosine_from_squared(d: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    powers = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(powers, lambda p: p / total(powers))
+    powers = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(powers, lambda p: let(total(p), lambda t: F.transform(p, lambda v: v / t)))
 
 
 def argmax(x: Column) -> Column:
@@ -105,19 +109,26 @@ def standardised(x: Column, mean_: float | None = None, std: float | None = None
     """``(v - mean) / (std * coeff)`` over all entries of a vector, given or own statistics."""
     if mean_ is not None and std is not None:
         return F.transform(x, lambda v: (v - mean_) / (std * coeff))
-    m, s = mean(x), deviation(x)
-    return F.transform(x, lambda v: (v - m) / (s * coeff + 1e-10))
+    facts = let(x, lambda y: F.struct(y.alias("y"), mean(y).alias("m"), deviation(y).alias("s")))
+    return let(facts, lambda f: F.transform(f["y"], lambda v: (v - f["m"]) / (f["s"] * coeff + 1e-10)))
 
 
 def standardised_matrix(m: Column, per_band: bool, coeff: float = 1.0) -> Column:
     """Frames by bands; over everything, or per band over time."""
+    def facts(values: Column) -> Column:
+        return F.struct(mean(values).alias("m"), deviation(values).alias("s"))
+
+    def scaled(v: Column, f: Column) -> Column:
+        return (v - f["m"]) / (f["s"] * coeff + 1e-10)
+
     if not per_band:
-        flat = F.flatten(m)
-        mu, sd = mean(flat), deviation(flat)
-        return F.transform(m, lambda row: F.transform(row, lambda v: (v - mu) / (sd * coeff + 1e-10)))
-    bands = F.transform(m[0], lambda _, i: F.transform(m, lambda row: row[i]))
-    facts = F.transform(bands, lambda b: F.struct(mean(b).alias("m"), deviation(b).alias("s")))
-    return F.transform(m, lambda row: F.zip_with(row, facts, lambda v, f: (v - f["m"]) / (f["s"] * coeff + 1e-10)))
+        return let(
+            let(F.flatten(m), facts), lambda f: F.transform(m, lambda row: F.transform(row, lambda v: scaled(v, f)))
+        )
+    bands_ = F.transform(m[0], lambda _, i: F.transform(m, lambda row: row[i]))
+    return let(
+        F.transform(bands_, facts), lambda fs: F.transform(m, lambda row: F.zip_with(row, fs, scaled))
+    )
 
 
 def fixed_frames(m: Column, frames: int, min_bands: int) -> Column:

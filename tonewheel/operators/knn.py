@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tonewheel.operators.skew import top_k
 
 BLOCK_ROWS = 8192
+MIN_BLOCK_ROWS = 256
 BROADCAST_GROUPS = 100_000
 SLAB = 1024
 TIE_DECIMALS = 9
@@ -134,13 +135,13 @@ def knn_join(
         ]
     )
     on = [*keys, "_block", "_strip"]
-    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
+    left, right = _fresh(left), _fresh(right)
     passed = [*keys, "_id", *carry]
+    nothing = test.sparkSession.createDataFrame([], schema).toArrow()
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
-            empty = a.select(passed).slice(0, 0)
-            return _with_hits(empty, np.zeros(0), np.zeros(0), b["_id"].slice(0, 0))
+            return nothing
         q, t = matrix(a["_vec"]), matrix(b["_vec"])
         if metric == "cosine":
             q, t = unit_rows(q), unit_rows(t)
@@ -160,6 +161,11 @@ def knn_join(
     return hits.select(*out_keys, F.col("_id").alias(test_id), *carry, "rank", "dist", "neighbour")
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities: both sides of a co-group may stem from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _with_hits(head: pa.Table, rank: np.ndarray, dist: np.ndarray, ids) -> pa.Table:
     out = head.append_column("rank", pa.array(rank.astype(np.int32)))
     return out.append_column("dist", pa.array(dist.astype(np.float64))).append_column("neighbour", ids)
@@ -184,7 +190,9 @@ def knn_runs(
     carry = list(carry)
     base = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"), *carry)
     rows = base.count()
-    blocks = max(1, -(-rows // block_rows))
+    # enough cells for the cluster, but none so small that the product is not worth a task
+    spread = min(int(np.ceil(np.sqrt(vectors.sparkSession.sparkContext.defaultParallelism))), rows // MIN_BLOCK_ROWS)
+    blocks = max(1, -(-rows // block_rows), spread)
     own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = base.withColumn("_strip", own).withColumn("_block", every)
@@ -199,29 +207,27 @@ def knn_runs(
         ]
     )
     passed = ["_id", *carry]
+    nothing = vectors.sparkSession.createDataFrame([], schema).toArrow()
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        q, t = matrix(a["_vec"]), matrix(b["_vec"])
-        tables = []
-        if len(q) and len(t):
-            q, t = unit_rows(q), unit_rows(t)
-            in_test, in_train = matrix(a["_test"]) > 0.5, matrix(b["_test"]) < 0.5
-            ids = b["_id"].to_numpy()
-            for start in range(0, len(q), SLAB):
-                d = distances(q[start : start + SLAB], t, "cosine")
-                for run in range(runs):
-                    te = np.nonzero(in_test[start : start + SLAB, run])[0]
-                    tr = np.nonzero(in_train[:, run])[0]
-                    r, c, rank = best_k(d[np.ix_(te, tr)], ids[tr], k)
-                    head = a.select(passed).take(te[r] + start)
-                    head = head.add_column(0, "run", pa.array(np.full(len(r), run, dtype=np.int32)))
-                    tables.append(_with_hits(head, rank + 1, d[te[r], tr[c]], b["_id"].take(tr[c])))
-        if tables:
-            return pa.concat_tables(tables)
-        head = a.select(passed).slice(0, 0).add_column(0, "run", pa.array([], pa.int32()))
-        return _with_hits(head, np.zeros(0), np.zeros(0), b["_id"].slice(0, 0))
+        if a.num_rows == 0 or b.num_rows == 0:
+            return nothing
+        q, t = unit_rows(matrix(a["_vec"])), unit_rows(matrix(b["_vec"]))
+        in_test, in_train = matrix(a["_test"]) > 0.5, matrix(b["_test"]) < 0.5
+        ids, tables = b["_id"].to_numpy(), []
+        for start in range(0, len(q), SLAB):
+            d = distances(q[start : start + SLAB], t, "cosine")
+            for run in range(runs):
+                te = np.nonzero(in_test[start : start + SLAB, run])[0]
+                tr = np.nonzero(in_train[:, run])[0]
+                r, c, rank = best_k(d[np.ix_(te, tr)], ids[tr], k)
+                head = a.select(passed).take(te[r] + start)
+                head = head.add_column(0, "run", pa.array(np.full(len(r), run, dtype=np.int32)))
+                tables.append(_with_hits(head, rank + 1, d[te[r], tr[c]], b["_id"].take(tr[c])))
+        return pa.concat_tables(tables)
 
     on = ["_block", "_strip"]
+    left, right = _fresh(left), _fresh(right)
     hits = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, schema)
     if blocks > 1:
         hits = top_k(hits.drop("rank"), ["run", "_id"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
