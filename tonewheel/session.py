@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,20 @@ def local_session(cpus: int | str | None = None, app: str = "tonewheel") -> Spar
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a session without one gets its own, once."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tonewheel-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Cut the lineage: write the rows to the shared folder once and go on from the written table.
 
-    The directory is the one the cluster names in ``spark.checkpoint.dir``; only a session without
-    one (a test) gets a temporary directory.
+    A lost executor then costs a re-read, never a second search, and later joins see a real size.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tonewheel-ckpt-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

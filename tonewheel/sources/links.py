@@ -28,25 +28,33 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(closed, "/")
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """``href`` as seen from the page ``base``."""
-    site = F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*):", 1)
+def page_facts(base: Column) -> Column:
+    """What resolving needs to know of a page, worked out once per page."""
     page = F.regexp_replace(base, r"#.*$", "")
     plain = F.regexp_replace(page, r"\?.*$", "")
-    folder = F.concat(site, F.lit("/"), F.regexp_extract(plain, r"^[a-zA-Z][\w+.\-]*://[^/]*/(.*/)?", 1))
+    return F.struct(
+        F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*://[^/?#]*)", 1).alias("site"),
+        F.regexp_extract(base, r"^([a-zA-Z][\w+.\-]*):", 1).alias("scheme"),
+        page.alias("page"),
+        plain.alias("plain"),
+        F.regexp_extract(plain, r"^[a-zA-Z][\w+.\-]*://[^/]*(/(?:.*/)?)", 1).alias("folder"),
+    )
+
+
+def absolute(facts: Column, href: Column) -> Column:
+    """``href`` as seen from the page with these facts."""
     target = F.regexp_extract(href, r"^([^?#]*)", 1)
     rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
-    from_root = F.concat(site, _without_dots(target))
-    below = F.substring(F.concat(folder, target), F.length(site) + 1, F.lit(1 << 20))
+    folder = F.when(facts["folder"] == "", "/").otherwise(facts["folder"])
+    path = F.when(F.startswith(href, F.lit("/")), target).otherwise(F.concat(folder, target))
+    dotted = F.contains(path, F.lit("/."))
     return (
         F.when(F.rlike(href, F.lit(r"^[a-zA-Z][\w+.\-]*:")), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(href == "", page)
-        .when(F.startswith(href, F.lit("#")), F.concat(page, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(plain, href))
-        .when(F.startswith(href, F.lit("/")), F.concat(from_root, rest))
-        .otherwise(F.concat(site, _without_dots(below), rest))
+        .when(F.startswith(href, F.lit("//")), F.concat(facts["scheme"], F.lit(":"), href))
+        .when(href == "", facts["page"])
+        .when(F.startswith(href, F.lit("#")), F.concat(facts["page"], href))
+        .when(F.startswith(href, F.lit("?")), F.concat(facts["plain"], href))
+        .otherwise(F.concat(facts["site"], F.when(dotted, _without_dots(path)).otherwise(path), rest))
     )
 
 
@@ -62,9 +70,11 @@ def is_below(url: Column, base: str | Column) -> Column:
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(page, link)`` for every anchor, absolute, one row per distinct pair."""
     found = pages.select(
-        F.col(url).alias("page"), F.explode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("href")
+        F.col(url).alias("page"),
+        page_facts(F.col(url)).alias("_p"),
+        F.explode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("href"),
     )
-    link = absolute(F.col("page"), F.trim(F.regexp_replace("href", "&amp;", "&")))
+    link = absolute(F.col("_p"), F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))))
     return found.select("page", link.alias("link")).distinct()
 
 

@@ -332,10 +332,11 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("encode_and_pool", f"""WITH {WINDOWS}, z AS (SELECT user_id, seg, sum(v) / {WIN} AS m, sum(v * v) / {WIN} AS e, least(min(v), CASE WHEN count(*) < {WIN} THEN 0 ELSE min(v) END) AS lo, greatest(max(v), CASE WHEN count(*) < {WIN} THEN 0 ELSE max(v) END) AS hi FROM c GROUP BY ALL),
-l AS (SELECT user_id, [m, sqrt(greatest(e - m * m, 0)), lo, hi, e] AS x FROM z)
-SELECT user_id, i - 1 AS i, round(avg(x[i]), 6) + 0.0 AS v FROM l, unnest(range(1, 6)) AS r(i) GROUP BY ALL""")
+l AS (SELECT user_id, [m, sqrt(greatest(e - m * m, 0)), lo, hi, e] AS x FROM z),
+p AS (SELECT user_id, i - 1 AS i, avg(x[i]) AS v FROM l, unnest(range(1, 6)) AS r(i) GROUP BY ALL)
+SELECT user_id, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY user_id)), 6) + 0.0 AS v FROM p""")
 def encode_and_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows through the default encoder, file vectors by mean; the first five dimensions."""
+    """Windows through the default encoder, file vectors by mean; the first five dimensions at unit length."""
     enc = features.encode(windows(spark, sf).select("user_id", "x"))
     pooled = pooling.pool_vectors(enc.select("user_id", "emb"), ["user_id"], "mean", dim=13)
-    return spread(pooled.withColumn("x", F.slice("emb", 1, 5)), "user_id")
+    return spread(pooled.withColumn("x", arrays.unit(F.slice("emb", 1, 5))), "user_id")
