@@ -6,17 +6,30 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def derive(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns computed once per row, whatever reads them later.
+
+    Plain projections are merged, and long name parsing then repeats inside every expression that
+    uses it until the generated code no longer compiles. A one-row generator keeps them apart.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(packed)))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
 def stem(path: Column) -> Column:
     """Base name without its last suffix."""
-    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+    base = basename(path)
+    kept = F.length(base) - F.length(F.substring_index(base, ".", -1)) - 1
+    return F.when(kept > 0, F.substring(base, F.lit(1), kept)).otherwise(base)
 
 
 def last_parts(path: Column, n: int) -> Column:

@@ -21,6 +21,10 @@ def _folds(how: str, v: Column) -> list[Column]:
     return [one[how](v)]
 
 
+def _field(name: str):
+    return lambda row: row[name]
+
+
 def pool_vectors(df: DataFrame, keys: Sequence[str], how: str, vec: str = "emb", dim: int | None = None) -> DataFrame:
     """``sum, mean, std, mean_std, max, min, raw, hard`` or ``soft`` over the vectors of each key.
 
@@ -49,7 +53,7 @@ def pool_vectors(df: DataFrame, keys: Sequence[str], how: str, vec: str = "emb",
         count = len(_folds(how, F.col("_v")))
         rows = F.array_sort(F.collect_list(F.struct("_pos", *[f"_f{j}" for j in range(count)])))
         whole = folded.groupBy(*keys).agg(rows.alias("_rows"))
-        halves = [F.transform("_rows", lambda r, j=j: r[f"_f{j}"]) for j in range(count)]
+        halves = [F.transform("_rows", _field(f"_f{j}")) for j in range(count)]
         out = whole.select(*keys, F.concat(*halves).alias(vec))
     if how == "soft":
         out = out.withColumn(vec, F.array(argmax(F.col(vec)).cast("double")))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tonewheel.session import settle
+
 PREFIX = 3
 MAX_TRIES = 20
 SEED_STEP = 100
@@ -34,17 +36,26 @@ def unit_hash(seed: Column | int, unit: str) -> Column:
     return F.md5(F.concat_ws("|", seed.cast("string"), F.col(unit).cast("string")))
 
 
-def _limits(units: DataFrame, unit: str, n: int, wanted: Sequence[tuple[int, int, float]]) -> dict[tuple[int, int, float], str]:
+def _hashed(units: DataFrame, unit: str, seeds: Sequence[int], carry: Sequence[str] = ()) -> DataFrame:
+    """``(seed, h, p, carry)``: every unit hashed once per seed, with the hash prefix it is counted by."""
+    # recordings are few and thin, their hashes are not: spread them before they are repeated per seed
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seeded = units.repartition(parts, unit).select(F.explode(F.array(*[F.lit(s) for s in sorted(set(seeds))])).alias("seed"), unit, *carry)
+    hashed = seeded.select("seed", unit_hash(F.col("seed"), unit).alias("h"), *carry)
+    return hashed.withColumn("p", F.substring("h", 1, PREFIX))
+
+
+def _target(n: int, test_size: float) -> int:
+    return min(n, ceil(test_size * n - 1e-9))
+
+
+def _limits(hashed: DataFrame, n: int, wanted: Sequence[tuple[int, int, float]]) -> dict[tuple[int, int, float], str]:
     """The hash at the cut, for every ``(run, seed, test_size)``. The result has one row per entry."""
-    seeds = sorted({s for _, s, _ in wanted})
-    hashed = units.select(
-        F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), F.col(unit)
-    ).select("seed", unit_hash(F.col("seed"), unit).alias("h"))
-    hashed = hashed.withColumn("p", F.substring("h", 1, PREFIX))
     upto = W.partitionBy("seed").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
     # at most 16**PREFIX rows per seed
     counts = hashed.groupBy("seed", "p").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto))
-    targets = sorted({(s, min(n, ceil(t * n - 1e-9))) for _, s, t in wanted})
+    seeds = sorted({s for _, s, _ in wanted})
+    targets = sorted({(s, _target(n, t)) for _, s, t in wanted})
     goals = F.create_map(*[
         x for s in seeds for x in (F.lit(s), F.array(*[F.lit(k) for q, k in targets if q == s]))
     ])
@@ -58,22 +69,28 @@ def _limits(units: DataFrame, unit: str, n: int, wanted: Sequence[tuple[int, int
         .select("seed", "k", "h")
     )
     found = {(r["seed"], r["k"]): r["h"] for r in cut.collect()}
-    return {(r, s, t): found.get((s, min(n, ceil(t * n - 1e-9))), "") for r, s, t in wanted}
+    return {(r, s, t): found.get((s, _target(n, t)), "") for r, s, t in wanted}
 
 
 def assign(df: DataFrame, unit: str, splits: Sequence[Split]) -> DataFrame:
-    """One row per (row, split): adds ``run``, ``test_size`` and ``side``."""
+    """One row per (row, split): adds ``run``, ``test_size`` and ``side``. A seed is hashed once for all its splits."""
+    by_seed: dict[int, list[Split]] = {}
+    for s in splits:
+        by_seed.setdefault(s.seed, []).append(s)
     rules = F.array(*[
         F.struct(
-            F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size"),
-            F.lit(s.seed).alias("seed"), F.lit(s.limit).alias("limit"),
+            F.lit(seed).alias("seed"),
+            F.array(*[
+                F.struct(F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size"), F.lit(s.limit).alias("limit"))
+                for s in group
+            ]).alias("rules"),
         )
-        for s in splits
+        for seed, group in by_seed.items()
     ])
-    out = df.select("*", F.explode(rules).alias("_r"))
-    is_test = unit_hash(F.col("_r.seed"), unit) <= F.col("_r.limit")
-    return out.select(
-        *df.columns, "_r.run", "_r.test_size", F.when(is_test, "test").otherwise("train").alias("side")
+    seeded = df.select("*", F.explode(rules).alias("_s"))
+    hashed = seeded.select(*df.columns, F.explode("_s.rules").alias("_r"), unit_hash(F.col("_s.seed"), unit).alias("_h"))
+    return hashed.select(
+        *df.columns, "_r.run", "_r.test_size", F.when(F.col("_h") <= F.col("_r.limit"), "test").otherwise("train").alias("side")
     )
 
 
@@ -85,11 +102,23 @@ def membership(df: DataFrame, unit: str, splits: Sequence[Split], name: str = "i
 
 def coverage(df: DataFrame, unit: str, label: str, splits: Sequence[Split]) -> DataFrame:
     """Classes on each side of each split: ``(run, test_size, train_classes, test_classes)``."""
-    pairs = df.select(unit, label).distinct()
-    sided = assign(pairs, unit, splits)
-    return sided.groupBy("run", "test_size").agg(
-        F.countDistinct(F.when(F.col("side") == "train", F.col(label))).alias("train_classes"),
-        F.countDistinct(F.when(F.col("side") == "test", F.col(label))).alias("test_classes"),
+    units = df.groupBy(unit).agg(F.collect_set(label).alias("_labels"))
+    return _coverage(_hashed(units, unit, [s.seed for s in splits], ["_labels"]), splits)
+
+
+def _coverage(hashed: DataFrame, splits: Sequence[Split]) -> DataFrame:
+    """A class is on the test side if its lowest hash is within the limit, on the train side if its
+    highest is beyond it; one pair of extremes per (seed, class) serves every test size."""
+    kinds = hashed.select("seed", "h", F.explode("_labels").alias("label"))
+    extremes = kinds.groupBy("seed", "label").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    rules = F.array(*[
+        F.struct(F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size"), F.lit(s.seed).alias("seed"), F.lit(s.limit).alias("limit"))
+        for s in splits
+    ])
+    each = extremes.select("*", F.explode(F.filter(rules, lambda r: r["seed"] == F.col("seed"))).alias("_r"))
+    return each.groupBy("_r.run", "_r.test_size").agg(
+        F.count(F.when(F.col("hi") > F.col("_r.limit"), F.col("label"))).alias("train_classes"),
+        F.count(F.when(F.col("lo") <= F.col("_r.limit"), F.col("label"))).alias("test_classes"),
     )
 
 
@@ -107,19 +136,22 @@ def sealed_splits(
     A retry adds ``SEED_STEP`` to the seed of that run and size. After ``max_tries`` the data cannot
     be split this way (a class with one recording, for instance) and the call fails.
     """
-    units = df.select(unit).where(F.col(unit).isNotNull()).distinct()
+    # the one pass over the segments; what follows works on recordings, each with its few classes
+    kinds = F.collect_set(label) if label else F.first(F.array().cast("array<string>"))
+    units = settle(df.where(F.col(unit).isNotNull()).groupBy(unit).agg(kinds.alias("_labels")))
     n = units.count()
-    classes = df.select(label).distinct().where(F.col(label).isNotNull()).count() if label else 0
+    classes = units.select(F.explode("_labels")).distinct().count() if label else 0
     pending = [(r, seed + r, t) for t in test_sizes for r in range(runs)]
     done: list[Split] = []
     for _ in range(max_tries):
-        limits = _limits(units, unit, n, pending)
+        hashed = settle(_hashed(units, unit, [s for _, s, _ in pending], ["_labels"]))
+        limits = _limits(hashed, n, pending)
         drawn = [Split(r, t, s, limits[(r, s, t)]) for r, s, t in pending]
         if label is None:
             return drawn
         good = {
             (c["run"], c["test_size"])
-            for c in coverage(df, unit, label, drawn).collect()  # one row per split
+            for c in _coverage(hashed, drawn).collect()  # one row per split
             if c["train_classes"] == classes and c["test_classes"] == classes
         }
         done += [d for d in drawn if (d.run, d.test_size) in good]

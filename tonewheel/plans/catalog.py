@@ -15,29 +15,25 @@ def yearly(files: DataFrame, root: str, dataset: str, truth: DataFrame | None =
     ``files`` has ``path`` and any header facts. Below ``root`` lies ``<setn>_data/<mt>/<sett>/<name>``.
     The names of eval test files say nothing; ``truth`` (``mt, file, orig``) has their real ones.
     """
-    rel = names.relative_to(F.col("path"), root)
-    parts = F.split(rel, "/")
+    rows = names.derive(files, _rel=names.relative_to(F.col("path"), root), _name=names.basename(F.col("path")))
+    parts = F.split("_rel", "/")
     folder = names.token(parts, 2)
-    rows = (
-        files.withColumn("file", names.last_parts(F.col("path"), 4) if dataset == "dcase21" else rel)
-        .withColumn("setn", F.regexp_replace(names.token(parts, 0), "_data$", ""))
-        .withColumn("mt", names.token(parts, 1))
-        .withColumn("sett", F.when(folder.isin("source_test", "target_test"), "test").otherwise(folder))
-        .where(F.col("sett").isin("train", "test"))
-        .withColumn("_name", names.basename(F.col("path")))
-    )
+    rows = names.derive(
+        rows,
+        file=names.last_parts(F.col("path"), 4) if dataset == "dcase21" else F.col("_rel"),
+        setn=F.regexp_replace(names.token(parts, 0), "_data$", ""),
+        mt=names.token(parts, 1),
+        sett=F.when(folder.isin("source_test", "target_test"), "test").otherwise(folder),
+    ).where(F.col("sett").isin("train", "test"))
     hidden = (F.col("setn") == "eval") & (F.col("sett") == "test")
     if truth is not None:
         named = truth.select("mt", F.col("file").alias("_name"), "orig")
         rows = rows.join(named, ["mt", "_name"], "left")
     else:
         rows = rows.withColumn("orig", F.lit(None).cast("string"))
-    source = F.when(hidden, F.col("orig")).otherwise(F.col("_name"))
-    facts = names.yearly_layout(dataset, F.col("_src"))
-    rows = rows.withColumn("_src", source).withColumn("dataset", F.lit(dataset))
-    for name, value in facts.items():
-        rows = rows.withColumn(name, value)
-    rows = rows.drop("_name", "_src", "orig")
+    rows = rows.withColumn("_src", F.when(hidden, F.col("orig")).otherwise(F.col("_name")))
+    rows = names.derive(rows, **names.yearly_layout(dataset, F.col("_src"))).withColumn("dataset", F.lit(dataset))
+    rows = rows.drop("_name", "_src", "_rel", "orig")
     good = F.col("sec").isNotNull()
     return rows.where(good), rows.where(~good)
 
@@ -52,23 +48,18 @@ def supplementary(files: DataFrame, root: str, dataset: str = "dcase25") -> tupl
         .withColumn("sett", F.lit("supple"))
         .where(names.token(parts, 2) == "supplemental")
     )
-    for name, value in names.layout_supplementary(F.col("file"), dataset).items():
-        rows = rows.withColumn(name, value)
+    rows = names.derive(rows, **names.layout_supplementary(F.col("file"), dataset))
     return rows.where("type is not null"), rows.where("type is null")
 
 
 def compressed_air(files: DataFrame, root: str) -> DataFrame:
-    out = files.withColumn("file", names.relative_to(F.col("path"), root))
-    for name, value in names.layout_compressed_air(F.col("file")).items():
-        out = out.withColumn(name, value)
-    return out
+    out = names.derive(files, file=names.relative_to(F.col("path"), root))
+    return names.derive(out, **names.layout_compressed_air(F.col("file")))
 
 
 def engine(files: DataFrame, root: str) -> DataFrame:
-    out = files.withColumn("file", names.relative_to(F.col("path"), root))
-    for name, value in names.layout_engine(F.col("file")).items():
-        out = out.withColumn(name, value)
-    return out.where("used").drop("used")
+    out = names.derive(files, file=names.relative_to(F.col("path"), root))
+    return names.derive(out, **names.layout_engine(F.col("file"))).where("used").drop("used")
 
 
 # Class list, healthy class, tokens to drop for the recording, suffix put back.
@@ -95,7 +86,7 @@ def fault_by_substring(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _finish(df: DataFrame, scene: Column, healthy: str, drop: int, suffix: str) -> tuple[DataFrame, DataFrame]:
-    out = df.withColumn("scene", scene).withColumn("status", names.status_of(F.col("scene"), healthy))
+    out = names.derive(df, scene=scene).withColumn("status", names.status_of(F.col("scene"), healthy))
     out = out.withColumn("ori", names.recording_key(F.col("file"), drop, suffix))
     if "num_frames" in out.columns:
         out = out.withColumn("dur", names.duration(F.col("num_frames"), F.col("sample_rate"), 1))
@@ -105,8 +96,11 @@ def _finish(df: DataFrame, scene: Column, healthy: str, drop: int, suffix: str)
 def eccentric_gear(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two independent labels per file; normal only where both are."""
     out = files.withColumn("file", names.basename(F.col("path")))
-    out = out.withColumn("scene_G", names.first_substring(F.col("file"), tb.GEAR_CLASSES))
-    out = out.withColumn("scene_E", names.first_substring(F.col("file"), tb.ECCENTRIC_CLASSES))
+    out = names.derive(
+        out,
+        scene_G=names.first_substring(F.col("file"), tb.GEAR_CLASSES),
+        scene_E=names.first_substring(F.col("file"), tb.ECCENTRIC_CLASSES),
+    )
     normal = (F.col("scene_G") == "G1") & (F.col("scene_E") == "E00")
     out = out.withColumn("status", F.when(normal, "normal").otherwise("anomaly"))
     out = out.withColumn("ori", names.recording_key(F.col("file"), 2))

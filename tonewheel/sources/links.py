@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonewheel.functions.arrays import let
 from tonewheel.functions.tables import ARCHIVE_SUFFIXES
 from tonewheel.session import settle
 
@@ -15,17 +14,17 @@ ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
 
 def _without_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    parts = F.split(path, "/")
     none = F.array().cast("array<string>")
-    kept = F.aggregate(
-        parts, none,
-        lambda a, p: F.when(p == ".", a)
-        .when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1))))
-        .otherwise(F.concat(a, F.array(p))),
-    )
-    last = F.element_at(parts, -1)
-    closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.array_join(closed, "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        return (
+            F.when(part == ".", kept)
+            .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1))))
+            .otherwise(F.array_append(kept, part))
+        )
+
+    closing = F.when(F.rlike(path, F.lit(r"/\.\.?$")), "/").otherwise("")
+    return F.concat(F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"), closing)
 
 
 def page_facts(base: Column) -> Column:
@@ -43,23 +42,25 @@ def page_facts(base: Column) -> Column:
 
 def absolute(facts: Column, href: Column) -> Column:
     """``href`` as seen from the page with these facts."""
-    target = F.regexp_extract(href, r"^([^?#]*)", 1)
-    rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    cut = F.rlike(href, F.lit("[?#]"))
+    target = F.when(cut, F.regexp_extract(href, r"^([^?#]*)", 1)).otherwise(href)
+    rest = F.when(cut, F.regexp_extract(href, r"^[^?#]*(.*)$", 1)).otherwise("")
     folder = F.when(facts["folder"] == "", "/").otherwise(facts["folder"])
     path = F.when(F.startswith(href, F.lit("/")), target).otherwise(F.concat(folder, target))
-    dotted = F.contains(path, F.lit("/."))
+    clean = let(path, lambda p: F.when(F.contains(p, F.lit("/.")), _without_dots(p)).otherwise(p))
     return (
         F.when(F.rlike(href, F.lit(r"^[a-zA-Z][\w+.\-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(facts["scheme"], F.lit(":"), href))
         .when(href == "", facts["page"])
         .when(F.startswith(href, F.lit("#")), F.concat(facts["page"], href))
         .when(F.startswith(href, F.lit("?")), F.concat(facts["plain"], href))
-        .otherwise(F.concat(facts["site"], F.when(dotted, _without_dots(path)).otherwise(path), rest))
+        .otherwise(F.concat(facts["site"], clean, rest))
     )
 
 
 def is_archive(url: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.endswith(F.lower(url), F.lit(s)) for s in ARCHIVE_SUFFIXES])
+    suffixes = "|".join(s.replace(".", r"\.") for s in ARCHIVE_SUFFIXES)
+    return F.rlike(url, F.lit(f"(?i)({suffixes})$"))
 
 
 def is_below(url: Column, base: str | Column) -> Column:
@@ -74,15 +75,14 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         page_facts(F.col(url)).alias("_p"),
         F.explode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("href"),
     )
-    link = absolute(F.col("_p"), F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))))
+    link = let(F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))), lambda h: absolute(F.col("_p"), h))
     return found.select("page", link.alias("link")).distinct()
 
 
 def kept_links(links: DataFrame, base: str | None = None) -> DataFrame:
     """Archives, and pages below ``base``."""
-    archive = is_archive(F.col("link"))
-    keep = archive if base is None else archive | is_below(F.col("link"), base)
-    return links.where(keep).withColumn("archive", archive)
+    marked = links.withColumn("archive", is_archive(F.col("link")))
+    return marked.where("archive" if base is None else F.col("archive") | F.startswith("link", F.lit(base)))
 
 
 def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", html: str = "html") -> DataFrame:
@@ -94,9 +94,9 @@ def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", h
     def bare(c: str) -> Column:
         return F.regexp_replace(c, "/+$", "")
 
-    edges = settle(
-        kept_links(page_links(pages, url, html), base).select(bare("page").alias("at"), "link", "archive").distinct()
-    )
+    # written once before filtering: a filter pushed below would resolve every link again for each test
+    found = settle(page_links(pages, url, html))
+    edges = settle(kept_links(found, base).select(bare("page").alias("at"), "link", "archive").distinct())
     frontier = settle(starts.select(bare(url).alias("at")).distinct())
     visited, files = frontier, None
     while not frontier.isEmpty():

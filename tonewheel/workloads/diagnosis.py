@@ -126,10 +126,11 @@ count(*) AS rows, count(DISTINCT l_orderkey) AS recordings FROM lineitem JOIN re
 def sealed_split_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Ten runs over all order lines; lines of an order stay together."""
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
-    sided = splits.assign(li, "l_orderkey", splits.sealed_splits(li, "l_orderkey", "l_returnflag", (0.2,), 10, SEED))
-    # folded per order first, so the distinct count needs no second copy of the rows
-    per = sided.groupBy("run", "side", "l_returnflag", "l_orderkey").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("run", "side", "l_returnflag").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("recordings"))
+    drawn = splits.sealed_splits(li, "l_orderkey", "l_returnflag", (0.2,), 10, SEED)
+    # lines of an order share its side, so they are folded before they are repeated per run
+    per = li.groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("c"))
+    sided = splits.assign(per, "l_orderkey", drawn)
+    return sided.groupBy("run", "side", "l_returnflag").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("recordings"))
 
 
 @query("segment_split", f"""WITH {order_rank_sql(3, '[0.5]', "CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR)")}

@@ -35,9 +35,7 @@ _TAIL = "'vel_' || CAST(user_id AS VARCHAR) || '_' || event_type"
 
 
 def year_rows(df: DataFrame, dataset: str, name: str = "name") -> DataFrame:
-    for column, value in names.yearly_layout(dataset, F.col(name)).items():
-        df = df.withColumn(column, value)
-    return df
+    return names.derive(df, **names.yearly_layout(dataset, F.col(name)))
 
 
 @query("names_by_id", """SELECT event_id, CAST(user_id % 8 AS INTEGER) AS sec, 0 AS domain, CAST(event_type = 'error' AS INTEGER) AS status, 'noAttribute_dcase20' AS attri FROM events""")
@@ -67,9 +65,7 @@ def names_supplementary(spark: SparkSession, sf: str) -> DataFrame:
     extra = F.when(F.col("event_id") % 2 == 0, "").otherwise(F.concat(F.lit("_car_A"), "user_id"))
     name = F.concat(F.lit("section_00_"), "event_type", F.lit("_"), F.lpad(F.col("event_id").cast("string"), 6, "0"), extra, F.lit(".wav"))
     rows = load(spark, sf, "events").select("event_id", name.alias("name"))
-    for column, value in names.layout_supplementary(F.col("name")).items():
-        rows = rows.withColumn(column, value)
-    return rows.drop("name")
+    return names.derive(rows, **names.layout_supplementary(F.col("name"))).drop("name")
 
 
 @query("names_compressed_air", """SELECT o_orderkey, o_orderpriority AS leak, 'n' || o_orderstatus AS noise, 's' || CAST(year(o_orderdate) AS VARCHAR) AS session, CAST(o_custkey % 9 AS VARCHAR) AS knob, CAST(o_orderkey % 4 AS VARCHAR) AS mic,
