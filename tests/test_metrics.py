@@ -87,7 +87,8 @@ def simpson(x, y):
 
 @pytest.mark.parametrize("n", [4, 5, 6, 7])
 def test_curve_area(spark, n):
-    x = [0.0] + sorted(random.Random(n).random() for _ in range(n - 2)) + [1.0]
+    rng = random.Random(n)
+    x = [0.0] + sorted(rng.random() for _ in range(n - 2)) + [1.0]
     y = [math.sin(3 * v) for v in x]
     df = spark.createDataFrame(list(zip(x, y)), "x double, y double")
     assert abs(metrics.curve_area(df, [], "x", "y").first()["area"] - simpson(x, y)) < 1e-9
@@ -106,6 +107,7 @@ def test_histogram_and_median(spark):
     bins = metrics.score_histogram(df, ["g"]).where("g = 'g'").agg(F.count("*"), F.sum("normal"), F.sum("anomaly"), F.max("bin")).first()
     assert tuple(bins) == (49, 25, 25, 48)
     assert metrics.score_histogram(df, ["g"]).where("g = 'c'").first()["normal"] == 3
+    assert {r["g"]: r["median"] for r in metrics.group_median(df, ["g"], target_rows=7).collect()} == {"g": 24.5, "c": 1.0}
     assert metrics.median_decision(df, ["g"]).where("g = 'g'").agg(F.sum("decision")).first()[0] == 25
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 from tonewheel.functions import spectral
 from tonewheel.operators.knn import matrix
 
+# Moments a task keeps before it hands them on, in numbers (8 bytes each).
+HELD_NUMBERS = 1 << 24
+
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -99,6 +102,15 @@ def group_pca(df: DataFrame, train: DataFrame, key: str, components: int, vec: s
     """
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for g, m in held.items():
+                rows = len(m)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * rows, kind), pa.array(np.arange(rows, dtype=np.int32)), _lists(m)], [key, "row", "m"]
+                )
+            held.clear()
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
             names = np.asarray(table[key].to_pylist(), dtype=object)
@@ -107,11 +119,9 @@ def group_pca(df: DataFrame, train: DataFrame, key: str, components: int, vec: s
                 part = x[names == g]
                 full = np.column_stack([np.ones(len(part)), part])
                 held[g] = held.get(g, 0.0) + full.T @ full
-        for g, m in held.items():
-            rows = len(m)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g] * rows, kind), pa.array(np.arange(rows, dtype=np.int32)), _lists(m)], [key, "row", "m"]
-            )
+                if len(held) * full.shape[1] ** 2 > HELD_NUMBERS:
+                    yield from flush()
+        yield from flush()
 
     field = train.schema[key]
     kind = train.select(key).limit(0).toArrow().schema.field(key).type

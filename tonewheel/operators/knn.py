@@ -111,20 +111,25 @@ def knn_join(
     vec: str = "emb",
     carry: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    train_carry: Sequence[str] = (),
 ) -> DataFrame:
     """``(keys, test_id, carry, rank, dist, neighbour)`` with ranks from 1, for every test row.
 
+    ``carry`` are columns of the test row; each ``c`` of ``train_carry`` comes along from the
+    neighbour as ``n<c>``, so looking up a neighbour's class needs no join.
     ``cosine`` is ``1 - cos``; ``euclidean`` works on the vectors as they are. Groups without train
     rows yield nothing; a group smaller than ``k`` yields what it has.
     """
-    keys, carry = list(keys), list(carry)
+    keys, carry, brought = list(keys), list(carry), [f"n{c}" for c in train_carry]
     whole = not keys
     if whole:
         keys = ["_all"]
         test, train = test.withColumn("_all", F.lit(0)), train.withColumn("_all", F.lit(0))
     id_type = train.schema[train_id].dataType
     left = test.select(*keys, F.col(test_id).alias("_id"), F.col(vec).alias("_vec"), *carry)
-    right = train.select(*keys, F.col(train_id).alias("_id"), F.col(vec).alias("_vec"))
+    right = train.select(
+        *keys, F.col(train_id).alias("_id"), F.col(vec).alias("_vec"), *[F.col(c).alias(f"n{c}") for c in train_carry]
+    )
     left, right, cut = _cells(left, right, keys, block_rows)
     schema = T.StructType(
         [left.schema[c] for c in (*keys, "_id", *carry)]
@@ -133,6 +138,7 @@ def knn_join(
             T.StructField("dist", T.DoubleType()),
             T.StructField("neighbour", id_type),
         ]
+        + [right.schema[c] for c in brought]
     )
     on = [*keys, "_block", "_strip"]
     left, right = _fresh(left), _fresh(right)
@@ -152,13 +158,13 @@ def knn_join(
             rows, cols, rank = best_k(d, ids, k)
             parts.append((rows + start, cols, rank, d[rows, cols]))
         rows, cols, rank, d = (np.concatenate(p) for p in zip(*parts))
-        return _with_hits(a.select(passed).take(rows), rank + 1, d, b["_id"].take(cols))
+        return _with_hits(a.select(passed).take(rows), rank + 1, d, b, cols, brought)
 
     hits = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, schema)
     if cut:
         hits = top_k(hits.drop("rank"), [*keys, "_id"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
     out_keys = [] if whole else keys
-    return hits.select(*out_keys, F.col("_id").alias(test_id), *carry, "rank", "dist", "neighbour")
+    return hits.select(*out_keys, F.col("_id").alias(test_id), *carry, "rank", "dist", "neighbour", *brought)
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -166,9 +172,12 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _with_hits(head: pa.Table, rank: np.ndarray, dist: np.ndarray, ids) -> pa.Table:
-    out = head.append_column("rank", pa.array(rank.astype(np.int32)))
-    return out.append_column("dist", pa.array(dist.astype(np.float64))).append_column("neighbour", ids)
+def _with_hits(head: pa.Table, rank: np.ndarray, dist: np.ndarray, train: pa.Table, rows: np.ndarray, brought: list[str]) -> pa.Table:
+    out = head.append_column("rank", pa.array(rank.astype(np.int32))).append_column("dist", pa.array(dist))
+    near = train.select(["_id", *brought]).take(rows)
+    for name, column in zip(["neighbour", *brought], near.columns):
+        out = out.append_column(name, column)
+    return out
 
 
 def knn_runs(
@@ -180,31 +189,38 @@ def knn_runs(
     vec: str = "emb",
     carry: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    train_carry: Sequence[str] = (),
 ) -> DataFrame:
     """Cosine neighbours for many train/test splits of one table in one pass.
 
     ``member`` is an array of booleans, true where the row is a test row of that run. A cell computes
     its matrix product once and masks it per run, so the cost of distances does not grow with runs.
-    Returns ``(run, id_col, carry, rank, sim, neighbour)``.
+    Returns ``(run, id_col, carry, rank, sim, neighbour)`` and ``n<c>`` for each of ``train_carry``.
     """
-    carry = list(carry)
-    base = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"), *carry)
+    carry, brought = list(carry), [f"n{c}" for c in train_carry]
+    base = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"))
     rows = base.count()
     # enough cells for the cluster, but none so small that the product is not worth a task
     spread = min(int(np.ceil(np.sqrt(vectors.sparkSession.sparkContext.defaultParallelism))), rows // MIN_BLOCK_ROWS)
     blocks = max(1, -(-rows // block_rows), spread)
     own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.withColumn("_strip", own).withColumn("_block", every)
-    right = base.drop(*carry).withColumn("_block", own).withColumn("_strip", every)
+    plain = ["_id", "_vec", "_test"]
+    named = vectors.select(
+        F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"), *carry,
+        *[F.col(c).alias(f"n{c}") for c in train_carry],
+    )
+    left = named.select(*plain, *carry).withColumn("_strip", own).withColumn("_block", every)
+    right = named.select(*plain, *brought).withColumn("_block", own).withColumn("_strip", every)
     schema = T.StructType(
         [T.StructField("run", T.IntegerType()), base.schema["_id"]]
-        + [base.schema[c] for c in carry]
+        + [named.schema[c] for c in carry]
         + [
             T.StructField("rank", T.IntegerType()),
             T.StructField("dist", T.DoubleType()),
             T.StructField("neighbour", base.schema["_id"].dataType),
         ]
+        + [named.schema[c] for c in brought]
     )
     passed = ["_id", *carry]
     nothing = vectors.sparkSession.createDataFrame([], schema).toArrow()
@@ -223,7 +239,7 @@ def knn_runs(
                 r, c, rank = best_k(d[np.ix_(te, tr)], ids[tr], k)
                 head = a.select(passed).take(te[r] + start)
                 head = head.add_column(0, "run", pa.array(np.full(len(r), run, dtype=np.int32)))
-                tables.append(_with_hits(head, rank + 1, d[te[r], tr[c]], b["_id"].take(tr[c])))
+                tables.append(_with_hits(head, rank + 1, d[te[r], tr[c]], b, tr[c], brought))
         return pa.concat_tables(tables)
 
     on = ["_block", "_strip"]
@@ -232,7 +248,7 @@ def knn_runs(
     if blocks > 1:
         hits = top_k(hits.drop("rank"), ["run", "_id"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
     return hits.select(
-        "run", F.col("_id").alias(id_col), *carry, "rank", (1 - F.col("dist")).alias("sim"), "neighbour"
+        "run", F.col("_id").alias(id_col), *carry, "rank", (1 - F.col("dist")).alias("sim"), "neighbour", *brought
     )
 
 

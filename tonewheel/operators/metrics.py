@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tonewheel.operators.skew import with_group_stats
+from tonewheel.operators.skew import TARGET_ROWS, running_sums, with_group_stats
 
 
 def hmean(column: str | Column) -> Column:
@@ -64,9 +64,31 @@ def accuracy(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def median_decision(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], score: str = "score", target_rows: int = TARGET_ROWS) -> DataFrame:
+    """``(keys, median)``, exact: the mean of the two middle values.
+
+    Equal values are folded and counted up in order, so no task holds the values of a group.
+    """
+    keys = list(keys)
+    folded = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    steps = running_sums(folded, keys, ["_v"], ["_c"], target_rows=target_rows, sized_by=df)
+    # a value covers the places (_c_run - _c, _c_run] of 1.._c_all
+    low, high = F.floor((F.col("_c_all") + 1) / 2), F.floor(F.col("_c_all") / 2) + 1
+
+    def covers(place: Column) -> Column:
+        return (F.col("_c_run") - F.col("_c") < place) & (place <= F.col("_c_run"))
+
+    return (
+        steps.where(covers(low) | covers(high))
+        .groupBy(*keys)
+        .agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+    )
+
+
+def median_decision(df: DataFrame, keys: Sequence[str], score: str = "score", target_rows: int = TARGET_ROWS) -> DataFrame:
     """1 where the score is above the exact median of its group."""
-    out = with_group_stats(df, keys, _med=F.percentile(score, F.lit(0.5)))
+    medians = group_median(df, keys, score, target_rows).withColumnRenamed("median", "_med")
+    out = df.join(medians, list(keys), "left")
     return out.withColumn("decision", (F.col(score) > F.col("_med")).cast("int")).drop("_med")
 
 
@@ -87,8 +109,8 @@ def score_histogram(df: DataFrame, keys: Sequence[str], score: str = "score", st
 def curve_area(df: DataFrame, keys: Sequence[str], x: str, y: str, method: str = "simpson") -> DataFrame:
     """Area under a curve of a few points per key (one per train fraction), by trapezoids or Simpson.
 
-    Simpson runs over pairs of intervals of any widths; an odd number of intervals gets the usual
-    parabola correction on the last one.
+    Simpson runs over pairs of intervals of any widths above 0; an odd number of intervals gets the
+    usual parabola correction on the last one.
     """
     keys = list(keys)
     w = W.partitionBy(*keys).orderBy(x)
@@ -106,12 +128,13 @@ def curve_area(df: DataFrame, keys: Sequence[str], x: str, y: str, method: str =
     elif method == "simpson":
         p = p.withColumn("_h0", F.col("_x1") - F.col("_x2")).withColumn("_h1", F.col("_x") - F.col("_x1"))
         pair = (
-            "(_h0 + _h1) / 6D * ((2D - _h1 / _h0) * _y2 + (_h0 + _h1) * (_h0 + _h1) / (_h0 * _h1) * _y1 + (2D - _h0 / _h1) * _y)"
+            "(_h0 + _h1) / 6D * ((2D - _h1 / nullif(_h0, 0D)) * _y2"
+            " + (_h0 + _h1) * (_h0 + _h1) / nullif(_h0 * _h1, 0D) * _y1 + (2D - _h0 / nullif(_h1, 0D)) * _y)"
         )
         end = (
-            "_y * (2D * _h1 * _h1 + 3D * _h0 * _h1) / (6D * (_h0 + _h1))"
-            " + _y1 * (_h1 * _h1 + 3D * _h1 * _h0) / (6D * _h0)"
-            " - _y2 * _h1 * _h1 * _h1 / (6D * _h0 * (_h0 + _h1))"
+            "_y * (2D * _h1 * _h1 + 3D * _h0 * _h1) / nullif(6D * (_h0 + _h1), 0D)"
+            " + _y1 * (_h1 * _h1 + 3D * _h1 * _h0) / nullif(6D * _h0, 0D)"
+            " - _y2 * _h1 * _h1 * _h1 / nullif(6D * _h0 * (_h0 + _h1), 0D)"
         )
         part = (
             F.when((F.col("_last") == 1), trapezoid)

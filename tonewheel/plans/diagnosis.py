@@ -8,23 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewheel.operators.knn import knn_join, knn_runs
-from tonewheel.operators.labels import by_first_appearance, with_ids
 from tonewheel.operators.metrics import accuracy, class_report, curve_area
 from tonewheel.operators.splits import Split, membership, sealed_splits
-from tonewheel.operators.votes import for_every_k, neighbour_classes, vote
-from tonewheel.session import settle
+from tonewheel.operators.votes import for_every_k, vote
 
 
 def nearest(test: DataFrame, train: DataFrame, k: int, cls: str = "cls", block_rows: int = 8192) -> DataFrame:
-    """Cosine neighbours of every test row among all train rows: ``(file, cls, rank, sim, neighbour)``."""
-    hits = knn_join(test, train, [], k, "cosine", carry=[cls], block_rows=block_rows)
-    return hits.withColumn("sim", 1 - F.col("dist")).drop("dist")
+    """Cosine neighbours of every test row among all train rows: ``(file, cls, rank, sim, neighbour, ncls)``."""
+    hits = knn_join(test, train, [], k, "cosine", carry=[cls], block_rows=block_rows, train_carry=[cls])
+    return hits.withColumn("sim", 1 - F.col("dist")).withColumnRenamed(f"n{cls}", "ncls").drop("dist")
 
 
 def diagnose(test: DataFrame, train: DataFrame, k: int, num_classes: int, cls: str = "cls") -> DataFrame:
     """Predictions ``(file, cls, pred, eval)`` with class ids."""
-    hits = neighbour_classes(nearest(test, train, k, cls), train, cls=cls)
-    return scored(vote(hits, ["file", cls], num_classes), cls)
+    return scored(vote(nearest(test, train, k, cls), ["file", cls], num_classes), cls)
 
 
 def scored(pred: DataFrame, cls: str = "cls") -> DataFrame:
@@ -33,19 +30,18 @@ def scored(pred: DataFrame, cls: str = "cls") -> DataFrame:
 
 def k_sweep(test: DataFrame, train: DataFrame, min_k: int, max_k: int, num_classes: int, cls: str = "cls") -> DataFrame:
     """Accuracy for every k from one search: ``(k, macro_acc, macro_acc_lib, micro_acc)``."""
-    hits = neighbour_classes(nearest(test, train, max_k, cls), train, cls=cls)
-    pred = vote(for_every_k(hits, min_k, max_k), ["k", "file", cls], num_classes)
+    pred = vote(for_every_k(nearest(test, train, max_k, cls), min_k, max_k), ["k", "file", cls], num_classes)
     return accuracy(class_report(pred, ["k"], cls), ["k"])
 
 
 def run_predictions(vectors: DataFrame, splits: Sequence[Split], unit: str, k: int, num_classes: int, cls: str = "cls", block_rows: int = 8192) -> DataFrame:
     """Predictions of all splits in one job: ``(run, test_size, file, cls, pred)``.
 
-    A neighbour brings its class along by name, so the class table is joined once for all runs.
+    A neighbour brings its class along, so no class table is joined.
     """
     marked = membership(vectors, unit, splits)
-    hits = knn_runs(marked, "in_test", len(splits), k, carry=[cls], block_rows=block_rows).withColumnRenamed("run", "split_id")
-    hits = neighbour_classes(hits, vectors, cls=cls)
+    hits = knn_runs(marked, "in_test", len(splits), k, carry=[cls], block_rows=block_rows, train_carry=[cls])
+    hits = hits.withColumnRenamed("run", "split_id").withColumnRenamed(f"n{cls}", "ncls")
     pred = vote(hits, ["split_id", "file", cls], num_classes)
     facts = F.array(*[F.struct(F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size")) for s in splits])
     return pred.withColumn("_s", F.get(facts, F.col("split_id"))).select("_s.run", "_s.test_size", "file", cls, "pred")

@@ -77,7 +77,8 @@ def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
 @query("knn_class_prob", f"WITH {SEG}, {near_sql(5)}, {vote_sql('near', 'file, cls')} SELECT file, CAST(ncls AS INTEGER) AS ncls, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY file), 6) AS prob FROM dense")
 def knn_class_prob(spark: SparkSession, sf: str) -> DataFrame:
     test, train = halves(spark, sf)
-    hits = votes.neighbour_classes(fd.nearest(test, train, 5), train)
+    # neighbour lists kept without classes get them by a join
+    hits = votes.neighbour_classes(fd.nearest(test, train, 5).drop("ncls"), train)
     prob = votes.class_probabilities(hits, ["file"], CLASSES)
     return prob.select("file", F.posexplode("prob").alias("ncls", "prob")).withColumn("prob", r6("prob"))
 
