@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tonewheel.operators.skew import top_k
 
 BLOCK_ROWS = 8192
-MIN_BLOCK_ROWS = 256
+MIN_CELL_WORK = 4096
 BROADCAST_GROUPS = 100_000
 SLAB = 1024
 TIE_DECIMALS = 9
@@ -50,12 +50,16 @@ def best_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     Distances are compared at a fixed number of decimals, so the order of additions in a product
     cannot decide between copies of one vector.
     """
-    n, m = dist.shape
+    return best_keys(np.round(dist, TIE_DECIMALS), ids, k)
+
+
+def best_keys(key: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_k`` for distances that are rounded already."""
+    n, m = key.shape
     if n == 0 or m == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
     k = min(k, m)
-    key = np.round(dist, TIE_DECIMALS)
     limit = np.partition(key, k - 1, axis=1)[:, k - 1 : k]
     rows, cols = np.nonzero(key <= limit)
     order = np.lexsort((ids[cols], key[rows, cols], rows))
@@ -201,7 +205,7 @@ def knn_runs(
     base = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"))
     rows = base.count()
     # enough cells for the cluster, but none so small that the product is not worth a task
-    spread = min(int(np.ceil(np.sqrt(vectors.sparkSession.sparkContext.defaultParallelism))), rows // MIN_BLOCK_ROWS)
+    spread = min(int(np.ceil(np.sqrt(vectors.sparkSession.sparkContext.defaultParallelism))), rows * runs // MIN_CELL_WORK)
     blocks = max(1, -(-rows // block_rows), spread)
     own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -233,10 +237,11 @@ def knn_runs(
         ids, tables = b["_id"].to_numpy(), []
         for start in range(0, len(q), SLAB):
             d = distances(q[start : start + SLAB], t, "cosine")
+            key = np.round(d, TIE_DECIMALS)
             for run in range(runs):
                 te = np.nonzero(in_test[start : start + SLAB, run])[0]
                 tr = np.nonzero(in_train[:, run])[0]
-                r, c, rank = best_k(d[np.ix_(te, tr)], ids[tr], k)
+                r, c, rank = best_keys(key[np.ix_(te, tr)], ids[tr], k)
                 head = a.select(passed).take(te[r] + start)
                 head = head.add_column(0, "run", pa.array(np.full(len(r), run, dtype=np.int32)))
                 tables.append(_with_hits(head, rank + 1, d[te[r], tr[c]], b, tr[c], brought))

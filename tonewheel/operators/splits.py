@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,31 +44,31 @@ def _hashed(units: DataFrame, unit: str, seeds: Sequence[int], carry: Sequence[s
     return hashed.withColumn("p", F.substring("h", 1, PREFIX))
 
 
-def _target(n: int, test_size: float) -> int:
-    return min(n, ceil(test_size * n - 1e-9))
-
-
-def _limits(hashed: DataFrame, n: int, wanted: Sequence[tuple[int, int, float]]) -> dict[tuple[int, int, float], str]:
+def _limits(hashed: DataFrame, wanted: Sequence[tuple[int, int, float]]) -> dict[tuple[int, int, float], str]:
     """The hash at the cut, for every ``(run, seed, test_size)``. The result has one row per entry."""
     upto = W.partitionBy("seed").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
     # at most 16**PREFIX rows per seed
-    counts = hashed.groupBy("seed", "p").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto))
-    seeds = sorted({s for _, s, _ in wanted})
-    targets = sorted({(s, _target(n, t)) for _, s, t in wanted})
-    goals = F.create_map(*[
-        x for s in seeds for x in (F.lit(s), F.array(*[F.lit(k) for q, k in targets if q == s]))
-    ])
-    crossing = counts.select("seed", "p", (F.col("upto") - F.col("c")).alias("below"), "upto", F.explode(goals[F.col("seed")]).alias("k"))
-    crossing = crossing.where((F.col("below") < F.col("k")) & (F.col("k") <= F.col("upto"))).select("seed", "p", "below", "k")
-    inside = W.partitionBy("seed", "p", "k").orderBy("h")
+    counts = (
+        hashed.groupBy("seed", "p").agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("upto", F.sum("c").over(upto))
+        .withColumn("n", F.sum("c").over(W.partitionBy("seed")))
+    )
+    sizes: dict[int, set[float]] = {}
+    for _, s, t in wanted:
+        sizes.setdefault(s, set()).add(t)
+    by_seed = F.create_map(*[x for s, ts in sizes.items() for x in (F.lit(s), F.array(*[F.lit(t) for t in sorted(ts)]))])
+    crossing = counts.select("*", F.explode(by_seed[F.col("seed")]).alias("t"))
+    crossing = crossing.withColumn("k", F.least(F.col("n"), F.ceil(F.col("t") * F.col("n") - 1e-9)) - (F.col("upto") - F.col("c")))
+    crossing = crossing.where((F.col("k") > 0) & (F.col("k") <= F.col("c"))).select("seed", "p", "t", "k")
+    inside = W.partitionBy("seed", "p", "t").orderBy("h")
     cut = (
-        hashed.join(F.broadcast(crossing), ["seed", "p"])  # one row per entry of `targets`
+        hashed.join(F.broadcast(crossing), ["seed", "p"])  # one row per wanted entry
         .withColumn("rn", F.row_number().over(inside))
-        .where(F.col("rn") == F.col("k") - F.col("below"))
-        .select("seed", "k", "h")
+        .where(F.col("rn") == F.col("k"))
+        .select("seed", "t", "h")
     )
-    found = {(r["seed"], r["k"]): r["h"] for r in cut.collect()}
-    return {(r, s, t): found.get((s, _target(n, t)), "") for r, s, t in wanted}
+    found = {(r["seed"], r["t"]): r["h"] for r in cut.collect()}
+    return {(r, s, t): found.get((s, t), "") for r, s, t in wanted}
 
 
 def assign(df: DataFrame, unit: str, splits: Sequence[Split]) -> DataFrame:
@@ -101,7 +100,7 @@ def membership(df: DataFrame, unit: str, splits: Sequence[Split], name: str = "i
 
 
 def coverage(df: DataFrame, unit: str, label: str, splits: Sequence[Split]) -> DataFrame:
-    """Classes on each side of each split: ``(run, test_size, train_classes, test_classes)``."""
+    """Classes on each side of each split: ``(run, test_size, classes, train_classes, test_classes)``."""
     units = df.groupBy(unit).agg(F.collect_set(label).alias("_labels"))
     return _coverage(_hashed(units, unit, [s.seed for s in splits], ["_labels"]), splits)
 
@@ -117,6 +116,7 @@ def _coverage(hashed: DataFrame, splits: Sequence[Split]) -> DataFrame:
     ])
     each = extremes.select("*", F.explode(F.filter(rules, lambda r: r["seed"] == F.col("seed"))).alias("_r"))
     return each.groupBy("_r.run", "_r.test_size").agg(
+        F.count(F.lit(1)).alias("classes"),
         F.count(F.when(F.col("hi") > F.col("_r.limit"), F.col("label"))).alias("train_classes"),
         F.count(F.when(F.col("lo") <= F.col("_r.limit"), F.col("label"))).alias("test_classes"),
     )
@@ -136,29 +136,28 @@ def sealed_splits(
     A retry adds ``SEED_STEP`` to the seed of that run and size. After ``max_tries`` the data cannot
     be split this way (a class with one recording, for instance) and the call fails.
     """
-    # the one pass over the segments; what follows works on recordings, each with its few classes
+    # one pass over the segments; what follows works on recordings, each with its few classes
     kinds = F.collect_set(label) if label else F.first(F.array().cast("array<string>"))
-    units = settle(df.where(F.col(unit).isNotNull()).groupBy(unit).agg(kinds.alias("_labels")))
-    n = units.count()
-    classes = units.select(F.explode("_labels")).distinct().count() if label else 0
+    units = df.where(F.col(unit).isNotNull()).groupBy(unit).agg(kinds.alias("_labels"))
     pending = [(r, seed + r, t) for t in test_sizes for r in range(runs)]
     done: list[Split] = []
-    for _ in range(max_tries):
+    for tries in range(max_tries):
         hashed = settle(_hashed(units, unit, [s for _, s, _ in pending], ["_labels"]))
-        limits = _limits(hashed, n, pending)
+        limits = _limits(hashed, pending)
         drawn = [Split(r, t, s, limits[(r, s, t)]) for r, s, t in pending]
         if label is None:
             return drawn
         good = {
             (c["run"], c["test_size"])
             for c in _coverage(hashed, drawn).collect()  # one row per split
-            if c["train_classes"] == classes and c["test_classes"] == classes
+            if c["train_classes"] == c["classes"] and c["test_classes"] == c["classes"]
         }
         done += [d for d in drawn if (d.run, d.test_size) in good]
         pending = [(d.run, d.seed + SEED_STEP, d.test_size) for d in drawn if (d.run, d.test_size) not in good]
         if not pending:
             order = {t: i for i, t in enumerate(test_sizes)}
             return sorted(done, key=lambda d: (order[d.test_size], d.run))
+        units = units if tries else settle(units)
     raise ValueError(f"no split with every class on both sides after {max_tries} tries: {pending}")
 
 
