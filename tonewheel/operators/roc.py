@@ -7,6 +7,8 @@ a hot score value is one line. Areas are sums over curve steps; the curve never
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,36 +44,34 @@ def roc_points(df: DataFrame, keys: Sequence[str], y: Column, score: Column, tar
     )
 
 
+def roc_aggregates(pos: Sequence[str], neg: Sequence[str], max_fpr: float = 0.1) -> tuple[Column, Column]:
+    """AUC and standardised partial AUC as aggregates over curve steps.
+
+    The positives of the curve are the sum of the ``pos`` columns, its negatives that of ``neg``; each
+    needs its ``_run`` and ``_all`` columns. So several curves over one order of scores share one
+    window. With one class only there is no curve, and both are NULL.
+    """
+    def added(columns: Sequence[str], suffix: str = "") -> Column:
+        return reduce(add, [F.col(c + suffix) for c in columns]).cast("double")
+
+    p, q, f = added(pos), added(neg), float(max_fpr)
+    tp0, fp0 = added(pos, "_run") - p, added(neg, "_run") - q
+    all_p, all_q = F.max(added(pos, "_all")), F.max(added(neg, "_all"))
+    area = F.sum(q * (tp0 + p / 2))
+    # width of a step left of the limit; the curve is linear inside a step
+    dx = F.least(q, F.greatest(f * added(neg, "_all") - fp0, F.lit(0.0)))
+    part = F.sum(F.coalesce(dx * (tp0 + p * dx / F.nullif(q, F.lit(0.0)) / 2), F.lit(0.0)))
+    low = 0.5 * f * f
+    cells = F.nullif(all_p * all_q, F.lit(0.0))
+    return area / cells, 0.5 * (1 + (part / cells - low) / (f - low))
+
+
 def roc_metrics(
     folded: DataFrame, keys: Sequence[str], max_fpr: float = 0.1, target_rows: int = TARGET_ROWS, sized_by: DataFrame | None = None
 ) -> DataFrame:
-    """``auc`` and standardised partial ``pauc`` of every group, from one pass over the curve.
-
-    A group with one class only has neither, and gets NULL.
-    """
-    steps = roc_steps(folded, keys, target_rows, sized_by)
-    f = float(max_fpr)
-    steps = (
-        steps.withColumn("_tp0", (F.col("pos_run") - F.col("pos")).cast("double"))
-        .withColumn("_fp0", (F.col("neg_run") - F.col("neg")).cast("double"))
-        .withColumn("_full", F.expr("neg * (_tp0 + pos / 2D)"))
-        # width of the step left of the limit; the curve is linear inside a step
-        .withColumn("_dx", F.expr(f"least(cast(neg as double), greatest({f}D * neg_all - _fp0, 0D))"))
-        .withColumn("_part", F.expr("case when neg > 0 then _dx * (_tp0 + pos * _dx / neg / 2D) else 0D end"))
-    )
-    out = steps.groupBy(*keys).agg(
-        F.max("pos_all").cast("double").alias("_p"),
-        F.max("neg_all").cast("double").alias("_q"),
-        F.sum("_full").alias("_a"),
-        F.sum("_part").alias("_b"),
-    )
-    both = "_p > 0 and _q > 0"
-    low, high = 0.5 * f * f, f
-    return out.select(
-        *keys,
-        F.expr(f"case when {both} then _a / (_p * _q) end").alias("auc"),
-        F.expr(f"case when {both} then 0.5D * (1D + (_b / (_p * _q) - {low}D) / ({high}D - {low}D)) end").alias("pauc"),
-    )
+    """``auc`` and ``pauc`` of every group, from one pass over its curve."""
+    auc, pauc = roc_aggregates(["pos"], ["neg"], max_fpr)
+    return roc_steps(folded, keys, target_rows, sized_by).groupBy(*keys).agg(auc.alias("auc"), pauc.alias("pauc"))
 
 
 def roc_by_group(

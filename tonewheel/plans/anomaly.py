@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tonewheel.operators import knn
 from tonewheel.operators.metrics import hmean, hmean_of, mean_of
-from tonewheel.operators.roc import fold_scores, roc_metrics
-from tonewheel.operators.skew import TARGET_ROWS
+from tonewheel.operators.roc import roc_aggregates
+from tonewheel.operators.skew import TARGET_ROWS, running_sums
 from tonewheel.session import settle
 
 # Grouping of train and test rows per scale; ``mt2set`` merges the dev and eval subsets.
@@ -108,50 +108,42 @@ def _scored(detect: Detector, scored: DataFrame, train: DataFrame, keys: list[st
 
 
 
-def _tagged(folded: DataFrame, keys: list[str], shared_anomalies: bool) -> DataFrame:
-    """Fold per domain first, then repeat the few folded lines for the subsets they belong to."""
-    if shared_anomalies:
-        own = F.when(F.col("domain") == 0, "sou").otherwise("tar")
-        other = F.when(F.col("domain") == 0, "tar").otherwise("sou")
-        tags = F.array(
-            F.struct(F.lit("all").alias("tag"), F.col("pos"), F.col("neg")),
-            F.struct(own.alias("tag"), F.col("pos"), F.col("neg")),
-            F.struct(other.alias("tag"), F.col("pos"), F.lit(0).cast("bigint").alias("neg")),
-            F.struct(F.concat(F.lit("dom_"), own).alias("tag"), F.col("pos"), F.col("neg")),
-        )
-    else:
-        tags = F.array(
-            F.struct(F.when(F.col("domain") == 0, "sou").otherwise("tar").alias("tag"), F.col("pos"), F.col("neg"))
-        )
-    rows = folded.select(*keys, "score", F.explode(tags).alias("_t")).select(*keys, "score", "_t.tag", "_t.pos", "_t.neg")
-    return rows.groupBy(*keys, "tag", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 0")
-
-
 def section_metrics(scores: DataFrame, year: int, keys: Sequence[str] = ("setn", "mt", "sec"), target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Metrics of every section in percent, by the rules of the year."""
+    """Metrics of every section in percent, by the rules of the year.
+
+    Rows are folded to counts per score and domain, and all curves of a section (a domain against
+    its own anomalies, or against those of both) are read off one ordered pass.
+    """
     keys = list(keys)
-    y, s = F.col("status"), F.col("score")
+    hit, source = F.col("status") == 1, F.col("domain") == 0
+
+    def count(condition):
+        return F.count(F.when(condition, 1))
+
+    parts = {"ps": hit & source, "pt": hit & ~source, "ns": ~hit & source, "nt": ~hit & ~source}
+    if year == 20:
+        parts = {"pos": hit, "neg": ~hit}
+    used = scores.where(F.col("status").isNotNull() & F.col("score").isNotNull())
+    folded = used.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(*[count(c).alias(n) for n, c in parts.items()])
+    steps = running_sums(folded, keys, ["score"], list(parts), True, target_rows, scores)
     if year == 20:
-        out = roc_metrics(fold_scores(scores, keys, y, s), keys, target_rows=target_rows, sized_by=scores)
-        out = out.select(*keys, (F.col("auc") * 100).alias("auc"), (F.col("pauc") * 100).alias("pauc"))
-        return out.withColumn("mean", mean_of("auc", "pauc"))
-    tagged = _tagged(fold_scores(scores, [*keys, "domain"], y, s), keys, shared_anomalies=year != 21)
-    by_tag = roc_metrics(tagged, [*keys, "tag"], target_rows=target_rows, sized_by=scores.withColumn("tag", F.lit("all")))
-
-    def pick(tag: str, metric: str):
-        return F.max(F.when(F.col("tag") == tag, F.col(metric) * 100))
-
-    if year == 21:
-        wide = {"auc_s": pick("sou", "auc"), "pauc_s": pick("sou", "pauc"), "auc_t": pick("tar", "auc"), "pauc_t": pick("tar", "pauc")}
-        means = list(wide)
+        auc, pauc = roc_aggregates(["pos"], ["neg"])
+        wide, last = {"auc": auc, "pauc": pauc}, mean_of("auc", "pauc").alias("mean")
+    elif year == 21:
+        sou, tar = roc_aggregates(["ps"], ["ns"]), roc_aggregates(["pt"], ["nt"])
+        wide = {"auc_s": sou[0], "pauc_s": sou[1], "auc_t": tar[0], "pauc_t": tar[1]}
+        last = hmean_of(*wide).alias("hmean")
     else:
+        anomalies = ["ps", "pt"]
         wide = {
-            "auc_s": pick("sou", "auc"), "auc_t": pick("tar", "auc"), "pauc": pick("all", "pauc"),
-            "auc_dom_s": pick("dom_sou", "auc"), "auc_dom_t": pick("dom_tar", "auc"),
+            "auc_s": roc_aggregates(anomalies, ["ns"])[0],
+            "auc_t": roc_aggregates(anomalies, ["nt"])[0],
+            "pauc": roc_aggregates(anomalies, ["ns", "nt"])[1],
+            "auc_dom_s": roc_aggregates(["ps"], ["ns"])[0],
+            "auc_dom_t": roc_aggregates(["pt"], ["nt"])[0],
         }
-        means = ["auc_s", "auc_t", "pauc"]
-    out = by_tag.groupBy(*keys).agg(*[c.alias(n) for n, c in wide.items()])
-    return out.withColumn("hmean", hmean_of(*means))
+        last = hmean_of("auc_s", "auc_t", "pauc").alias("hmean")
+    return steps.groupBy(*keys).agg(*[(c * 100).alias(n) for n, c in wide.items()]).select("*", last)
 
 
 def _fold(year: int):
