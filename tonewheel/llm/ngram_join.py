@@ -17,27 +17,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.llm.graphs import components
-from tonewheel.llm.prints import joined_bytes, mixed, shingle_hashes, word_hashes
+from tonewheel.llm.prints import mixed, text_shingles
 from tonewheel.llm.shared import maybe_broadcast
 from tonewheel.session import settle
 
 BITMAP_WORDS = 8
 TILE_ROWS = 256
+HELD_HASHES = 1 << 18
+LOOSER = 30
 MIN_BUCKETS, MAX_BUCKETS = 1 << 16, 1 << 22
 
 
 def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words, _, _, bounds = word_hashes(*joined_bytes(texts))
-    for k in range(len(bounds) - 1):
-        yield np.unique(shingle_hashes(words[bounds[k]: bounds[k + 1]], size))
+    return map(np.unique, text_shingles(texts, size))
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.unique(mixed(hashes) % np.uint64(64 * BITMAP_WORDS))
-    out = np.zeros(BITMAP_WORDS, dtype=np.uint64)
-    np.bitwise_or.at(out, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
-    return out
+def bitmap(hashes: np.ndarray) -> bytes:
+    marks = np.zeros(64 * BITMAP_WORDS, dtype=bool)
+    marks[(mixed(hashes) % np.uint64(len(marks))).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS)
+
+
+def class_digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes, digest_size=16).digest()
 
 
 def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -45,10 +52,15 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _bucket_counts(held: list[np.ndarray], buckets: int) -> np.ndarray:
+    every = np.concatenate([np.zeros(0, dtype=np.uint64), *held])
+    return np.bincount((every % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -62,14 +74,18 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
             ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
         ])
         for batch in batches:
-            ns, classes, shorts, bits = [], [], [], []
+            ns, classes, shorts, bits, held = [], [], [], [], []
             for hashes in text_sets(batch.column(1), size):
-                digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                np.add.at(counts, (hashes % np.uint64(buckets)).astype(np.int64), 1)
+                digest = class_digest(hashes)
+                held.append(hashes)
                 ns.append(len(hashes))
                 classes.append(digest if len(hashes) else None)
                 shorts.append(int.from_bytes(digest[:8], "little", signed=True) if len(hashes) else None)
-                bits.append(bitmap(hashes).tobytes() if len(hashes) else None)
+                bits.append(bitmap(hashes) if len(hashes) else None)
+                if sum(map(len, held)) > HELD_HASHES:
+                    counts += _bucket_counts(held, buckets)
+                    held = []
+            counts += _bucket_counts(held, buckets)
             blank = pa.nulls(len(ns))
             columns = [batch.column(0), ns, classes, shorts, bits, blank, blank]
             yield pa.record_batch([
@@ -92,12 +108,13 @@ def _postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray) -> D
             for hashes in text_sets(batch.column(0), size):
                 if not len(hashes):
                     continue
-                short = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()[:8]
+                short = class_digest(hashes)[:8]
                 if short in done:
                     continue
                 done.add(short)
                 level = levels[(hashes % np.uint64(len(levels))).astype(np.int64)]
-                first = hashes[np.argsort(level, kind="stable")][: int(prefix_length(np.int64(len(hashes)), percent))]
+                ordered = hashes[np.argsort(level, kind="stable")] if level.any() else hashes
+                first = ordered[: prefix_length(len(hashes), percent)]
                 keys.append(_signed(first))
                 shorts.append(np.full(len(first), int.from_bytes(short, "little", signed=True), dtype=np.int64))
                 ns.append(np.full(len(first), len(hashes), dtype=np.int32))
@@ -120,16 +137,16 @@ def _levels(sketch: DataFrame, buckets: int) -> np.ndarray:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose bitmaps leave room for the overlap they need."""
+    """Pairs of ``short`` digests as pairs ``a, b`` of nodes whose bitmaps leave room for the overlap they need."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.col("short").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "bits")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [batch.column(c).to_numpy().astype(np.int64) for c in (1, 4)]
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS) for c in (2, 5)]
-            ok = room(n[0], bits[0], n[1], bits[1]) >= overlap_needed(n[0], n[1], percent)
-            yield pa.record_batch([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(ok))
+            n = [batch.column(c).to_numpy() for c in (1, 4)]
+            left = room(n[0], _bitmaps(batch.column(2)), n[1], _bitmaps(batch.column(5)))
+            ok = pa.array(left >= overlap_needed(n[0], n[1], percent))
+            yield pa.record_batch([batch.column(0), batch.column(3)], names=["a", "b"]).filter(ok)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b")
     return both.select("rep_a", "n_a", "bits_a", "rep_b", "n_b", "bits_b").mapInArrow(run, "a long, b long").distinct()
@@ -142,86 +159,145 @@ def room(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarra
     return np.minimum(n_a - only_a, n_b - only_b)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs that link, by exact intersection; only texts of pairs are hashed again."""
-    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([h.tobytes() for h in text_sets(batch.column(1), size)], type=pa.binary())
-            digest = pa.array([hashlib.blake2b(h, digest_size=16).digest() for h in found.to_pylist()], type=pa.binary())
-            yield pa.record_batch([batch.column(0), digest, found], names=["_id", "_cls", "hashes"])
-
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``rep, hashes`` of the texts of these nodes: only they are hashed again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+            found = [(i, class_digest(h), h.tobytes()) for i, h in zip(batch.column(0).to_pylist(), text_sets(batch.column(1), size), strict=True)]
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array([f[k] for f in found], type=t) for k, t in enumerate(kinds)], names=["rep", "cls", "hashes"])
 
-    held = docs.join(maybe_broadcast(needed), F.col("doc_id") == F.col("_id"), "left_semi")
-    found = settle(held.mapInArrow(sets, "_id long, _cls binary, hashes binary"))
-    a, b = (found.select(F.col("_id").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    return settle(joined.mapInArrow(run, "a long, b long").distinct())
+    held = docs.join(maybe_broadcast(ids.select(F.col("rep").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
+    made = held.mapInArrow(run, "rep long, cls binary, hashes binary")
+    return settle(made.join(ids.select("rep", "cls"), ["rep", "cls"]).dropDuplicates(["rep"]))  # an id may have two texts
 
 
-def _cross_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one tile that no path of links joins yet and whose bitmaps leave room.
+def _links(sets: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (positions) that link, by exact intersection of sorted arrays.
 
-    A key's texts are cut by size into bands (a link spans at most two neighbouring ones) and each band into tiles of
-    about ``TILE_ROWS`` texts by a hash; a task compares two tiles. Keys whose texts are already one component are done.
+    Where most of a cell has to be compared, one product of 0/1 matrices gives all intersections, a strip of hashes at a
+    time; the counts are the same.
     """
-    base = 100 / percent
-    labelled = (
-        shared.join(nodes.select("short", "rep", "bits"), "short")
-        .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("key", "rep", "n", "bits", F.coalesce("component", "rep").alias("component"))
-        .withColumn("band", F.floor(F.log("n") / F.log(F.lit(base)) + 1e-9).cast("int"))
-    )
-    labelled = settle(labelled)
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    sizes = labelled.groupBy("key", "band").agg(F.count("*").alias("rows"))
-    tiles = sizes.select("key", "band", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("tiles"))
-    above = tiles.select("key", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
-    below = tiles.select("key", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
-    laid = tiles.join(above, ["key", "band"], "left").join(below, ["key", "band"], "left").fillna(0)
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    rows = labelled.join(open_keys.select("key"), "key", "left_semi").join(laid, ["key", "band"]).withColumn("own", own)
-
-    def pair(lo_band, lo_tile, hi_band, hi_tile, left):
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    x, y = pairs
+    if len(x) > 2000:
+        every, place = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        for lo in range(0, len(every), 8192):
+            a, b = np.searchsorted(place, (lo, lo + 8192))
+            strip = np.zeros((len(sets), min(8192, len(every) - lo)), dtype=np.float32)
+            strip[owner[a:b], place[a:b] - lo] = 1
+            both += strip @ strip.T
+        shared = both[x, y].astype(np.int64)
+        linked = 100 * shared >= percent * (sizes[x] + sizes[y] - shared)
+        x, y, known = x[linked], y[linked], True
+    else:
+        known = False
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = root(i), root(j)
+        if a != b:
+            if not known:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared < percent * (len(sets[i]) + len(sets[j]) - shared):
+                    continue
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def _cells(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """Rows (``group``, ``rep``, ``n``, ..) dealt to cells ``b1, t1, b2, t2``: two tiles of a group that are compared.
+
+    A group is cut by size into bands (a link spans at most two neighbouring ones) and each band into tiles of about
+    ``TILE_ROWS`` rows by a hash of the node; ``left`` says which of its cell's two tiles a row is of.
+    """
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int"))
+    tiles = rows.groupBy(group, "band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
+    above = tiles.select(group, (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
+    below = tiles.select(group, (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
+    laid = tiles.join(above, [group, "band"], "left").join(below, [group, "band"], "left").fillna(0)
+    own, band = F.col("own"), F.col("band")
+
+    def cell(lo_band, lo_tile, hi_band, hi_tile, left):
         return F.struct(lo_band.alias("b1"), lo_tile.alias("t1"), hi_band.alias("b2"), hi_tile.alias("t2"), left.alias("left"))
 
     def upto(n):
         return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    same = F.transform(upto(F.col("tiles")), lambda t: pair(
-        F.col("band"), F.least(t, F.col("own")), F.col("band"), F.greatest(t, F.col("own")), F.col("own") <= t))
-    up = F.transform(upto(F.col("above")), lambda t: pair(F.col("band"), F.col("own"), F.col("band") + 1, t, F.lit(True)))
-    down = F.transform(upto(F.col("below")), lambda t: pair(F.col("band") - 1, t, F.col("band"), F.col("own"), F.lit(False)))
-    dealt = rows.select("key", "rep", "n", "bits", "component", F.explode(F.concat(same, up, down)).alias("cell")).select(
-        "key", "cell.*", "rep", "n", "bits", "component"
+    same = F.transform(upto(F.col("tiles")), lambda t: cell(band, F.least(t, own), band, F.greatest(t, own), own <= t))
+    up = F.transform(upto(F.col("above")), lambda t: cell(band, own, band + 1, t, F.lit(True)))
+    down = F.transform(upto(F.col("below")), lambda t: cell(band - 1, t, band, own, F.lit(False)))
+    dealt = rows.join(laid, [group, "band"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    return dealt.withColumn("cell", F.explode(F.concat(same, up, down))).select("*", "cell.*").drop(
+        "cell", "own", "tiles", "above", "below", "band"
     )
 
+
+def _open_pairs(table: pa.Table, percent: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a cell's pairs, each once, whose bitmaps leave room (and that ``apart`` tells apart)."""
+    n, bits, left = table.column("n").to_numpy(), _bitmaps(table.column("bits").combine_chunks()), table.column("left").to_numpy()
+    one = table.column("b1")[0] == table.column("b2")[0] and table.column("t1")[0] == table.column("t2")[0]
+    every = np.arange(len(n))
+    rows, cols = (every, every) if one else (np.flatnonzero(left), np.flatnonzero(~left))
+    x, y = [every[:0]], [every[:0]]
+    for i in rows:
+        others = cols[cols > i] if one else cols
+        if apart is not None:
+            others = others[apart[others] != apart[i]]
+        fits = others[room(n[i], bits[i], n[others], bits[others]) >= overlap_needed(n[i], n[others], percent)]
+        x.append(np.full(len(fits), i))
+        y.append(fits)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links within families, compared cell by cell; a cell hands on a spanning forest, never its pairs."""
     def run(table: pa.Table) -> pa.Table:
-        rep, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS)
-        left = table.column("left").to_numpy()
-        one = table.column("b1")[0] == table.column("b2")[0] and table.column("t1")[0] == table.column("t2")[0]
-        rows, cols = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
-        out = []
-        for i in rows:
-            others = cols[(comp[cols] != comp[i]) & ((rep[cols] > rep[i]) | (not one))]
-            if len(others):
-                fits = room(n[i], bits[i], n[others], bits[others]) >= overlap_needed(n[i], n[others], percent)
-                out += [(rep[i], j) for j in rep[others[fits]]]
-        a, b = (pa.array([x[k] for x in out], type=pa.int64()) for k in (0, 1))
-        return pa.table({"a": a, "b": b})
-
-    found = dealt.groupBy("key", "b1", "t1", "b2", "t2").applyInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rep = table.column("rep").to_numpy()
+        sets = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").to_pylist()]
+        out = _links(sets, _open_pairs(table, percent), percent)
+        return pa.table({c: pa.array([rep[o[k]] for o in out], type=pa.int64()) for k, c in enumerate("ab")})
+
+    cells = _cells(members, "family", percent)
+    return settle(cells.groupBy("family", "b1", "t1", "b2", "t2").applyInArrow(run, "a long, b long"))
+
+
+def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between texts of different families that share a key: pairs by bitmap from each key's cells, then exact."""
+    def run(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        x, y = _open_pairs(table, percent, table.column("family").to_numpy())
+        return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(h, dtype=np.uint64) for h in batch.column(c).to_pylist()] for c in (2, 3)]
+            keep = [bool(_links([x, y], (np.array([0]), np.array([1])), percent)) for x, y in zip(*sides, strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    labelled = settle(
+        shared.join(nodes.select("short", "rep", "bits"), "short").join(families, "rep", "left")
+        .select("key", "rep", F.col("n").cast("long").alias("n"), "bits", F.coalesce("family", "rep").alias("family"))
+    )
+    mixed_keys = labelled.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi")
+    cells = _cells(labelled.join(mixed_keys.select("key"), "key", "left_semi"), "key", percent)
+    pairs = settle(cells.groupBy("key", "b1", "t1", "b2", "t2").applyInArrow(run, "a long, b long").distinct())
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, nodes.join(ids, "rep", "left_semi"), size)
+    a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
+    return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -232,9 +308,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     Rows with a null doc_id link with nothing and have no component. Repeated rows come back as often as they come in;
     an empty table gives no rows.
 
-    Equal sets are one node from the start. Nodes that share a tile key are first compared with the key's least and
-    greatest node only, which joins a large group of copies by about as many pairs as it has members; what is still
-    apart is compared tile by tile. So no group is ever written out as pairs, and no link between components is lost.
+    Equal sets are one node from the start. Nodes that share a tile key are compared by bitmap with the key's least and
+    greatest node; those that may be alike form families, which a group of many copies enters by about as many pairs as
+    it has members. Families are compared cell by cell inside tasks. What shares a key across families is compared by
+    bitmap and then exactly. So no group is ever written out as pairs, and no link between components is lost.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, 2 ** np.ceil(np.log2(max(1, rows.count()) / 8)))))
@@ -246,22 +323,17 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
     )
     posted = _postings(rows.filter("doc_id is not null").select("text"), size, percent, levels)
-    keys = (
-        posted.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).filter("lo <> hi")
-    )
+    keys = posted.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).filter("lo <> hi")
     shared = settle(posted.join(keys, "key").distinct())
-    near = F.col("short") != F.col("other")
-    pairs = (
-        shared.select("short", F.explode(F.array("lo", "hi")).alias("other")).filter(near)
+    stars = (
+        shared.select("short", F.explode(F.array("lo", "hi")).alias("other")).filter("short <> other")
         .select(F.least("short", "other").alias("a"), F.greatest("short", "other").alias("b")).distinct()
     )
-    once = settle(_possible(pairs, nodes, percent))
-    links = _verified(once, rows, size, percent)
-    comps = components(links, "a", "b")
-    many = shared.groupBy("key").count().filter("count > 3").select("key")  # up to three: all pairs are done
-    rest = settle(_cross_pairs(shared.join(many, "key", "left_semi").select("key", "short", "n"), nodes, comps, percent))
-    if rest.limit(1).count():
-        comps = components(links.union(_verified(rest, rows, size, percent)), "a", "b")
+    families = components(_possible(stars, nodes, percent - LOOSER), "a", "b").toDF("rep", "family")
+    members = nodes.join(families, "rep").select("rep", "cls", "n", "bits", "family")
+    inner = _family_links(members.join(_sets(rows, members, size).select("rep", "hashes"), "rep").drop("cls"), percent)
+    outer = _cross_links(shared.select("key", "short", "n"), nodes, families, rows, size, percent)
+    comps = components(inner.union(outer), "a", "b")
     return (
         kept.join(nodes.select("cls", "rep", "n_same"), "cls", "left")
         .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
