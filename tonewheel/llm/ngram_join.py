@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.llm.graphs import components
-from tonewheel.llm.prints import mixed, text_shingles
+from tonewheel.llm.prints import text_shingles
 from tonewheel.llm.shared import maybe_broadcast
 from tonewheel.session import settle
 
-BITMAP_WORDS = 8
+#: A bitmap has at least two bits a shingle, within these bounds, and always a power of two.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 TILE_ROWS = 256
 HELD_HASHES = 1 << 18
-LOOSER = 30
-MIN_BUCKETS, MAX_BUCKETS = 1 << 16, 1 << 22
+#: Per cent by which two texts of a family may lie below the similarity asked for.
+LOOSER = 15
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
 
 
 def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -34,13 +36,20 @@ def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    marks = np.zeros(64 * BITMAP_WORDS, dtype=bool)
-    marks[(mixed(hashes) % np.uint64(len(marks))).astype(np.int64)] = True
+    bits = LEAST_BITS
+    while bits < min(2 * len(hashes), MOST_BITS):
+        bits *= 2
+    marks = np.zeros(bits, dtype=bool)
+    marks[(hashes & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(marks).tobytes()
 
 
-def _bitmaps(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_WORDS)
+def _folded(signatures: list[bytes], bits: int) -> np.ndarray:
+    """One row of 64-bit words each; longer bitmaps are folded, as halves stand for the same hashes with a bit less."""
+    out = np.zeros((len(signatures), bits // 64), dtype=np.uint64)
+    for k, s in enumerate(signatures):
+        out[k] = np.bitwise_or.reduce(np.frombuffer(s, dtype=np.uint64).reshape(-1, bits // 64), axis=0)
+    return out
 
 
 def class_digest(hashes: np.ndarray) -> bytes:
@@ -91,7 +100,7 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
             yield pa.record_batch([
                 pa.array(c, type=f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)
             ], schema=schema)
-        used = np.flatnonzero(counts)
+        used = np.flatnonzero(counts >= max(4, 2 * counts.mean()))  # what is frequent here; the rest says little
         one = [[None]] * 5 + [[used.tolist()], [counts[used].tolist()]]
         yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(one, schema, strict=True)], schema=schema)
 
@@ -126,14 +135,13 @@ def _postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray) -> D
     return rows.mapInArrow(run, "key long, short long, n int")
 
 
-def _levels(sketch: DataFrame, buckets: int) -> np.ndarray:
+def _levels(sketch: DataFrame, buckets: int, mean: float) -> np.ndarray:
     """Per bucket: 0, or how many doublings its count lies above four times the mean. One byte each, bounded."""
     counts = np.zeros(buckets, dtype=np.float64)
     total = sketch.select(F.explode(F.arrays_zip("bucket", "times")).alias("x")).select("x.*")
     for part in total.groupBy("bucket").agg(F.sum("times").alias("times")).toArrow().to_batches():
         counts[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    mean = max(counts.mean(), 1.0)
-    return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / (4 * mean))) + 1, 0).astype(np.int8)
+    return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / (4 * max(mean, 1)))) + 1, 0).astype(np.int8)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -144,8 +152,11 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [batch.column(c).to_numpy() for c in (1, 4)]
-            left = room(n[0], _bitmaps(batch.column(2)), n[1], _bitmaps(batch.column(5)))
-            ok = pa.array(left >= overlap_needed(n[0], n[1], percent))
+            left = []
+            for n_a, a, n_b, b in zip(n[0], batch.column(2).to_pylist(), n[1], batch.column(5).to_pylist(), strict=True):
+                x, y = _folded([a, b], 8 * min(len(a), len(b)))
+                left.append(room(n_a, x, n_b, y))
+            ok = pa.array(np.array(left, dtype=np.int64) >= overlap_needed(n[0], n[1], percent))
             yield pa.record_batch([batch.column(0), batch.column(3)], names=["a", "b"]).filter(ok)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b")
@@ -245,20 +256,22 @@ def _cells(rows: DataFrame, group: str, percent: int) -> DataFrame:
     )
 
 
-def _open_pairs(table: pa.Table, percent: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(n, signatures, left, one, percent, apart=None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of a cell's pairs, each once, whose bitmaps leave room (and that ``apart`` tells apart)."""
-    n, bits, left = table.column("n").to_numpy(), _bitmaps(table.column("bits").combine_chunks()), table.column("left").to_numpy()
-    one = table.column("b1")[0] == table.column("b2")[0] and table.column("t1")[0] == table.column("t2")[0]
     every = np.arange(len(n))
     rows, cols = (every, every) if one else (np.flatnonzero(left), np.flatnonzero(~left))
     x, y = [every[:0]], [every[:0]]
-    for i in rows:
-        others = cols[cols > i] if one else cols
-        if apart is not None:
-            others = others[apart[others] != apart[i]]
-        fits = others[room(n[i], bits[i], n[others], bits[others]) >= overlap_needed(n[i], n[others], percent)]
-        x.append(np.full(len(fits), i))
-        y.append(fits)
+    if len(cols) and (apart is None or (apart != apart[0]).any()):
+        bits = _folded(signatures, 8 * min(map(len, signatures)))
+        for i in rows:
+            others = cols[cols > i] if one else cols
+            others = others[np.minimum(n[others], n[i]) >= overlap_needed(n[i], n[others], percent)]
+            if apart is not None:
+                others = others[apart[others] != apart[i]]
+            if len(others):
+                fits = others[room(n[i], bits[i], n[others], bits[others]) >= overlap_needed(n[i], n[others], percent)]
+                x.append(np.full(len(fits), i))
+                y.append(fits)
     return np.concatenate(x), np.concatenate(y)
 
 
@@ -267,7 +280,9 @@ def _family_links(members: DataFrame, percent: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
         sets = [np.frombuffer(h, dtype=np.uint64) for h in table.column("hashes").to_pylist()]
-        out = _links(sets, _open_pairs(table, percent), percent)
+        n, left = table.column("n").to_numpy(), table.column("left").to_numpy()
+        one = table.column("b1")[0] == table.column("b2")[0] and table.column("t1")[0] == table.column("t2")[0]
+        out = _links(sets, _open_pairs(n, table.column("bits").to_pylist(), left, one, percent), percent)
         return pa.table({c: pa.array([rep[o[k]] for o in out], type=pa.int64()) for k, c in enumerate("ab")})
 
     cells = _cells(members, "family", percent)
@@ -277,9 +292,19 @@ def _family_links(members: DataFrame, percent: int) -> DataFrame:
 def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between texts of different families that share a key: pairs by bitmap from each key's cells, then exact."""
     def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        x, y = _open_pairs(table, percent, table.column("family").to_numpy())
-        return pa.table({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y])})
+        cell, rep, n, family, left, one = (
+            table.column(c).to_numpy() for c in ("cell_id", "rep", "n", "family", "left", "one")
+        )
+        order = np.argsort(cell, kind="stable")
+        bits = table.column("bits").to_pylist()
+        out = []
+        for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            if len(at) > 1:
+                x, y = _open_pairs(n[at], [bits[k] for k in at], left[at], one[at[0]], percent, family[at])
+                out.append((rep[at[x]], rep[at[y]]))
+        a, b = (np.concatenate([o[k] for o in out]) if out else rep[:0] for k in (0, 1))
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": found[0], "b": found[1]})
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,9 +316,20 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
         shared.join(nodes.select("short", "rep", "bits"), "short").join(families, "rep", "left")
         .select("key", "rep", F.col("n").cast("long").alias("n"), "bits", F.coalesce("family", "rep").alias("family"))
     )
-    mixed_keys = labelled.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi")
-    cells = _cells(labelled.join(mixed_keys.select("key"), "key", "left_semi"), "key", percent)
-    pairs = settle(cells.groupBy("key", "b1", "t1", "b2", "t2").applyInArrow(run, "a long, b long").distinct())
+    # of up to three texts every pair holds the least or the greatest digest, and so has been compared
+    mixed_keys = (
+        labelled.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("rows"))
+        .filter("lo < hi and rows > 3")
+    )
+    cells = _cells(settle(labelled.join(mixed_keys.select("key"), "key", "left_semi")), "key", percent)
+    cells = cells.select(
+        F.xxhash64("key", "b1", "t1", "b2", "t2").alias("cell_id"), "rep", "n", "bits", "family", "left",
+        F.expr("b1 = b2 and t1 = t2").alias("one"),
+    )
+    # many small cells to a task's call; a cell itself is bounded
+    groups = 1 + labelled.count() // TILE_ROWS
+    dealt = cells.withColumn("deal", F.pmod(F.xxhash64("cell_id"), F.lit(groups)))
+    pairs = settle(dealt.groupBy("deal").applyInArrow(run, "a long, b long").distinct())
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes.join(ids, "rep", "left_semi"), size)
     a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
@@ -314,9 +350,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     bitmap and then exactly. So no group is ever written out as pairs, and no link between components is lost.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = int(min(MAX_BUCKETS, max(MIN_BUCKETS, 2 ** np.ceil(np.log2(max(1, rows.count()) / 8)))))
+    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 ** np.ceil(np.log2(4 * max(1, rows.count()))))))
     first = settle(_sketched(rows, size, buckets))
-    levels = _levels(first.filter("bucket is not null"), buckets)
+    every = first.agg(F.sum("n")).first()[0] or 0
+    levels = _levels(first.filter("bucket is not null"), buckets, every / buckets)
     kept = first.filter("bucket is null").select("doc_id", "n", "cls", "short", "bits")
     nodes = settle(
         kept.filter("n > 0 and doc_id is not null").groupBy("cls", "short", "n", "bits")
