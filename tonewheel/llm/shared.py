@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Hashable
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,14 @@ from tonewheel.functions.arrays import let
 BROADCAST_KEYS = 2_000_000
 
 
+def kept(key: Hashable, make: Callable[[], object]):
+    """An object that a Python worker makes once: functions come anew with every task, loaded modules stay."""
+    store = vars(sys.modules.setdefault("tonewheel_worker_store", ModuleType("tonewheel_worker_store")))
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def maybe_broadcast(keys: DataFrame) -> DataFrame:
     """Marked for broadcast if it is counted to be small, else left to a shuffled join."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys

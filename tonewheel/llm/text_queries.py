@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from tonewheel.llm.bpe import round_trip
 from tonewheel.llm.ngram_join import jaccard_components
 from tonewheel.llm.registry import load, query
 
@@ -9,3 +12,9 @@ from tonewheel.llm.registry import load, query
 @query("op3_ngram_join")
 def op3_ngram_join(spark, sf_dir):
     return jaccard_components(load(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip(load(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
