@@ -94,25 +94,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes), first, np.concatenate(ends), np.searchsorted(first, starts)
 
 
+def run_hashes(words: np.ndarray, run: int, size: int) -> np.ndarray:
+    """Of every run of ``run`` words, as the whole of a text that has fewer words than ``size`` is hashed."""
+    weight = _stream(size, 5003)
+    with np.errstate(over="ignore"):
+        total = np.full(max(len(words) - run + 1, 0), 0 if run == size else 7919 * run, dtype=np.uint64)
+        for k in range(run if len(total) else 0):
+            total += words[k: len(words) - run + 1 + k] * weight[k]
+    return mixed(total)
+
+
 def text_shingles(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Of each text: the hash of every run of ``size`` words; of the whole sequence if it has fewer; none without words."""
     data, starts = joined_bytes(texts)
-    weight = _stream(size, 5003)
     row = 0
     while row < len(starts) - 1:  # texts of about four megabytes at a time
         upto = max(row + 1, int(np.searchsorted(starts, starts[row] + 4 * BLOCK_BYTES, side="right")) - 1)
         words, _, _, bounds = word_hashes(data[starts[row]: starts[upto]], starts[row: upto + 1] - starts[row])
-        with np.errstate(over="ignore"):
-            runs = np.zeros(max(len(words) - size + 1, 0), dtype=np.uint64)
-            for k in range(size):
-                runs += words[k: len(words) - size + 1 + k] * weight[k] if len(runs) else runs
-            runs = mixed(runs)
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a >= size:
-                    yield runs[a: b - size + 1]
-                elif b == a:
-                    yield words[:0]
-                else:
-                    short = (words[a:b] * weight[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(7919 * (b - a))
-                    yield mixed(short)
+        runs = run_hashes(words, size, size)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b == a:
+                yield words[:0]
+            else:
+                yield runs[a: b - size + 1] if b - a >= size else run_hashes(words[a:b], b - a, size)
         row = upto

@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from tonewheel.llm.bpe import round_trip
+from tonewheel.llm.decontamination import leaks
+from tonewheel.llm import toxicity
 from tonewheel.llm.ngram_join import jaccard_components
 from tonewheel.llm.registry import load, query
 
@@ -18,3 +20,16 @@ def op3_ngram_join(spark, sf_dir):
 def op2_byte_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(load(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op1_toxicity_chain")
+def op1_toxicity_chain(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    labels = toxicity.with_categories(load(spark, sf_dir, "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, ["low_quality", "toxic"]))
+    return found.drop("text")
