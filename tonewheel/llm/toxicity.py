@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,8 @@ from tonewheel.session import settle
 
 #: Labelled documents that the chain is fitted on at most, drawn by a hash of their ids; scoring reads every document.
 MAX_LABELLED = 20_000
-VOCABULARY, LEAST_DOCS = 1 << 16, 5
+#: Words per category whose share of positive documents is farthest from the category's; each in so many documents.
+VOCABULARY, LEAST_DOCS = 1_500, 5
 FOLDS = 2
 STEPS = 30
 PARTS = 2
@@ -78,6 +79,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], b
     return settle(_facts(texts).drop("text"))
 
 
+def telling_words(facts: DataFrame, categories: list[str]) -> list[str]:
+    """The vocabulary: for each category the words that tell most, by the distance of their counts from chance."""
+    n = facts.agg(F.count("*"), *[F.avg(c) for c in categories]).first()
+    counted = settle(
+        facts.select(F.explode(F.array_distinct("words")).alias("word"), *categories).groupBy("word")
+        .agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("docs") >= LEAST_DOCS)
+    )
+    found: set[str] = set()
+    for k, category in enumerate(categories):
+        chance = F.col("docs") * n[1 + k]
+        far = F.abs(F.col(category) - chance) / F.sqrt(chance * (1 - n[1 + k]))
+        found |= {r[0] for r in counted.orderBy(far.desc(), "word").limit(VOCABULARY).select("word").collect()}
+    return sorted(found) or ["-"]
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int = MAX_LABELLED) -> Chain | None:
     """The chain in the order of ``categories`` (0/1 columns of ``labels``); None if a category has only one class.
 
@@ -88,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int =
     both = facts.agg(*[F.min(c) for c in categories], *[F.max(c) for c in categories]).first()
     if any(both[k] is None or both[k] == both[k + len(categories)] for k in range(len(categories))):
         return None
-    words = CountVectorizer(inputCol="words", outputCol="bag", binary=True, minDF=LEAST_DOCS, vocabSize=VOCABULARY).fit(facts)
+    words = CountVectorizerModel.from_vocabulary(telling_words(facts, categories), inputCol="words", outputCol="bag")
+    words.setBinary(True)
     chain = Chain(words, categories)
     rows = words.transform(facts).drop("words").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
     for k, category in enumerate(categories):
