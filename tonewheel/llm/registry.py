@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PARTS = ("text_queries",)
+PARTS = ("text_queries", "table_queries")
 
 
 def query(name: str, sql: str | None = None):

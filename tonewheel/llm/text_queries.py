@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from tonewheel.llm import toxicity
 from tonewheel.llm.bpe import round_trip
 from tonewheel.llm.decontamination import leaks
-from tonewheel.llm import toxicity
 from tonewheel.llm.ngram_join import jaccard_components
+from tonewheel.llm.line_dedup import repeats
+from tonewheel.llm.pii import personal_data
 from tonewheel.llm.registry import load, query
+from tonewheel.llm.secret_scan import secrets
 
 
 @query("op3_ngram_join")
@@ -33,3 +36,18 @@ def op1_toxicity_chain(spark, sf_dir):
     labels = toxicity.with_categories(load(spark, sf_dir, "labels"))
     found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels, ["low_quality", "toxic"]))
     return found.drop("text")
+
+
+@query("op5_pii_boosting")
+def op5_pii_boosting(spark, sf_dir):
+    return personal_data(load(spark, sf_dir, "documents"))
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    return repeats(load(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_ownership")
+def op10_secret_ownership(spark, sf_dir):
+    return secrets(load(spark, sf_dir, "documents"))
