@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tonewheel.llm.chat_collapse import rendered
 from tonewheel.llm.registry import load, query
+from tonewheel.llm.vector_graph import near_links
 
 CHAT = """
 with t as (
@@ -27,3 +28,8 @@ from kept join s on s.conv_id = kept.conv_id group by kept.conv_id
 @query("op9_chat_collapse", CHAT)
 def op9_chat_collapse(spark, sf_dir):
     return rendered(load(spark, sf_dir, "conversations"))
+
+
+@query("op7_vector_graph")
+def op7_vector_graph(spark, sf_dir):
+    return near_links(load(spark, sf_dir, "embeddings"), least=0.98)
