@@ -70,6 +70,11 @@ class Codec:
             out.append(ids)
         return list(chain.from_iterable(out))
 
+    def count(self, piece: str) -> int:
+        """Tokens of one piece."""
+        ids = self.known.get(piece)
+        return len(ids) if ids is not None else len(self.encode_pieces([piece]))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 

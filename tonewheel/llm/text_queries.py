@@ -12,6 +12,7 @@ from tonewheel.llm.line_dedup import repeats
 from tonewheel.llm.pii import personal_data
 from tonewheel.llm.registry import load, query
 from tonewheel.llm.secret_scan import secrets
+from tonewheel.llm.token_counts import edited_counts, sample_edits
 
 
 @query("op3_ngram_join")
@@ -51,3 +52,10 @@ def op6_line_dedup(spark, sf_dir):
 @query("op10_secret_ownership")
 def op10_secret_ownership(spark, sf_dir):
     return secrets(load(spark, sf_dir, "documents"))
+
+
+@query("op8_edit_counts")
+def op8_edit_counts(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = load(spark, sf_dir, "documents")
+    return edited_counts(docs, sample_edits(docs["text"]), vocabulary, public_tokenizers.PATTERN)
