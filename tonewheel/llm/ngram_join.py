@@ -24,6 +24,8 @@ from tonewheel.session import settle
 #: A bitmap has at least two bits a shingle, within these bounds, and always a power of two.
 LEAST_BITS, MOST_BITS = 512, 1 << 16
 TILE_ROWS = 256
+#: Texts of a key up to which its pairs of like size are listed before their bitmaps are fetched.
+FEW_ROWS = 32
 HELD_HASHES = 1 << 18
 #: Per cent by which two texts of a family may lie below the similarity asked for.
 LOOSER = 15
@@ -144,10 +146,10 @@ def _levels(sketch: DataFrame, buckets: int, mean: float) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / (4 * max(mean, 1)))) + 1, 0).astype(np.int8)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``short`` digests as pairs ``a, b`` of nodes whose bitmaps leave room for the overlap they need."""
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, by: str = "short") -> DataFrame:
+    """Pairs ``a, b`` of digests (or nodes) as pairs of nodes whose bitmaps leave room for the overlap they need."""
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("short").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "bits")])
+        return nodes.select(F.col(by).alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "bits")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,23 +315,32 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     labelled = settle(
-        shared.join(nodes.select("short", "rep", "bits"), "short").join(families, "rep", "left")
-        .select("key", "rep", F.col("n").cast("long").alias("n"), "bits", F.coalesce("family", "rep").alias("family"))
+        shared.join(nodes.select("short", "rep"), "short").join(families, "rep", "left")
+        .select("key", "rep", F.col("n").cast("long").alias("n"), F.coalesce("family", "rep").alias("family"))
     )
     # of up to three texts every pair holds the least or the greatest digest, and so has been compared
     mixed_keys = (
         labelled.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("rows"))
-        .filter("lo < hi and rows > 3")
+        .filter("lo < hi and rows > 3").select("key", "rows")
     )
-    cells = _cells(settle(labelled.join(mixed_keys.select("key"), "key", "left_semi")), "key", percent)
+    opened = settle(labelled.join(mixed_keys, "key"))
+    few, many = opened.filter(F.col("rows") <= FEW_ROWS).drop("rows"), opened.filter(F.col("rows") > FEW_ROWS).drop("rows")
+    other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("family").alias("f"))
+    small = (
+        few.withColumnRenamed("rep", "a").join(other, "key")
+        .filter("a < b and family <> f").filter((100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+        .select("a", "b").distinct()
+    )
+    cells = _cells(many.join(nodes.select("rep", "bits"), "rep"), "key", percent)
     cells = cells.select(
         F.xxhash64("key", "b1", "t1", "b2", "t2").alias("cell_id"), "rep", "n", "bits", "family", "left",
         F.expr("b1 = b2 and t1 = t2").alias("one"),
     )
     # many small cells to a task's call; a cell itself is bounded
-    groups = 1 + labelled.count() // TILE_ROWS
+    groups = 1 + many.count() // TILE_ROWS
     dealt = cells.withColumn("deal", F.pmod(F.xxhash64("cell_id"), F.lit(groups)))
-    pairs = settle(dealt.groupBy("deal").applyInArrow(run, "a long, b long").distinct())
+    large = dealt.groupBy("deal").applyInArrow(run, "a long, b long")
+    pairs = settle(_possible(small, nodes, percent, "rep").union(large).distinct())
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes.join(ids, "rep", "left_semi"), size)
     a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
