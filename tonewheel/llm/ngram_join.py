@@ -386,8 +386,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         kept.join(nodes.select("cls", "rep", "n_same"), "cls", "left")
         .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"),
-            F.coalesce("n_same", F.lit(1).cast("long")).alias("n_same"),
+            "doc_id", F.col("n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
+            F.when(F.col("doc_id").isNotNull(), F.col("n_same")).otherwise(F.lit(None)).alias("_same"),
+        ).withColumn("n_same", F.coalesce("_same", F.lit(1).cast("long"))).drop("_same"
         )
     )
 
