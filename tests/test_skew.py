@@ -50,6 +50,9 @@ def test_null_group_is_kept(spark):
     out = skew.running_sums(df, ["g"], ["v"], ["id"], target_rows=20)
     assert out.count() == 90
     assert out.where("g is null").agg(F.max("id_run")).first()[0] == sum(range(30))
+    assert {r[0] for r in out.where("g is null").select("id_all").distinct().collect()} == {sum(range(30))}
+    stats = skew.with_group_stats(df, ["g"], top=F.max("v"))
+    assert {(r.g, r.top) for r in stats.select("g", "top").distinct().collect()} == {(None, 29), ("a", 59)}
 
 
 def test_forward_fill_across_blocks(spark):

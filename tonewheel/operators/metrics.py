@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tonewheel.operators.skew import TARGET_ROWS, running_sums, with_group_stats
+from tonewheel.operators.skew import TARGET_ROWS, null_safe_join, running_sums, with_group_stats
 
 
 def hmean(column: str | Column) -> Column:
@@ -88,7 +88,7 @@ def group_median(df: DataFrame, keys: Sequence[str], score: str = "score", targe
 def median_decision(df: DataFrame, keys: Sequence[str], score: str = "score", target_rows: int = TARGET_ROWS) -> DataFrame:
     """1 where the score is above the exact median of its group."""
     medians = group_median(df, keys, score, target_rows).withColumnRenamed("median", "_med")
-    out = df.join(medians, list(keys), "left")
+    out = null_safe_join(df, medians, keys, "left") if keys else df.join(medians, [], "left")
     return out.withColumn("decision", (F.col(score) > F.col("_med")).cast("int")).drop("_med")
 
 

@@ -61,7 +61,7 @@ def with_range(
     ).withColumn("_stride", F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_ranges") * SAMPLES_PER_RANGE))))
     picked = df.select(*keys, *order)
     if keys:
-        picked = picked.join(hot, keys)
+        picked = null_safe_join(picked, hot, keys)
     else:
         one = hot.select(F.struct("_ranges", "_stride").alias("_h")).scalar()
         picked = picked.withColumn("_h", one).select(*order, "_h._ranges", "_h._stride")
@@ -84,7 +84,7 @@ def with_range(
             ).alias("_bounds"),
         )
     )
-    joined = df.join(cuts, keys, "left") if keys else df.withColumn("_bounds", cuts.scalar())
+    joined = null_safe_join(df, cuts, keys, "left") if keys else df.withColumn("_bounds", cuts.scalar())
     return joined.withColumn(name, F.coalesce(_search(F.col("_bounds"), value), F.lit(0))).drop("_bounds")
 
 
@@ -124,7 +124,7 @@ def running_sums(
             *[F.sum(f"{c}_t").over(whole).alias(f"{c}_all") for c in sums],
         )
     )
-    out = local.join(offsets, on, "left")
+    out = null_safe_join(local, offsets, on, "left")
     for c in sums:
         out = out.withColumn(f"{c}_run", F.col(f"{c}_in") + F.coalesce(f"{c}_off", F.lit(0)))
     return out.drop("_range", *[f"{c}{s}" for c in sums for s in ("_in", "_off")])
@@ -169,12 +169,19 @@ def forward_fill(
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null key is a group like any other; keys come from the left."""
+    other = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Attach group aggregates by aggregate-then-join: partial sums first, no per-group sort."""
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
     if keys:
-        return df.join(stats, keys, "left")
+        return null_safe_join(df, stats, keys, "left")
     one = stats.select(F.struct(*stats.columns).alias("_one")).scalar()
     return df.withColumn("_one", one).select(*df.columns, *[F.col(f"_one.{n}").alias(n) for n in aggregates])
 

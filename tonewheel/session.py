@@ -25,9 +25,11 @@ def local_session(cpus: int | str | None = None, app: str = "tonewheel") -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a session without one gets its own, once."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local session without one gets its own, once."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tonewheel-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
