@@ -47,7 +47,11 @@ class Codec:
         for kind in (r"\p{L}", r"\p{N}", r"\s"):
             coder = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
             odd |= set(bytes(coder.encode_ordinary(every)).decode()) ^ set(regex.findall(kind, every))
-        return regex.compile("[" + "".join(map(regex.escape, sorted(odd))) + "]") if odd else None
+        points = sorted(map(ord, odd))
+        firsts = [p for k, p in enumerate(points) if not k or points[k - 1] != p - 1]
+        lasts = [p for k, p in enumerate(points) if k + 1 == len(points) or points[k + 1] != p + 1]
+        ranges = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
+        return regex.compile(f"[{ranges}]") if odd else None
 
     def pieces_known(self, text: str) -> bool:
         """Whether the pattern splits this text here as it does in the coder."""
