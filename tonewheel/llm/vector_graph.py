@@ -20,6 +20,8 @@ MOST_CENTRES = 4_096
 OVERLAP, MARGIN = 2, math.radians(16)
 #: Neighbours kept in a list, how much nearer a detour must be to drop one, and nodes that a greedy search keeps open.
 DEGREE, ALPHA, BEAM = 24, 1.2, 32
+#: Queries of one search task, about: more that look into a shard are dealt to several tasks, each with the whole shard.
+ASKED_ROWS = 8_192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -178,16 +180,22 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         *cell, "vec_id", F.lit(False).alias("own"), F.lit(True).alias("member"), F.lit(False).alias("asks"))
     asking = cells.select(*cell, "vec_id", F.lit(False).alias("own"), F.lit(False).alias("member"), F.lit(True).alias("asks"))
     every = inside.union(around).union(asking).groupBy(*cell, "vec_id").agg(*[F.max(c).alias(c) for c in ("own", "member", "asks")])
-    full = every.join(held, "vec_id").join(lists, F.col("vec_id") == F.col("u"), "left").drop("u")
+    asked = cells.groupBy(*cell).agg(F.ceil(F.count("*") / ASKED_ROWS).cast("int").alias("turns"))
+    mine = F.pmod(F.xxhash64("vec_id", F.lit("turn")), F.col("turns")).cast("int")
+    turned = every.join(asked, cell).withColumn("mine", mine).withColumn("turn", F.explode(
+        F.when(F.col("member"), F.sequence(F.lit(0), F.col("turns") - 1)).otherwise(F.array("mine"))
+    )).withColumn("asks", F.col("asks") & (F.col("turn") == F.col("mine"))).drop("mine", "turns")
+    full = turned.join(held, "vec_id").join(lists, F.col("vec_id") == F.col("u"), "left").drop("u")
 
     def search(table: pa.Table) -> pa.Table:
         ids, own, member, asks, times = (table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "own", "member", "asks", "times"))
         x = units(table.column("embedding"))
         base = np.flatnonzero(member)
+        held_x = x[base]
         place = {int(i): k for k, i in enumerate(ids[base])}
         near = table.column("near").to_pylist()
         lists = [np.array([place[n] for n in (near[k] or []) if n in place], dtype=np.int64) for k in base]
-        start = int(np.argmax(x[base] @ x[base].mean(axis=0))) if len(base) else 0
+        start = int(np.argmax(held_x @ held_x.mean(axis=0))) if len(base) else 0
         parent = list(range(len(ids)))
 
         def root(k: int) -> int:
@@ -198,7 +206,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
         out = {"vec_id": [], "hits": [], "other": []}
         for q in np.flatnonzero(asks) if len(base) else []:
-            found = base[range_search(x[base], lists, start, x[q], least)]
+            found = base[range_search(held_x, lists, start, x[q], least)]
             found = found[(found != q) & ((x[found] * x[q]).sum(axis=1) >= least)]
             for k in found.tolist():
                 a, b = root(q), root(k)
@@ -214,7 +222,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 out["other"].append(None)
         return pa.table({k: pa.array(v, type=pa.int64()) for k, v in out.items()})
 
-    found = settle(full.groupBy(*cell).applyInArrow(search, "vec_id long, hits long, other long"))
+    found = settle(full.groupBy(*cell, "turn").applyInArrow(search, "vec_id long, hits long, other long"))
     comps = components(found.filter("other is not null"), "vec_id", "other")
     hits = found.groupBy("vec_id").agg(F.sum("hits").alias("hits"))
     per_node = nodes.join(hits, "vec_id", "left").join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(
