@@ -166,3 +166,42 @@ def test_repeated_runs_on_tables(spark):
     df = spark.createDataFrame(rows, "file int, ori int, cls int, emb array<double>")
     acc = diagnosis.repeated(df, "ori", 3, 3, (0.5,), 3).collect()
     assert len(acc) == 3 and all(r["macro_acc"] > 95 for r in acc)
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    test = spark.createDataFrame([("a", "g", [1.0, 0.0]), ("a", "g", [0.0, 1.0]), ("b", "g", [1.0, 1.0])], "file string, g string, emb array<double>")
+    train = spark.createDataFrame([(f"t{i}", "g", [1.0, i / 8]) for i in range(9)], "file string, g string, emb array<double>")
+    for k in (1, 2):
+        scores = [sorted(round(r.score, 9) for r in knn.anomaly_scores(test, train, ["g"], k, block_rows=b).collect()) for b in (2, 8192)]
+        assert scores[0] == scores[1] and len(scores[0]) == 3
+
+
+def test_bad_vectors_are_refused(spark):
+    good = spark.createDataFrame([("a", "g", [1.0, 0.0])], "file string, g string, emb array<double>")
+    for bad in ([1.0], None):
+        train = good.union(spark.createDataFrame([("b", "g", bad)], good.schema))
+        with pytest.raises(Exception, match="one length"):
+            knn.knn_join(good, train, ["g"], 1).collect()
+
+
+def test_pooling_has_one_meaning_for_all_widths(spark, monkeypatch):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 0.0])], "file string, emb array<double>")
+    uneven = df.union(spark.createDataFrame([("b", [1.0, 2.0, 9.0])], df.schema))
+    unknown = spark.createDataFrame([("c", None)], df.schema).union(df)
+    for wide in (256, 1):
+        monkeypatch.setattr(pooling, "WIDE", wide)
+        assert [r.emb for r in pooling.pool_vectors(df, ["file"], "max").collect()] == [[3.0, 2.0]]
+        for bad in (uneven, unknown):
+            with pytest.raises(Exception, match="2 numbers expected"):
+                pooling.pool_vectors(bad, ["file"], "max").collect()
+
+
+def test_scoring_loses_no_row_in_silence(spark):
+    meta = spark.createDataFrame([
+        ("a", "dev", "fan", 0, "train"), ("b", "dev", "fan", 0, "test"), ("c", "dev", "fan", 1, "test"),
+    ], "file string, setn string, mt string, sec int, sett string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("c", [1.0, 0.0])], "file string, emb array<double>")
+    with pytest.raises(ValueError, match="no train rows"):
+        anomaly.score(meta, vectors)
+    with pytest.raises(Exception, match="no vector for file b"):
+        anomaly.score(meta.where("sec = 0"), vectors).collect()

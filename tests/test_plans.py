@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tonewheel import workloads
 from tonewheel.functions.tables import MACHINES
 from tonewheel.operators import labels, splits
 from tonewheel.plans import rollup
@@ -101,4 +102,5 @@ def test_entry_and_registry(spark, sf):
     df = entry.entry(spark)
     assert df.columns == ["level", "setn", "mt", "sec", "metric", "value"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"group_pca", "mel_recipes"}
+    assert set(workloads.QUERIES) <= set(entry.queries())
+    assert set(workloads.QUERIES) - set(entry.oracle_sql()) == {"group_pca", "mel_recipes"}

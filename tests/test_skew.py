@@ -68,3 +68,20 @@ def test_group_stats_and_top_k(spark):
     whole = skew.with_group_stats(df, [], m=F.max("v"))
     assert {r["m"] for r in whole.collect()} == {max(r[1] for r in rows)}
     assert skew.top_k(df, ["g"], [F.col("v"), F.col("id")], 2).groupBy("g").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_ranges_within_ranges(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_RANGES", 3)
+    rows = [(None if i % 3 else "a", i * 7919 % 1000, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = skew.running_sums(df, ["g"], ["v", "id"], ["id"], target_rows=20)
+    plain = skew.running_sums(df, ["g"], ["v", "id"], ["id"])
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    cut = skew.with_range(df, ["g"], ["v", "id"], skew.hot_groups(df, ["g"], 20), 20)
+    assert cut.groupBy("g", "_range").count().agg(F.max("count")).first()[0] < 120
+
+
+def test_ties_are_gathered_once(spark):
+    df = spark.createDataFrame([(5, i) for i in range(300)] + [(i, i) for i in range(20)], "v int, id int")
+    got = {(r.v, r.id): r.pos_n for r in skew.positions(df, [], ["v"], target_rows=30).collect()}
+    assert len(got) == 319 and set(got.values()) == {320}

@@ -193,3 +193,25 @@ def test_landing_stream(spark, tmp_path):
     query = score_landing(stream, train, ["g"], str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first()["score"] == 1.0
+
+
+def test_half_written_store_is_written_again(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(3).write.parquet(path)
+    assert store.stored(spark, path, lambda: spark.range(9)).count() == 3
+    os.remove(f"{path}/_SUCCESS")
+    assert store.stored(spark, path, lambda: spark.range(9)).count() == 9
+
+
+def test_shards_of_tied_order(spark, tmp_path):
+    df = spark.range(100).withColumn("o", F.col("id") % 3)
+    store.write_shards(df, str(tmp_path / "s"), 8, "o")
+    assert store.read_shards(spark, str(tmp_path / "s"), 8, 100).count() == 100
+
+
+def test_swapped_columns_are_an_error(spark, tmp_path):
+    place = tmp_path / "d" / "dev" / "train"
+    os.makedirs(place)
+    (place / "fan.csv").write_text("path,file\np/x,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        metadata.read_metadata(spark, str(tmp_path), "file string, path string").collect()

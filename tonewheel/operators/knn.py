@@ -12,11 +12,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonewheel.operators.skew import top_k
+from tonewheel.operators.skew import null_safe_join, top_k
+from tonewheel.session import settle
 
 BLOCK_ROWS = 8192
 MIN_CELL_WORK = 4096
@@ -26,7 +28,10 @@ TIE_DECIMALS = 9
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column of equal lengths as a 2-d float64 array, without a Python loop."""
+    """An Arrow list column as a 2-d float64 array, without a Python loop; NULL or uneven vectors are an error."""
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(sizes) > 1 or sizes == [None]:
+        raise ValueError(f"vectors of one length expected, found {sizes}")
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
     values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
@@ -71,12 +76,16 @@ def best_keys(key: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def _cells(test: DataFrame, train: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Add ``_block`` and ``_strip`` to both sides; the flag says whether any group was cut."""
+    """Add ``_block`` and ``_strip`` to both sides and ``_row`` to the test side; the flag says if any group was cut.
+
+    ``_row`` tells test rows of one id apart once their hits come from several cells. It numbers the rows of a written
+    table, so a recomputed partition gives the same numbers.
+    """
     spark = test.sparkSession
     sizes = (
         train.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_tr"))
-        .join(test.groupBy(*keys).agg(F.count(F.lit(1)).alias("_te")), keys)
+        .transform(null_safe_join, test.groupBy(*keys).agg(F.count(F.lit(1)).alias("_te")), keys)
         .select(
             *keys,
             F.ceil(F.col("_tr") / block_rows).cast("int").alias("_blocks"),
@@ -88,18 +97,21 @@ def _cells(test: DataFrame, train: DataFrame, keys: list[str], block_rows: int)
     large = sizes.limit(BROADCAST_GROUPS + 1).count()
     if large == 0:
         one = F.lit(0)
+        test = test.withColumn("_row", one.cast("bigint"))
         return test.withColumn("_block", one).withColumn("_strip", one), train.withColumn("_block", one).withColumn("_strip", one), False
     small_list = F.broadcast(sizes) if large <= BROADCAST_GROUPS else sizes
 
-    def grid(df: DataFrame, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
-        out = df.join(small_list, keys, "left").na.fill(1, ["_blocks", "_strips"])
-        out = out.withColumn(own, F.pmod(F.xxhash64("_id"), F.col(own_n)).cast("int"))
+    test = settle(test).withColumn("_row", F.monotonically_increasing_id())
+
+    def grid(df: DataFrame, by: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
+        out = null_safe_join(df, small_list, keys, "left").na.fill(1, ["_blocks", "_strips"])
+        out = out.withColumn(own, F.pmod(F.xxhash64("_id", by), F.col(own_n)).cast("int"))
         out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
         return out.drop("_blocks", "_strips")
 
     return (
-        grid(test, "_strip", "_block", "_strips", "_blocks"),
-        grid(train, "_block", "_strip", "_blocks", "_strips"),
+        grid(test, "_row", "_strip", "_block", "_strips", "_blocks"),
+        grid(train, "_vec", "_block", "_strip", "_blocks", "_strips"),
         True,
     )
 
@@ -116,9 +128,12 @@ def knn_join(
     carry: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     train_carry: Sequence[str] = (),
+    row: str | None = None,
 ) -> DataFrame:
     """``(keys, test_id, carry, rank, dist, neighbour)`` with ranks from 1, for every test row.
 
+    Test rows of one id are searched one by one; ``row`` names a column that tells them apart inside ``keys``.
+
     ``carry`` are columns of the test row; each ``c`` of ``train_carry`` comes along from the
     neighbour as ``n<c>``, so looking up a neighbour's class needs no join.
     ``cosine`` is ``1 - cos``; ``euclidean`` works on the vectors as they are. Groups without train
@@ -136,7 +151,7 @@ def knn_join(
     )
     left, right, cut = _cells(left, right, keys, block_rows)
     schema = T.StructType(
-        [left.schema[c] for c in (*keys, "_id", *carry)]
+        [left.schema[c] for c in (*keys, "_row", "_id", *carry)]
         + [
             T.StructField("rank", T.IntegerType()),
             T.StructField("dist", T.DoubleType()),
@@ -146,7 +161,7 @@ def knn_join(
     )
     on = [*keys, "_block", "_strip"]
     left, right = _fresh(left), _fresh(right)
-    passed = [*keys, "_id", *carry]
+    passed = [*keys, "_row", "_id", *carry]
     nothing = test.sparkSession.createDataFrame([], schema).toArrow()
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -155,6 +170,8 @@ def knn_join(
         q, t = matrix(a["_vec"]), matrix(b["_vec"])
         if metric == "cosine":
             q, t = unit_rows(q), unit_rows(t)
+        if not cut:  # the whole group lies here, so a place in it names a row
+            a = a.set_column(a.column_names.index("_row"), "_row", pa.array(np.arange(a.num_rows, dtype=np.int64)))
         ids = b["_id"].to_numpy()
         parts = []
         for start in range(0, len(q), SLAB):
@@ -166,9 +183,9 @@ def knn_join(
 
     hits = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, schema)
     if cut:
-        hits = top_k(hits.drop("rank"), [*keys, "_id"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
+        hits = top_k(hits.drop("rank"), [*keys, "_row"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
     out_keys = [] if whole else keys
-    return hits.select(*out_keys, F.col("_id").alias(test_id), *carry, "rank", "dist", "neighbour", *brought)
+    return hits.select(*out_keys, *([F.col("_row").alias(row)] if row else []), F.col("_id").alias(test_id), *carry, "rank", "dist", "neighbour", *brought)
 
 
 def _fresh(df: DataFrame) -> DataFrame:
@@ -269,10 +286,10 @@ def anomaly_scores(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``score`` = mean distance to the ``k`` nearest train vectors of the same group."""
-    hits = knn_join(test, train, keys, k, metric, file, file, vec, carry, block_rows)
+    hits = knn_join(test, train, keys, k, metric, file, file, vec, carry, block_rows, row="_row")
     if k == 1:
         return hits.select(*keys, file, *carry, F.col("dist").alias("score"))
-    return hits.groupBy(*keys, file, *carry).agg(F.avg("dist").alias("score"))
+    return hits.groupBy(*keys, "_row", file, *carry).agg(F.avg("dist").alias("score")).drop("_row")
 
 
 def znorm(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:

@@ -29,7 +29,8 @@ def pool_vectors(df: DataFrame, keys: Sequence[str], how: str, vec: str = "emb",
     """``sum, mean, std, mean_std, max, min, raw, hard`` or ``soft`` over the vectors of each key.
 
     ``raw`` leaves the rows as they are: several rows per file are its form of "one file, n vectors".
-    Standard deviation is that of the population.
+    Standard deviation is that of the population. Vectors of another length than the first (or than ``dim``) and NULL
+    vectors are an error, whichever plan the width calls for.
     """
     keys = list(keys)
     if how == "raw":
@@ -39,8 +40,10 @@ def pool_vectors(df: DataFrame, keys: Sequence[str], how: str, vec: str = "emb",
         best = F.max_by("_cls", F.struct(F.col("_n"), -F.col("_cls")))
         return votes.groupBy(*keys).agg(F.array(best.cast("double")).alias(vec))
     if dim is None:
-        first = df.select(F.size(vec).alias("d")).first()
+        first = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).first()
         dim = first["d"] if first else 0
+    wrong = F.raise_error(F.concat(F.lit(f"vector of {dim} numbers expected, found "), F.coalesce(F.size(vec).cast("string"), F.lit("NULL"))))
+    df = df.withColumn(vec, F.when(F.col(vec).isNotNull() & (F.size(vec) == dim), F.col(vec)).otherwise(wrong))
     if 0 < dim <= WIDE:
         columns = [F.col(vec)[i] for i in range(dim)]
         parts = [_folds(how, c) for c in columns]

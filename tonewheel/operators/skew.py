@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 TARGET_ROWS = 1 << 20
+# Ranges of one level; a group that needs more is cut again inside each of them.
 MAX_RANGES = 1024
 SAMPLES_PER_RANGE = 16
 SEARCH_STEP = 32
@@ -49,11 +50,31 @@ def with_range(
 ) -> DataFrame:
     """Add the value range each row falls in; ranges are ordered like ``order`` inside a group.
 
-    ``keys + order`` should identify a row, else equal rows land in one range together.
+    ``keys + order`` should identify a row, else equal rows land in one range together. Ranges are arrays of one number
+    a level: a group of more than ``MAX_RANGES`` times ``target_rows`` rows is cut again inside its ranges, so ranges
+    stay small whatever the size of the group.
     """
     if hot is None:
-        return df.withColumn(name, F.lit(0))
-    keys, value = list(keys), F.struct(*order)
+        return df.withColumn(name, F.array(F.lit(0)))
+    keys = list(keys)
+    first = _one_level(df, keys, order, hot, target_rows, name)
+    if hot.agg(F.max("_n")).first()[0] <= target_rows * MAX_RANGES:
+        return first.withColumn(name, F.array(name))
+    above, below = f"{name}_above", f"{name}_below"
+    upper = first.withColumnRenamed(name, above)
+    again = hot_groups(upper, [*keys, above], target_rows)
+    if again is not None:  # a group of one value is one range: nothing to cut any more
+        sizes = hot.select(*keys, F.col("_n").alias("_whole"))
+        again = null_safe_join(again, sizes, keys) if keys else again.withColumn("_whole", sizes.select("_whole").scalar())
+        again = again.where("_n < _whole").drop("_whole")
+    if again is None or again.isEmpty():
+        return upper.withColumn(name, F.array(above)).drop(above)
+    lower = with_range(upper, [*keys, above], order, again, target_rows, below)
+    return lower.withColumn(name, F.concat(F.array(above), below)).drop(above, below)
+
+
+def _one_level(df: DataFrame, keys: list[str], order: Sequence[str], hot: DataFrame, target_rows: int, name: str) -> DataFrame:
+    value = F.struct(*order)
     hot = hot.select(
         *keys,
         "_n",
@@ -67,6 +88,7 @@ def with_range(
         picked = picked.withColumn("_h", one).select(*order, "_h._ranges", "_h._stride")
     cuts = (
         picked.where(F.pmod(F.xxhash64(*order), "_stride") == 0)
+        .distinct()
         .groupBy(*keys, "_ranges")
         .agg(F.array_sort(F.collect_list(value)).alias("_s"))
         .withColumn(

@@ -58,8 +58,8 @@ def score(
     ``meta`` holds train and test rows in ``sett``. ``domains='min'`` scores every test row against
     the source and the target train rows of its group and keeps the lower; train rows are then
     scored by the model of their own domain. Several vectors per file are scored one by one and
-    pooled by ``pool``. Vectors are narrow-joined by file; a file without one takes no part (see
-    ``missing_vectors``).
+    pooled by ``pool``. Vectors are narrow-joined by file. A file without a vector and a test group without train rows
+    are errors; ``missing_vectors`` and ``missing_groups`` list them.
     """
     if domains == "min" and dataset in ("dcase20", "dcase21"):
         raise ValueError(f"{dataset} has no use for fused domain models")
@@ -68,7 +68,14 @@ def score(
     keys = SCALES[scale]
     rows = meta.drop("path", *([] if dataset == "dcase20" else ["attri"]))
     carry = [c for c in rows.columns if c not in (*keys, "file")]
-    joined = rows.join(vectors.select("file", "emb"), "file")
+    wanted = rows if score_train else rows.where(F.col("sett") == "test")
+    lost = missing_groups(wanted, rows.where(F.col("sett") == "train"), keys).first()
+    if lost:
+        raise ValueError(f"no train rows for {lost.asDict()}")
+    absent = F.raise_error(F.concat(F.lit("no vector for file "), F.coalesce(F.col("file"), F.lit("NULL"))))
+    joined = rows.join(vectors.select("file", "emb"), "file", "left").withColumn(
+        "emb", F.when(F.col("emb").isNotNull(), F.col("emb")).otherwise(absent)
+    )
     if pool:
         # a vector needs an identity of its own next to its file
         joined = joined.withColumn("_file", F.col("file")).withColumn(

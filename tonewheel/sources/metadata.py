@@ -21,11 +21,11 @@ FAULT_SCHEMA = "file string, scene string, status string, path string, ori strin
 def read_metadata(spark: SparkSession, root: str, schema: str | T.StructType = ANOMALY_SCHEMA, conditions: Sequence[str] = ()) -> DataFrame:
     """CSV tables laid out as ``<dataset>/<setn>/<sett>/<mt>.csv``, with the folders as columns.
 
-    ``conditions`` are path substrings that must all occur. Folders other than train and test
+    Columns in another order than the schema's are an error. ``conditions`` are path substrings that must all occur. Folders other than train and test
     (supplementary data) are left out.
     """
     path = local_path(F.col("_metadata.file_path"))
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(schema).csv(root, header=True)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(schema).csv(root, header=True, enforceSchema=False)
     parts = F.split(path, "/")
     return (
         raw.where(names.path_holds(path, conditions))

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonewheel.operators.skew import positions
+
 
 def write_vectors(df: DataFrame, path: str, file: str = "file", vec: str = "emb") -> None:
     df.select(F.col(file).alias("file"), F.col(vec).cast("array<float>").alias("emb")).write.mode("overwrite").parquet(path)
@@ -18,20 +20,25 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, path: str, compute: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
-    """The table at ``path``; computed and written first if it is not there or ``overwrite`` is set."""
+    """The table at ``path``; computed and written first if it is not there in full or ``overwrite`` is set.
+
+    A folder without the mark of a finished write counts as not there; any other trouble with it is an error.
+    """
     if not overwrite:
         try:
+            spark.read.text(f"{path}/_SUCCESS")
             return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, order: str) -> None:
-    """Contiguous ranges of ``order``, one per shard number."""
-    ranged = df.repartitionByRange(shards, order).withColumn("shard", F.spark_partition_id())
-    ranged.write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Contiguous ranges of ``order``, one per shard number, of equal size up to a row."""
+    placed = positions(df, [], [order], "_pos").withColumn("shard", F.floor(F.col("_pos") * shards / F.col("_pos_n")).cast("int"))
+    placed.drop("_pos", "_pos_n").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, shards: int, rows: int) -> DataFrame:
