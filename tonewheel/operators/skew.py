@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tonewheel.session import settle
+
 TARGET_ROWS = 1 << 20
 # Ranges of one level; a group that needs more is cut again inside each of them.
 MAX_RANGES = 1024
@@ -61,7 +63,7 @@ def with_range(
     if hot.agg(F.max("_n")).first()[0] <= target_rows * MAX_RANGES:
         return first.withColumn(name, F.array(name))
     above, below = f"{name}_above", f"{name}_below"
-    upper = first.withColumnRenamed(name, above)
+    upper = settle(first.withColumnRenamed(name, above))  # else every level would evaluate all levels above it
     again = hot_groups(upper, [*keys, above], target_rows)
     if again is not None:  # a group of one value is one range: nothing to cut any more
         sizes = hot.select(*keys, F.col("_n").alias("_whole"))
