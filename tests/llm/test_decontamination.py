@@ -1,5 +1,6 @@
 import re
 
+from tonewheel.llm import decontamination
 from tonewheel.llm.decontamination import leaks, without_leaks
 
 
@@ -23,3 +24,10 @@ def test_question_alone_is_no_leak_and_odd_rows_say_nothing(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
     assert sorted((r.doc_id, r.item_id) for r in leaks(docs, items).collect()) == [(1, 1), (5, 1)]
     assert leaks(docs, items.limit(0)).collect() == [] and leaks(docs.limit(0), items).collect() == []
+
+
+def test_shards_find_the_same(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = {tuple(r) for r in leaks(docs, items).select("doc_id", "item_id").collect()}
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 7)
+    assert {tuple(r) for r in leaks(docs, items).select("doc_id", "item_id").collect()} == one and one

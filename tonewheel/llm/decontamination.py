@@ -82,21 +82,47 @@ def built(ids: list[int], texts: list[str], counted: tuple[int, dict[int, int],
     )
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """The index of all items in shards. Test items are few beside a corpus; their words are counted over all shards."""
-    rows = items.filter("item_id is not null and length(trim(text)) > 0").select("item_id", "text").distinct()
-    held = rows.toArrow().to_pydict()  # the index itself: its size is that of the benchmark, not of the corpus
-    order = sorted(range(len(held["item_id"])), key=lambda k: (held["item_id"][k], held["text"][k]))
-    ids, texts = ([held[c][k] for k in order] for c in ("item_id", "text"))
-    words, _, _, bounds = word_hashes(*joined_bytes(letters(pa.array(texts, pa.string()))))
-    full = np.flatnonzero(np.diff(bounds) > 0).tolist()
-    every = [np.unique(words[bounds[k]: bounds[k + 1]]) for k in full]
-    terms, times = np.unique(np.concatenate(every), return_counts=True) if every else (words, words)
-    counted = len(full), dict(zip(terms.tolist(), times.tolist(), strict=True)), len(words) / max(len(full), 1)
-    return [
-        built([ids[k] for k in full[a: a + SHARD_ITEMS]], [texts[k] for k in full[a: a + SHARD_ITEMS]], counted)
-        for a in range(0, len(full), SHARD_ITEMS)
-    ]
+def _counted_words(items: DataFrame) -> DataFrame:
+    """``word, held, said``: in how many items a word is; the row without a word counts the items and all their words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _, _, bounds = word_hashes(*joined_bytes(letters(batch.column(0))))
+            own = [np.unique(words[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+            full = sum(len(o) > 0 for o in own)
+            terms, times = np.unique(np.concatenate(own), return_counts=True) if own else (words, words.astype(np.int64))
+            yield pa.record_batch([
+                pa.array([None, *terms.view(np.int64).tolist()], pa.int64()), pa.array([full, *times.tolist()], pa.int64()),
+                pa.array([len(words), *[0] * len(terms)], pa.int64()),
+            ], names=["word", "held", "said"])
+
+    made = items.select("text").mapInArrow(run, "word long, held long, said long")
+    return made.groupBy("word").agg(F.sum("held").alias("held"), F.sum("said").alias("said"))
+
+
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The index of all items, a shard of about SHARD_ITEMS at a time, so that the driver never holds more than one.
+
+    Items are dealt by a hash; words are counted over all shards, and only a shard's own words are fetched with it.
+    """
+    rows = items.filter("item_id is not null and length(trim(text)) > 0").select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    rows = settle(rows)
+    every = settle(_counted_words(rows))
+    total = every.filter("word is null").first()
+    count, said = (total["held"], total["said"]) if total else (0, 0)
+    shards = -(-count // SHARD_ITEMS)
+    for shard in range(shards):
+        mine = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
+        held = mine.toArrow().to_pydict()
+        order = sorted(range(len(held["item_id"])), key=lambda k: (held["item_id"][k], held["text"][k]))
+        ids, texts = ([held[c][k] for k in order] for c in ("item_id", "text"))
+        _, _, _, bounds = word_hashes(*joined_bytes(letters(pa.array(texts, pa.string()))))
+        full = np.flatnonzero(np.diff(bounds) > 0).tolist()
+        if full:
+            terms = every.join(_counted_words(mine).select("word"), "word", "left_semi").select("word", "held").toArrow()
+            words = terms.column("word").to_numpy().view(np.uint64).tolist()
+            by_term = dict(zip(words, terms.column("held").to_pylist(), strict=True))
+            yield built([ids[k] for k in full], [texts[k] for k in full], (count, by_term, said / count))
 
 
 def _answers(index: Index, words: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -145,8 +171,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
     Documents with a null doc_id cannot be named and are not reported; null and blank texts and items match nothing;
     repeated rows give one row; no documents or no items give no rows. Other columns are not read.
 
-    Map-only: each task holds an index shard of bounded size and passes over its rows once; nothing is shuffled but the
-    findings. More items than a shard holds are asked shard by shard.
+    Each task holds an index shard of bounded size and passes over its rows once; nothing of the documents is shuffled
+    but the findings. More items than a shard holds are asked shard by shard, one after the other: the findings of each
+    are written before the next index is made, so memory doesn't grow with the benchmark, but the passes do.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
         "doc_id is not null and text is not null"
@@ -176,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
 
     found = None
     for index in indexes(items):
-        one = asked(index)
+        one = settle(asked(index))
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
