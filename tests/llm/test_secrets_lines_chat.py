@@ -54,6 +54,13 @@ def test_repeated_lines(spark):
     assert line_dedup.repeats(docs.limit(0)).collect() == []
 
 
+def test_hot_lines_are_joined_by_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = sorted(map(tuple, line_dedup.repeats(docs).collect()))
+    monkeypatch.setattr(line_dedup, "HOT_PLACES", 2)
+    assert sorted(map(tuple, line_dedup.repeats(docs).collect())) == plain and plain
+
+
 def test_repeated_lines_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     first, want = {}, set()

@@ -14,6 +14,8 @@ from tonewheel.session import settle
 
 #: Units of fewer words are left alone: short sentences agree by chance.
 LEAST_WORDS = 8
+#: A digest with over this share of all units (and so many places) is joined back by broadcast: at most 1 / share can be.
+HOT_SHARE, HOT_PLACES = 1e-5, 1_000
 # A unit ends at a line's end, or after the sign that ends a sentence.
 UNIT = re.compile(r"[^\n]+?(?:(?<=[.!?])(?=[^\S\n])|(?=\n)|\Z)")
 
@@ -57,11 +59,14 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Null and blank texts have no units; rows with a null doc_id have no rank and are left alone; rows that repeat a
     doc_id are one document, whose first places stay in each of them. Other columns are not read; no rows give no rows.
 
-    Digests are folded to one row before they are joined back, so a line that a third of all texts has is a partial
-    aggregate and a join that adaptive execution can split.
+    Digests are folded to one row before they are joined back. A line that a third of all texts has is not shuffled:
+    the digests over ``HOT_SHARE`` of all units number 100,000 at most, a few megabytes, and go to where the units are.
     """
     found = settle(units(docs, least_words))
-    first = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_places")).filter("n_places > 1")
-    return found.join(first, "digest").filter("doc_id <> first_doc_id or nth > 0").select(
-        "doc_id", "start", "end", "first_doc_id", "n_places"
-    )
+    first = settle(
+        found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_places")).filter("n_places > 1"))
+    hot = F.col("n_places") > max(HOT_PLACES, int(found.count() * HOT_SHARE))
+    often = F.broadcast(first.filter(hot))
+    rest = found.join(often.select("digest"), "digest", "left_anti")
+    joined = found.join(often, "digest").unionByName(rest.join(first.filter(~hot), "digest"))
+    return joined.filter("doc_id <> first_doc_id or nth > 0").select("doc_id", "start", "end", "first_doc_id", "n_places")
