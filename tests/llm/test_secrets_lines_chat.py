@@ -74,6 +74,42 @@ def test_repeated_lines_brute_force(spark):
     assert {(r.doc_id, r.end, r.first_doc_id) for r in line_dedup.repeats(docs).collect()} == want and want
 
 
+def test_lines_of_short_sentences(spark):
+    short = "We like it here. You may stay. Come in now."
+    rows = [(1, f"Alpha.\n{short}\nBeta."), (2, f"Gamma.\n{short}\nNo."), (3, "We like it here. Go."), (4, "ha. " * 11), (5, "one two\nthree four\nfive six\nseven eight"),
+            (6, "one two\n\nthree four\nFive six seven eight\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in line_dedup.passages(docs).collect()]
+    texts = dict(rows)
+    assert sorted(texts[d][s:e] for d, s, e, *_ in got if d == 2) == ["Come in now.", "We like it here.", "You may stay."]
+    assert {(d, f, n) for d, _, _, f, n in got} == {(2, 1, 2), (4, 4, 4), (6, 5, 2)}
+    assert sorted(s for d, s, *_ in got if d == 4) == [32, 36, 40] and sorted(s for d, s, *_ in got if d == 6) == [0, 9, 20]
+    assert line_dedup.passages(docs.limit(0)).collect() == []
+
+
+def test_repeats_of_whole_lines(spark):
+    """Lines of eight words and more, found without any cut into sentences, go to their last word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts, gone = dict(docs.collect()), {}
+    rows = line_dedup.passages(docs).collect()
+    for r in rows:
+        gone.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
+    seen, words, short = set(), 0, 0
+    for doc in sorted(texts):
+        for m in re.finditer("[^\n]+", texts[doc]):
+            line = " ".join(m[0].lower().split())
+            if len(line.split()) >= 8:
+                if line in seen:
+                    words += 1
+                    short += all(len(u[0].split()) < 8 for u in line_dedup.UNIT.finditer(m[0]))
+                    assert all(m.start() + w.start() in gone[doc] and m.start() + w.end() - 1 in gone[doc] for w in re.finditer(r"\S+", m[0]))
+                seen.add(line)
+    assert words > 50 and short > 10
+    sentences = {(r.doc_id, r.start, r.end, r.first_doc_id, r.n_places) for r in line_dedup.repeats(docs).collect()}
+    assert sentences < {tuple(r) for r in rows}
+
+
 def test_snapshots_collapse(spark):
     a, b, c = ("user", "hi"), ("assistant", "yes"), ("user", None)
     convs = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [b, a], 6: [a, ("assistant", "no")], None: [a]}

@@ -1,10 +1,12 @@
-"""Substring dedup by units: lines cut at sentence ends; the earliest of equal units stays, the rest goes by its offsets."""
+"""Substring dedup by units: lines cut at sentence ends; the earliest of equal runs of units stays, the rest goes by its offsets."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tonewheel.session import settle
 
-#: Units of fewer words are left alone: short sentences agree by chance.
+#: Units of fewer words go only within a repeated run of so many: short sentences agree by chance.
 LEAST_WORDS = 8
 #: A digest with over this share of all units (and so many places) is joined back by broadcast: at most 1 / share can be.
 HOT_SHARE, HOT_PLACES = 1e-5, 1_000
@@ -52,6 +54,52 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, doc_id long, nth int, start int, end int")
 
 
+def runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``digest, row, doc_id, nth, own_end, starts, ends``: the shortest runs of adjacent units with so many words.
+
+    Of every unit, the run that begins with it and the run that ends with it; a unit with words enough is one by itself.
+    These runs cover each longer run: a unit of it either begins or ends one that lies within. Runs go over line ends,
+    and units without words are in none. ``own_end`` is the end of the first equal run in the same text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = []
+                for m in UNIT.finditer(text or ""):
+                    words = m[0].lower().split()
+                    if words:
+                        parts.append((words, m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
+                seen: dict[bytes, tuple[int, int]] = {}
+                for i, j in shortest([len(p[0]) for p in parts], least_words):
+                    digest = hashlib.blake2b(" ".join(w for p in parts[i:j] for w in p[0]).encode(), digest_size=16).digest()
+                    nth, own_end = seen.get(digest, (0, parts[j - 1][2]))
+                    seen[digest] = (nth + 1, own_end)
+                    out.append((digest, row, doc, nth, own_end, [p[1] for p in parts[i:j]], [p[2] for p in parts[i:j]]))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                  names=["digest", "row", "doc_id", "nth", "own_end", "starts", "ends"])
+
+    rows = docs.filter("doc_id is not null").select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "digest binary, row long, doc_id long, nth int, own_end int, starts array<int>, ends array<int>")
+
+
+def shortest(counts: list[int], least: int) -> list[tuple[int, int]]:
+    """``i, j`` in order: slices of at least so many words that lose them without their last, or without their first, unit."""
+    upto = [0, *accumulate(counts)]
+    found = set()
+    for k in range(len(counts)):
+        j = bisect_left(upto, upto[k] + least)
+        if j < len(upto):
+            found.add((k, j))
+        i = bisect_right(upto, upto[k + 1] - least) - 1
+        if i >= 0:
+            found.add((i, k + 1))
+    return sorted(found)
+
+
 def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, start, end, first_doc_id, n_places``: the units to remove, as code points of the original text.
 
@@ -62,11 +110,32 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Digests are folded to one row before they are joined back. A line that a third of all texts has is not shuffled:
     the digests over ``HOT_SHARE`` of all units number 100,000 at most, a few megabytes, and go to where the units are.
     """
-    found = settle(units(docs, least_words))
+    joined = _later(settle(units(docs, least_words)))
+    return joined.select("doc_id", "start", "end", "first_doc_id", "n_places")
+
+
+def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc_id, start, end, first_doc_id, n_places``: as ``repeats``, and the short units of repeated passages too.
+
+    The limit holds for the passage, a run of adjacent units, not for the unit: a line or paragraph of short sentences
+    goes as a whole, and a removed passage has no holes. There is one row per unit. A short unit has the values of its
+    run with the earliest first document (then the most places). Where equal runs of the first document overlap, the
+    first of them stays whole.
+    """
+    part = F.explode(F.arrays_zip("starts", "ends")).alias("part")
+    each = _later(settle(runs(docs, least_words))).select("row", "doc_id", "own_end", "first_doc_id", "n_places", part).filter(
+        "doc_id <> first_doc_id or part.starts >= own_end")
+    least = F.min(F.struct("first_doc_id", (-F.col("n_places")).alias("less"))).alias("m")
+    units_of = each.groupBy("row", "doc_id", F.col("part.starts").alias("start"), F.col("part.ends").alias("end")).agg(least)
+    return units_of.select("doc_id", "start", "end", F.col("m.first_doc_id").alias("first_doc_id"), (-F.col("m.less")).alias("n_places"))
+
+
+def _later(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose digest has an earlier place, with ``first_doc_id`` and ``n_places``."""
     first = settle(
         found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_places")).filter("n_places > 1"))
     hot = F.col("n_places") > max(HOT_PLACES, int(found.count() * HOT_SHARE))
     often = F.broadcast(first.filter(hot))
     rest = found.join(often.select("digest"), "digest", "left_anti")
     joined = found.join(often, "digest").unionByName(rest.join(first.filter(~hot), "digest"))
-    return joined.filter("doc_id <> first_doc_id or nth > 0").select("doc_id", "start", "end", "first_doc_id", "n_places")
+    return joined.filter("doc_id <> first_doc_id or nth > 0")

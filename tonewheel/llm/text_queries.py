@@ -8,7 +8,7 @@ from tonewheel.llm import toxicity
 from tonewheel.llm.bpe import round_trip
 from tonewheel.llm.decontamination import leaks
 from tonewheel.llm.ngram_join import jaccard_components
-from tonewheel.llm.line_dedup import repeats
+from tonewheel.llm.line_dedup import passages
 from tonewheel.llm.pii import personal_data
 from tonewheel.llm.registry import load, query
 from tonewheel.llm.secret_scan import secrets
@@ -46,7 +46,7 @@ def op5_pii_boosting(spark, sf_dir):
 
 @query("op6_line_dedup")
 def op6_line_dedup(spark, sf_dir):
-    return repeats(load(spark, sf_dir, "documents"))
+    return passages(load(spark, sf_dir, "documents"))
 
 
 @query("op10_secret_ownership")
