@@ -45,3 +45,19 @@ def test_recall_on_the_benchmark_table(spark):
     assert all(found[i][0] <= want[i][0] for i in want)
     assert sum(found[i][0] for i in want) >= 0.99 * sum(w[0] for w in want.values())
     assert audit(table, got) >= 0.99
+
+
+def test_many_groups_of_near_copies(spark):
+    """Groups larger than a neighbour list has candidates, several to a shard, one larger than a shard, and chains."""
+    draw = np.random.default_rng(11)
+    rows = []
+    for size in [120] * 8 + [1_300, 400]:
+        middle = draw.normal(size=64)
+        rows += [[float(c) for c in middle + draw.normal(size=64) * (0.05 if size != 400 else 0.11)] for _ in range(size)]
+    a, b = draw.normal(size=(2, 64))
+    rows += [[float(c) for c in np.cos(t) * a + np.sin(t) * b] for t in np.linspace(0, 1.4, 150)]
+    rows = [(k, v, 0) for k, v in enumerate(rows)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute([(i, [float(np.float32(c)) for c in v], lab) for i, v, lab in rows])
+    assert sum(w[0] for w in want.values()) > 500_000
+    assert {r[0]: tuple(r)[1:] for r in near_links(table).collect()} == want

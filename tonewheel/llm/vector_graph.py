@@ -16,8 +16,8 @@ from tonewheel.session import settle
 #: Vectors of a shard, about; the clusters' centres are a bounded sample, and a cluster beyond the size is cut by hash.
 SHARD_ROWS = 1_024
 MOST_CENTRES = 4_096
-#: Clusters that a vector is indexed in, and by how much farther than the nearest centre a query looks.
-OVERLAP, MARGIN = 2, math.radians(16)
+#: Clusters that a vector is indexed in; a query looks into every cluster that can own a vector in its range.
+OVERLAP = 2
 #: Neighbours kept in a list, how much nearer a detour must be to drop one, and nodes that a greedy search keeps open.
 DEGREE, ALPHA, BEAM = 24, 1.2, 32
 #: Queries of one search task, about: more that look into a shard are dealt to several tasks, each with the whole shard.
@@ -77,15 +77,54 @@ def shard_lists(x: np.ndarray) -> list[list[int]]:
     return out
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, query: np.ndarray, least: float) -> np.ndarray:
-    """Nodes with cosine >= least that a greedy search from the medoid finds and then expands over.
+def landmarks(x: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entry points of a shard: the nodes, each node's nearest entry point, and the widest angle of each to its nodes.
 
-    First the best BEAM nodes are expanded until none is left; from then on every node in range is expanded, however
-    many there are.
+    One node of each connected part of the graph, then evenly drawn ones; a few times the root of the shard's size in
+    all. However they lie, the angles say which of the nodes that a search didn't meet can be in its range.
     """
+    part = np.full(len(x), -1)
+    both = [list(n) for n in lists]
+    for k, near in enumerate(lists):
+        for other in near.tolist():
+            both[other].append(k)
+    heads = []
+    for k in range(len(x)):
+        if part[k] < 0:
+            heads.append(k)
+            part[k], todo = k, [k]
+            while todo:
+                for other in both[todo.pop()]:
+                    if part[other] < 0:
+                        part[other] = k
+                        todo.append(other)
+    room = 4 * math.isqrt(len(x)) + 1
+    marks = np.unique(np.concatenate([np.array(heads[:room]), np.linspace(0, len(x) - 1, min(len(x), room)).astype(np.int64)]))
+    scores = x @ x[marks].T
+    nearest = scores.argmax(axis=1)
+    wide = np.zeros(len(marks))
+    np.maximum.at(wide, nearest, np.arccos(np.clip(scores.max(axis=1), -1, 1)))
+    return marks, nearest, wide
+
+
+def range_search(
+    x: np.ndarray, lists: list[np.ndarray], entries: tuple[np.ndarray, np.ndarray, np.ndarray], own: int | None, query: np.ndarray, least: float,
+) -> np.ndarray:
+    """All nodes with cosine >= least (less rounding): those that a search of the graph meets, then those it can't have met.
+
+    The search starts at the query's own node and at the four nearest entry points. First the best BEAM nodes are
+    expanded until none is left; from then on every node in range is expanded, however many there are. Parts of the
+    range that no edge leads to are compared at last: nodes not seen whose entry point is near enough to have a node in
+    range, by the triangle inequality.
+    """
+    marks, nearest, wide = entries
+    angles = np.arccos(np.clip(x[marks] @ query, -1, 1))
+    nodes = marks[np.argsort(angles, kind="stable")[:4]]
+    if own is not None:
+        nodes = np.union1d(nodes, [own])
     seen = np.zeros(len(x), dtype=bool)
-    seen[start] = True
-    nodes, scores = np.array([start]), x[[start]] @ query
+    seen[nodes] = True
+    scores = x[nodes] @ query
     done: set[int] = set()
     while True:
         top = np.argsort(-scores, kind="stable")[:BEAM]
@@ -93,7 +132,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, query: np.n
         if not fresh:
             fresh = [int(n) for n in nodes[scores >= least - 0.01] if int(n) not in done]
             if not fresh:
-                return nodes[scores >= least]
+                break
         done.update(fresh)
         following = np.unique(np.concatenate([lists[n] for n in fresh]))
         following = following[~seen[following]] if len(following) else following
@@ -101,6 +140,15 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, query: np.n
             seen[following] = True
             nodes = np.concatenate([nodes, following])
             scores = np.concatenate([scores, x[following] @ query])
+    rest = np.flatnonzero((angles - wide <= _reach(least))[nearest] & ~seen)
+    if len(rest):
+        nodes, scores = np.concatenate([nodes, rest]), np.concatenate([scores, x[rest] @ query])
+    return nodes[scores >= least - 1e-9]
+
+
+def _reach(least: float) -> float:
+    """The angle of a range, with some room for rounding."""
+    return math.acos(max(min(least, 1.0), -1.0)) + 1e-6
 
 
 def _centres(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -118,8 +166,12 @@ def _centres(rows: DataFrame) -> dict[int, np.ndarray]:
     return {int(label): x[labels == label] for label in np.unique(labels)}
 
 
-def _placed(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """A row per vector and cluster that indexes it (the first is its own) or that it looks into."""
+def _placed(rows: DataFrame, centres: dict[int, np.ndarray], least: float) -> DataFrame:
+    """A row per vector and cluster that indexes it (the first is its own) or that it looks into.
+
+    It looks into a cluster unless the plane between that centre and its own is farther away than its range reaches:
+    beyond the plane, and so in that cluster, there is nothing for it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -127,10 +179,13 @@ def _placed(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
                 x, labels, ids = units(batch.column(2)), batch.column(1).to_numpy(), batch.column(0).to_numpy()
                 for label in np.unique(labels):
                     at = np.flatnonzero(labels == label)
-                    angle = np.arccos(np.clip(x[at] @ centres[int(label)].T, -1, 1))
-                    order = np.argsort(angle, axis=1, kind="stable")
+                    own = centres[int(label)]
+                    near = x[at] @ own.T
+                    order = np.argsort(-near, axis=1, kind="stable")
                     rank = np.argsort(order, axis=1, kind="stable")
-                    wanted = (rank < OVERLAP) | (angle <= angle.min(axis=1, keepdims=True) + MARGIN)
+                    apart = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))[order[:, 0]]
+                    plane = np.arcsin(np.clip((near.max(axis=1, keepdims=True) - near) / np.maximum(apart, 1e-6), -1, 1))
+                    wanted = (rank < OVERLAP) | (apart < 1e-6) | (plane <= _reach(least))
                     out += [(ids[at[r]], int(label), int(c), rank[r, c] == 0, rank[r, c] < OVERLAP) for r, c in zip(*np.nonzero(wanted), strict=True)]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
             yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["vec_id", "label", "cluster", "own", "member"])
@@ -148,13 +203,14 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     Shards are clusters with overlap, each of bounded size (a crowded cluster is cut by hash and all its parts are
     looked into). Neighbour lists of all shards are united in one table; a search task holds its shard's nodes and the
-    neighbours that other shards gave them. A hit counts only in the shard that owns it, so counts add up, and each task
+    neighbours that other shards gave them. What a search's edges don't lead to is compared if it can be in range, so all
+    links are found. A hit counts only in the shard that owns it, so counts add up, and each task
     hands on one link per node it joins, never its pairs.
     """
     rows = settle(usable(vectors).select("vec_id", F.col("label").cast("int").alias("label"), "embedding"))
     nodes = settle(rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")))
     centres = _centres(nodes)
-    placed = settle(_placed(nodes, centres))
+    placed = settle(_placed(nodes, centres, least))
     sizes = placed.filter("member").groupBy("label", "cluster").agg(F.ceil(F.count("*") / (2 * SHARD_ROWS)).cast("int").alias("parts"))
     dealt = placed.join(F.broadcast(sizes), ["label", "cluster"]).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     cells = settle(dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -195,7 +251,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         place = {int(i): k for k, i in enumerate(ids[base])}
         near = table.column("near").to_pylist()
         lists = [np.array([place[n] for n in (near[k] or []) if n in place], dtype=np.int64) for k in base]
-        start = int(np.argmax(held_x @ held_x.mean(axis=0))) if len(base) else 0
+        entries = landmarks(held_x, lists) if len(base) else None
         parent = list(range(len(ids)))
 
         def root(k: int) -> int:
@@ -206,7 +262,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
         out = {"vec_id": [], "hits": [], "other": []}
         for q in np.flatnonzero(asks) if len(base) else []:
-            found = base[range_search(held_x, lists, start, x[q], least)]
+            found = base[range_search(held_x, lists, entries, place.get(int(ids[q])), x[q], least)]
             found = found[(found != q) & ((x[found] * x[q]).sum(axis=1) >= least)]
             for k in found.tolist():
                 a, b = root(q), root(k)
