@@ -54,3 +54,13 @@ def test_repeated_and_null_labels(spark):
     chain = toxicity.fit(docs, toxicity.with_categories(labels), CATEGORIES)
     found = {r.doc_id: r.is_toxic for r in toxicity.score(docs, chain).collect()}
     assert all(found[k] == (k % 2 == 0) for k in range(60))
+
+
+def test_a_category_without_two_classes_is_left_out(spark):
+    docs = spark.createDataFrame([(k, f"good plain words {k}" if k % 2 else f"vile words {k}") for k in range(60)], "doc_id long, text string")
+    for quality in (lambda k: 1, lambda k: None, lambda k: k if k < 2 else None):
+        labels = spark.createDataFrame([(k, quality(k), 1 - k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+        chain = toxicity.fit(docs, toxicity.with_categories(labels), CATEGORIES)
+        found = toxicity.score(docs, chain).collect()
+        assert all(r.is_toxic == (r.doc_id % 2 == 0) and r.p_toxic is not None for r in found) and len(found) == 60
+        assert quality(0) == 0 or all(r.p_low_quality is None and not r.is_low_quality for r in found)

@@ -29,6 +29,8 @@ class Chain:
     categories: list[str]
     models: list[LogisticRegressionModel] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
+    #: Categories without two classes among the labels: no model, probability null.
+    left_out: list[str] = field(default_factory=list)
 
 
 def word_list(text: Column) -> Column:
@@ -67,12 +69,14 @@ def _scored(model: LogisticRegressionModel, rows: DataFrame, category: str) -> D
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int) -> DataFrame:
-    """Texts of at most about ``bound`` labelled documents with one label of each category (repeated labels: the largest).
+    """Texts of at most about ``bound`` labelled documents with a label of some category (repeated labels: the largest).
+
+    A null label is missing for its own category only.
 
     The sample's ids are bounded by the parameter, so they are broadcast; documents are not shuffled.
     """
     one = settle(labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).cast("double").alias(c) for c in categories])
-                 .dropna(subset=categories))
+                 .dropna("all", subset=categories))
     share = bound / max(one.count(), 1)
     drawn = one if share >= 1 else one.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003))
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(drawn), "doc_id")
@@ -84,41 +88,49 @@ def telling_words(facts: DataFrame, categories: list[str]) -> list[str]:
     n = facts.agg(F.count("*"), *[F.avg(c) for c in categories]).first()
     counted = settle(
         facts.select(F.explode(F.array_distinct("words")).alias("word"), *categories).groupBy("word")
-        .agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("docs") >= LEAST_DOCS)
+        .agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in categories], *[F.count(c).alias(f"n_{c}") for c in categories]).filter(F.col("docs") >= LEAST_DOCS)
     )
     found: set[str] = set()
     for k, category in enumerate(categories):
-        chance = F.col("docs") * n[1 + k]
+        chance = F.col(f"n_{category}") * n[1 + k]
         far = F.abs(F.col(category) - chance) / F.sqrt(chance * (1 - n[1 + k]))
-        found |= {r[0] for r in counted.orderBy(far.desc(), "word").limit(VOCABULARY).select("word").collect()}
+        found |= {r[0] for r in counted.filter(F.col(f"n_{category}") > 0).orderBy(far.desc(), "word").limit(VOCABULARY).select("word").collect()}
     return sorted(found) or ["-"]
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int = MAX_LABELLED) -> Chain | None:
-    """The chain in the order of ``categories`` (0/1 columns of ``labels``); None if a category has only one class.
+    """The chain in the order of ``categories`` (0/1 columns of ``labels``); None if none has two classes.
+
+    A category with one class only, or without labels, is left out, and the next model goes without its probability.
 
     For training, a document's earlier probabilities come from models that did not see it (folds by a hash of the id),
     as they will for new documents. Each threshold is the one with the best F1 on such out-of-fold probabilities.
     """
     facts = labelled_sample(docs, labels, categories, bound)
     both = facts.agg(*[F.min(c) for c in categories], *[F.max(c) for c in categories]).first()
-    if any(both[k] is None or both[k] == both[k + len(categories)] for k in range(len(categories))):
+    left_out = [c for k, c in enumerate(categories) if both[k] is None or both[k] == both[k + len(categories)]]
+    categories = [c for c in categories if c not in left_out]
+    if not categories:
         return None
     words = CountVectorizerModel.from_vocabulary(telling_words(facts, categories), inputCol="words", outputCol="bag")
     words.setBinary(True)
-    chain = Chain(words, categories)
+    chain = Chain(words, categories, left_out=left_out)
     rows = words.transform(facts).drop("words").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
     for k, category in enumerate(categories):
         # the sample is bounded: in few parts, a step of the fit costs no more than its sums
         rows = settle(_vectors(rows, [f"p_{c}" for c in categories[:k]]).coalesce(PARTS))
+        labelled = rows.filter(F.col(category).isNotNull())
+        seen = {(r[0], r[1]) for r in labelled.select("fold", category).distinct().collect()}
         held = None
         for fold in range(FOLDS):
-            model = _linear(category).fit(rows.filter(F.col("fold") != fold))
+            # few labels may leave the other folds without one of the classes; then all are used
+            enough = len({y for f, y in seen if f != fold}) == 2
+            model = _linear(category).fit(labelled.filter(F.col("fold") != fold) if enough else labelled)
             part = _scored(model, rows.filter(F.col("fold") == fold), category)
             held = part if held is None else held.unionByName(part)
-        chain.models.append(_linear(category).fit(rows))
+        chain.models.append(_linear(category).fit(labelled))
         rows = settle(held)
-        chain.thresholds.append(_best_threshold(rows, category))
+        chain.thresholds.append(_best_threshold(rows.filter(F.col(category).isNotNull()), category))
     return chain
 
 
@@ -136,8 +148,8 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """``docs`` with ``p_<category>`` and ``is_<category>`` of every row.
 
     Rows keep their columns (a column of one of these names is replaced) and their number. A null text has no words and
-    gets the probability of none. Without a chain (labels of one class only, so nothing to tell apart) the two columns
-    are null and false.
+    gets the probability of none. Without a chain (labels of one class only, so nothing to tell apart), and for a
+    category that the chain leaves out, the two columns are null and false.
     """
     own = docs.columns
     if chain is None:
@@ -149,6 +161,9 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
     for k, category in enumerate(chain.categories):
         made = _scored(chain.models[k], _vectors(made, [f"p_{c}" for c in chain.categories[:k]]), category)
     new = {}
+    for category in chain.left_out:
+        new[f"p_{category}"] = F.lit(None).cast("double")
+        new[f"is_{category}"] = F.lit(False)
     for category, threshold in zip(chain.categories, chain.thresholds, strict=True):
         new[f"p_{category}"] = F.col(f"p_{category}")
         new[f"is_{category}"] = F.col(f"p_{category}") >= threshold
