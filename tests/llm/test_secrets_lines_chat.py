@@ -41,6 +41,12 @@ def test_owners_part_examples_from_live_values(spark):
     assert "generic:2:29" in got[9].spans
 
 
+def test_many_repositories_of_one_owner(spark):
+    rows = [(k, "token=abcdefghijklm" + (" token=zyxwvutsrqponm" if k < 9 else ""), "s", f"r{k}") for k in range(10)]
+    got = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert all((r.n_example, r.n_live) == (1, int(r.doc_id < 9)) for r in got) and len(got) == 10
+
+
 def test_secrets_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held(secret_scan.secrets(docs).collect(), dict(docs.select("doc_id", "text").collect()))

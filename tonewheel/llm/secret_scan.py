@@ -19,8 +19,8 @@ HINT = {
     "assign": lambda t: t.rlike("(?i:passw|secret|token|api_?key)"), "access": lambda t: t.contains("AKIA"),
     "hex": lambda t: t.rlike("[0-9a-f]{16}"), "generic": lambda t: t.rlike("[A-Za-z0-9+/_-]{20}"),
 }
-#: A value that so many owners have is a widely copied example.
-WIDE_OWNERS = 3
+#: A value that so many owners, or so many repositories of fewer owners, have is a widely copied example.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 10
 NONE = "cast(array() as array<struct<s:int,e:int,m:string>>)"
 
 
@@ -57,7 +57,7 @@ def secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...]
 
     ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example``. A candidate's value (of an assignment:
     what is assigned) is counted by distinct repositories and owners over the whole corpus. Values of fewer than
-    ``WIDE_OWNERS`` owners look live, others are examples. The method adds generic spans (20 characters and more with
+    ``WIDE_OWNERS`` owners and ``WIDE_REPOSITORIES`` repositories look live, others are examples. The method adds generic spans (20 characters and more with
     upper case, lower case and digits, outside base spans) that look live; base spans always stay.
     Null and empty texts have no spans; a null owner or repository counts as one of its own name; repeated rows come
     back as often as they come in and count once for their owner; an empty table gives no rows.
@@ -78,7 +78,8 @@ def secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...]
     owned = each.groupBy("h", "owner", "repository").count().groupBy("h", "owner").agg(F.count("*").alias("r")).groupBy("h").agg(
         F.count("*").alias("owners"), F.sum("r").alias("repositories"))
     told = each.select("_row", "c", "h").join(owned, "h").select(
-        "_row", F.col("c.s").alias("s"), F.col("c.k").alias("k"), F.col("c.e").alias("e"), (F.col("owners") < WIDE_OWNERS).alias("live"))
+        "_row", F.col("c.s").alias("s"), F.col("c.k").alias("k"), F.col("c.e").alias("e"),
+        ((F.col("owners") < WIDE_OWNERS) & (F.col("repositories") < WIDE_REPOSITORIES)).alias("live"))
     per_row = told.groupBy("_row").agg(
         F.sum((F.col("live") & (F.col("k") < 3)).cast("long")).alias("n_live"), F.sum((~F.col("live") & (F.col("k") < 3)).cast("long")).alias("n_example"),
         F.array_sort(F.collect_list(F.when(F.col("live") | (F.col("k") < 3), F.struct("s", "k", "e")))).alias("all"),
