@@ -13,6 +13,7 @@ from tonewheel.llm.pii import personal_data
 from tonewheel.llm.registry import load, query
 from tonewheel.llm.secret_scan import secrets
 from tonewheel.llm.token_counts import edited_counts, sample_edits
+from tonewheel.llm.token_links import aligned
 
 
 @query("op3_ngram_join")
@@ -59,3 +60,9 @@ def op8_edit_counts(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = load(spark, sf_dir, "documents")
     return edited_counts(docs, sample_edits(docs["text"]), vocabulary, public_tokenizers.PATTERN)
+
+
+@query("op12_token_links")
+def op12_token_links(spark, sf_dir):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned(load(spark, sf_dir, "documents"), *paths)
