@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tonewheel.llm import toxicity
+from tonewheel.llm import language_id, toxicity
 from tonewheel.llm.bpe import round_trip
 from tonewheel.llm.decontamination import leaks
 from tonewheel.llm.ngram_join import jaccard_components
@@ -66,3 +67,10 @@ def op8_edit_counts(spark, sf_dir):
 def op12_token_links(spark, sf_dir):
     paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return aligned(load(spark, sf_dir, "documents"), *paths)
+
+
+@query("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return language_id.predict(docs, language_id.fit(docs, ~held_out), ["doc_id", held_out.alias("held_out")])
