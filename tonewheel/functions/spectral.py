@@ -11,6 +11,8 @@ from math import gcd
 import numpy as np
 
 LOG_FLOOR = 1e-10
+#: Zero crossings of the resampler's filter on each side, and its cutoff below the lower of both rates' halves.
+ZEROS, ROLLOFF = 6, 0.99
 
 
 def hann(n: int, periodic: bool = True) -> np.ndarray:
@@ -175,7 +177,7 @@ def _fbank_kaldi(x: np.ndarray, conf: FbankConfig) -> np.ndarray:
     return np.log(np.maximum(power @ bank, np.finfo(np.float32).eps))
 
 
-def resample(x: np.ndarray, rate: int, target: int, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
+def resample(x: np.ndarray, rate: int, target: int, zeros: int = ZEROS, rolloff: float = ROLLOFF) -> np.ndarray:
     """Band-limited resampling of ``[batch, n]``: a Hann-windowed sinc evaluated at the new sample times."""
     if rate == target or x.shape[1] == 0:
         return x
