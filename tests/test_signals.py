@@ -106,3 +106,72 @@ def test_resampling_keeps_a_low_tone(rate, target):
     want = np.sin(2 * np.pi * f * rate / target * np.arange(y.shape[1]))
     middle = slice(len(want) // 4, 3 * len(want) // 4)
     assert np.abs(y[0, middle] - want[middle]).max() < 0.02
+
+
+def test_chain_agrees_with_its_steps(spark):
+    """One pass over mixed lengths against the array expressions, step by step."""
+    from tonewheel.functions.chain import Chain
+    from tonewheel.operators.features import with_stft, with_vectors
+
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=n).tolist()) for i, n in enumerate([64, 64, 40, 64, 9, 64, 40])]
+    df = spark.createDataFrame(rows, "id int, x array<double>").repartition(2)
+    conf = spectral.StftConfig(1000, 16, 8, log=False)
+    for fill in ("pad", "cycle"):
+        for per_band in (True, False):
+            chain = Chain(64, fill, conf, "temporal" if per_band else "all", frames=9, min_bands=11, band=5, encoder="frame_statistics")
+            got = {r.id: (r.emb, r.valid) for r in with_vectors(df, chain).collect()}
+            full = arrays.cycled(F.col("x"), 64) if fill == "cycle" else arrays.padded(F.col("x"), 64)
+            valid = F.lit(64) if fill == "cycle" else F.size("x")
+            steps = df.withColumn("x", arrays.centered(F.col("x"))).withColumn("valid", valid).withColumn("x", full)
+            steps = with_stft(steps, conf).withColumn("valid", arrays.valid_frames(F.col("valid"), 16, 8, F.size("spec")))
+            steps = steps.withColumn("spec", arrays.fixed_frames(arrays.standardised_matrix(F.col("spec"), per_band), 9, 11))
+            for r in steps.collect():
+                m = np.array(r.spec)
+                want = np.concatenate([np.concatenate([b.mean(0), b.std(0), b.min(0), b.max(0)]) for b in (m[:, :5], m[:, 5:10])])
+                assert np.allclose(got[r.id][0], want, atol=1e-9) and got[r.id][1] == r.valid
+
+
+def test_filterbank_options():
+    x = np.random.default_rng(2).normal(size=(3, 400))
+    base = spectral.FbankConfig(8000, 10, 5, num_mel_bins=5)
+    still = spectral.fbank(x, base)
+    noisy = spectral.fbank(x, spectral.FbankConfig(8000, 10, 5, num_mel_bins=5, dither=0.5, seed=1))
+    assert np.array_equal(noisy, spectral.fbank(x, spectral.FbankConfig(8000, 10, 5, num_mel_bins=5, dither=0.5, seed=1)))
+    assert not np.allclose(still, noisy) and np.array_equal(still, spectral.fbank(x, spectral.FbankConfig(8000, 10, 5, num_mel_bins=5, htk_compat=True)))
+    log = spectral.FbankConfig(8000, 10, 5, impl="nnaudio", num_mel_bins=5)
+    assert np.allclose(spectral.fbank(x, log), spectral.fbank(x, spectral.FbankConfig(8000, 10, 5, impl="nnaudio", num_mel_bins=5, win_length=80)))
+    short = spectral.fbank(x, spectral.FbankConfig(8000, 10, 5, impl="nnaudio", num_mel_bins=5, win_length=40))
+    inner = spectral.frames(x, 80, 40, True)[..., 20:60] * spectral.hann(40)
+    power = np.abs(np.fft.rfft(np.pad(inner, ((0, 0), (0, 0), (20, 20))), axis=-1)) ** 2
+    bank = spectral.mel_filters(np.linspace(0, 4000, 41), 5, 0.0, 4000.0, "slaney", True)
+    assert np.allclose(short, np.log(power @ bank + np.finfo(np.float32).eps))
+    hann, hamming = (spectral.fbank(x, spectral.FbankConfig(8000, 10, 5, impl="huggingface", num_mel_bins=5, f_max=4000.0, window_type=w)) for w in ("hann", "hamming"))
+    assert not np.allclose(hann, hamming)
+    with pytest.raises(ValueError):
+        spectral.window("kaiser", 8, True)
+
+
+def test_whole_job_is_stored_once(spark, tmp_path):
+    from tonewheel.functions.chain import Chain
+    from tonewheel.operators.blocks import blocks_of_arrays
+    from tonewheel.plans.embedding import embed_blocks
+
+    rows = [("a", 2000, np.sin(np.arange(900) / 7).tolist()), ("b", 1500, np.cos(np.arange(700) / 9).tolist())]
+    stored = blocks_of_arrays(spark.createDataFrame(rows, "file string, rate int, x array<double>"), ["file"], "rate", size=200)
+    chain = Chain(128, norm="all", mean=0.0, std=2.0)
+    made = embed_blocks(spark, stored, str(tmp_path / "v"), ["file"], chain, 64, (1000, 800), decimate=True)
+    want = {}
+    for name, rate, x in rows:
+        y = np.array(x)[None, ::2] if rate == 2000 else spectral.resample(np.array(x)[None], rate, 1000)
+        y = spectral.resample(y, 1000, 800)[0]
+        n = len(y)
+        offsets = [r for r in range(0, n - 127, 64)]
+        if offsets[-1] + 64 + 0.05 * 128 <= n:
+            offsets.append(n - 128)
+        cut = np.stack([y[o: o + 128] - y[o: o + 128].mean() for o in offsets]) / 2
+        want[name] = spectral.spectral_statistics(cut).mean(0)
+    got = {r.file: r.emb for r in made.collect()}
+    assert all(np.allclose(got[f], want[f], atol=1e-9) for f in want) and sorted(got) == sorted(want)
+    again = embed_blocks(spark, stored.limit(0), str(tmp_path / "v"), ["file"], chain, 64)
+    assert again.count() == 2

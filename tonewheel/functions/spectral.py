@@ -38,6 +38,7 @@ class StftConfig:
     data_type: str = "magnitude"
     center: bool = False
     log: bool = True
+    channels: bool = False
 
     @property
     def n_fft(self) -> int:
@@ -49,13 +50,17 @@ class StftConfig:
 
 
 def stft(x: np.ndarray, conf: StftConfig) -> np.ndarray:
-    """``[batch, time, freq]``; complex spectra give real parts, then imaginary parts, along frequency."""
+    """``[batch, time, freq]``; complex spectra give real parts, then imaginary parts, along frequency.
+
+    With ``channels`` a complex spectrum has both as channels instead: ``[batch, 2, time, freq]``.
+    """
     librosa = conf.impl == "librosa"
     center = True if librosa else conf.center
     framed = frames(x, conf.n_fft, conf.hop, center, "constant" if librosa else "reflect")
     spectrum = np.fft.rfft(framed * hann(conf.n_fft), axis=-1)
     if conf.data_type == "complex" and not librosa:
-        return np.concatenate([spectrum.real, spectrum.imag], axis=-1)
+        parts = [spectrum.real, spectrum.imag]
+        return np.stack(parts, axis=1) if conf.channels else np.concatenate(parts, axis=-1)
     size = np.abs(spectrum)
     return np.log(size + LOG_FLOOR) if conf.log else size
 
@@ -110,6 +115,13 @@ class FbankConfig:
     window_type: str = "hanning"
     n_fft_: int | None = None
     hop_: int | None = None
+    #: Kaldi recipe: Gaussian noise of this size on every frame. ``htk_compat`` would move the energy column to the end;
+    #: there is none here, so it changes nothing.
+    dither: float = 0.0
+    seed: int = 0
+    htk_compat: bool = False
+    #: Log recipe: window shorter than the transform, centred in it.
+    win_length: int | None = None
 
     @property
     def n_fft(self) -> int:
@@ -125,9 +137,28 @@ def fbank(x: np.ndarray, conf: FbankConfig) -> np.ndarray:
     return {"kaldi": _fbank_kaldi, "torchaudio": _fbank_db, "nnaudio": _fbank_log, "huggingface": _fbank_hf}[conf.impl](x, conf)
 
 
-def _mel_power(x: np.ndarray, conf: FbankConfig, scale: str, area_norm: bool, center: bool, high: float) -> np.ndarray:
+def window(name: str, n: int, periodic: bool) -> np.ndarray:
+    """Tapers by name."""
+    span = max(n if periodic else n - 1, 1)
+    turn = 2 * np.pi * np.arange(n) / span
+    if name in ("hann", "hanning", "hann_window"):
+        return 0.5 - 0.5 * np.cos(turn)
+    if name in ("hamming", "hamming_window"):
+        return 0.54 - 0.46 * np.cos(turn)
+    if name == "povey":
+        return (0.5 - 0.5 * np.cos(turn)) ** 0.85
+    if name == "blackman":
+        return 0.42 - 0.5 * np.cos(turn) + 0.08 * np.cos(2 * turn)
+    if name in ("rectangular", "boxcar"):
+        return np.ones(n)
+    raise ValueError(f"unknown window {name!r}")
+
+
+def _mel_power(
+    x: np.ndarray, conf: FbankConfig, scale: str, area_norm: bool, center: bool, high: float, taper: np.ndarray | None = None
+) -> np.ndarray:
     framed = frames(x, conf.n_fft, conf.hop, center)
-    power = np.abs(np.fft.rfft(framed * hann(conf.n_fft), axis=-1)) ** 2
+    power = np.abs(np.fft.rfft(framed * (hann(conf.n_fft) if taper is None else taper), axis=-1)) ** 2
     bins = np.linspace(0.0, conf.sample_rate / 2, conf.n_fft // 2 + 1)
     return power @ mel_filters(bins, conf.num_mel_bins, conf.f_min, high, scale, area_norm)
 
@@ -144,13 +175,16 @@ def _fbank_db(x: np.ndarray, conf: FbankConfig) -> np.ndarray:
 
 
 def _fbank_log(x: np.ndarray, conf: FbankConfig) -> np.ndarray:
-    mel = _mel_power(x, conf, "slaney", True, True, _nyquist(conf))
+    short = conf.win_length or conf.n_fft
+    before = (conf.n_fft - short) // 2
+    taper = np.pad(hann(short), (before, conf.n_fft - short - before))
+    mel = _mel_power(x, conf, "slaney", True, True, _nyquist(conf), taper)
     return np.log(mel + np.finfo(np.float32).eps)
 
 
 def _fbank_hf(x: np.ndarray, conf: FbankConfig) -> np.ndarray:
     high = conf.f_max if conf.f_max is not None else 14000.0
-    mel = _mel_power(x, conf, conf.mel_scale, conf.norm == "slaney", True, high)
+    mel = _mel_power(x, conf, conf.mel_scale, conf.norm == "slaney", True, high, window(conf.window_type, conf.n_fft, True))
     return 10.0 * np.log10(np.maximum(mel, LOG_FLOOR))
 
 
@@ -159,16 +193,12 @@ def _fbank_kaldi(x: np.ndarray, conf: FbankConfig) -> np.ndarray:
     if conf.shift_15:
         x = x * 2.0**15
     framed = frames(x, conf.n_fft, conf.hop)
+    if conf.dither:
+        framed = framed + conf.dither * np.random.default_rng(conf.seed).normal(size=framed.shape)
     framed = framed - framed.mean(axis=-1, keepdims=True) if framed.shape[1] else framed
     before = np.concatenate([framed[..., :1], framed[..., :-1]], axis=-1)
     n = conf.n_fft
-    window = {
-        "hanning": hann(n, False),
-        "hamming": 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1)),
-        "povey": hann(n, False) ** 0.85,
-        "rectangular": np.ones(n),
-    }[conf.window_type]
-    shaped = (framed - 0.97 * before) * window
+    shaped = (framed - 0.97 * before) * window(conf.window_type, n, False)
     padded = 1 << (n - 1).bit_length()
     power = np.abs(np.fft.rfft(shaped, padded, axis=-1)) ** 2
     bins = np.arange(padded // 2 + 1) * conf.sample_rate / padded
@@ -198,6 +228,11 @@ def resample(x: np.ndarray, rate: int, target: int, zeros: int = ZEROS, rolloff:
     return out
 
 
+def frame_statistics(x: np.ndarray) -> np.ndarray:
+    """Encoder of features ``[windows, time, band]``: mean, spread, least and largest value of each band over time."""
+    return np.concatenate([x.mean(1), x.std(1), x.min(1), x.max(1)], axis=1)
+
+
 def spectral_statistics(x: np.ndarray) -> np.ndarray:
     """Default encoder: level, spread, extremes and energy of each window, then its eight octave-like band energies."""
     power = np.abs(np.fft.rfft(x, axis=1)) ** 2 / max(x.shape[1], 1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonewheel.functions import spectral
+from tonewheel.functions.chain import Chain, vectors
 from tonewheel.operators.knn import matrix
 
 # Moments a task keeps before it hands them on, in numbers (8 bytes each).
@@ -63,7 +64,7 @@ def apply_kernel(df: DataFrame, column: str, out: str, kernel: Kernel, depth: in
 
 
 def with_stft(df: DataFrame, conf: spectral.StftConfig, column: str = "x", out: str = "spec") -> DataFrame:
-    return apply_kernel(df, column, out, lambda x: spectral.stft(x, conf), depth=2)
+    return apply_kernel(df, column, out, lambda x: spectral.stft(x, conf), depth=3 if conf.data_type == "complex" and conf.channels else 2)
 
 
 def with_fbank(df: DataFrame, conf: spectral.FbankConfig, column: str = "x", out: str = "spec") -> DataFrame:
@@ -79,7 +80,7 @@ def with_resampled(df: DataFrame, rate: int, target: int, column: str = "x", out
     return done.drop("_x")
 
 
-ENCODERS: dict[str, Kernel] = {"spectral_statistics": spectral.spectral_statistics}
+ENCODERS: dict[str, Kernel] = {"spectral_statistics": spectral.spectral_statistics, "frame_statistics": spectral.frame_statistics}
 
 
 def register_encoder(name: str, kernel: Kernel) -> None:
@@ -93,6 +94,30 @@ def encode(df: DataFrame, encoder: str = "spectral_statistics", column: str = "x
     return apply_kernel(df, column, out, ENCODERS[encoder])
 
 
+def with_vectors(windows: DataFrame, chain: Chain, column: str = "x") -> DataFrame:
+    """Raw windows of mixed lengths to vectors: every step of the chain in one pass, windows of a length as one matrix.
+
+    Adds ``emb`` and ``valid`` (valid samples, or frames of the feature) and drops the samples. Empty windows are an
+    error: plan windows with ``segments.split_empty``.
+    """
+    if chain.encoder not in ENCODERS:
+        raise KeyError(f"unknown encoder {chain.encoder!r}; known: {sorted(ENCODERS)}")
+    kernel, names = ENCODERS[chain.encoder], [c for c in windows.columns if c != column]
+    schema = T.StructType([*[windows.schema[c] for c in names], T.StructField("emb", T.ArrayType(T.DoubleType())), T.StructField("valid", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(column)
+            sizes = np.asarray(x.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            for n in np.unique(sizes):
+                rows = pa.array(np.flatnonzero(sizes == n))
+                emb, valid = vectors(matrix(pa.chunked_array([x.take(rows)])), chain, kernel)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(rows) for c in names], _lists(emb), pa.array(np.full(len(rows), valid, np.int32))], [*names, "emb", "valid"])
+
+    return windows.mapInArrow(run, schema)
+
+
 def group_pca(df: DataFrame, train: DataFrame, key: str, components: int, vec: str = "emb") -> DataFrame:
     """Project vectors on the leading components of their group's train vectors.
 

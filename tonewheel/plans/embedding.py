@@ -1,4 +1,4 @@
-"""Signals to file vectors: cut, centre, pad, featurise, encode, pool, store."""
+"""Signals to file vectors: resample, cut, centre, pad, featurise, normalise, encode, pool, store."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewheel.functions import arrays
+from tonewheel.functions.chain import Chain
 from tonewheel.functions.spectral import FbankConfig, StftConfig
-from tonewheel.operators.features import encode, with_fbank, with_stft
+from tonewheel.operators.blocks import BLOCK, reblocked, resampled_blocks, windows_of_blocks
+from tonewheel.operators.features import encode, with_fbank, with_stft, with_vectors
 from tonewheel.operators.pooling import pool_vectors
 from tonewheel.operators.segments import cut_array, segment_index, sliding_offsets
+from tonewheel.session import settle
 from tonewheel.sources.store import stored
 
 
@@ -35,6 +38,42 @@ def file_vectors(segs: DataFrame, encoder: str = "spectral_statistics", pool: st
     return pool_vectors(encode(segs, encoder, column).select("file", "emb"), ["file"], pool)
 
 
+def at_rate(blocks: DataFrame, keys: list[str], rates: tuple[int, ...], decimate: bool = False, size: int = BLOCK) -> DataFrame:
+    """Blocks of signals of any rates, resampled to one rate after the other (the data's, then the model's).
+
+    ``decimate`` holds for the first step: signals whose rate is a multiple of it lose samples, others are filtered.
+    """
+    for k, rate in enumerate(rates):
+        if k:  # a second filter needs blocks again, not the pieces that the first one left
+            blocks = reblocked(settle(blocks), keys, size)
+        blocks = resampled_blocks(blocks, keys, rate, decimate and k == 0)
+    return blocks
+
+
+def block_vectors(
+    blocks: DataFrame, keys: list[str], chain: Chain, hop: int, rates: tuple[int, ...] = (), decimate: bool = False, size: int = BLOCK,
+) -> DataFrame:
+    """``keys, seg, offset, emb, valid``: the vector of every window of every signal.
+
+    From stored blocks: resample by each signal's own rate, cut windows from neighbouring blocks, then every step of the
+    chain in one pass over the windows. No row is larger than a block or a window.
+    """
+    if rates:
+        blocks = settle(at_rate(blocks, keys, rates, decimate, size))
+    return with_vectors(windows_of_blocks(blocks, keys, chain.win, hop).drop("n"), chain)
+
+
+def embed_blocks(
+    spark: SparkSession, blocks: DataFrame, path: str, keys: list[str], chain: Chain, hop: int, rates: tuple[int, ...] = (),
+    decimate: bool = False, pool: str = "mean", overwrite: bool = False,
+) -> DataFrame:
+    """The stored vectors, pooled per signal, of a block table: the whole embedding job, computed on first use."""
+    def make() -> DataFrame:
+        return pool_vectors(block_vectors(blocks, keys, chain, hop, rates, decimate).select(*keys, "emb"), keys, pool)
+
+    return stored(spark, path, make, overwrite)
+
+
 def embed(spark: SparkSession, signals: DataFrame, path: str, win: int, hop: int, encoder: str = "spectral_statistics", pool: str = "mean", overwrite: bool = False) -> DataFrame:
     """The stored vectors of a collection, computed on first use."""
     return stored(spark, path, lambda: file_vectors(segments(signals, win, hop), encoder, pool), overwrite)

@@ -297,6 +297,46 @@ def stft_magnitude(spark: SparkSession, sf: str) -> DataFrame:
     return spread(w.select("user_id", "seg", F.col("spec")[0].alias("x")), "user_id", "seg")
 
 
+# every window in full, and its frames of eight samples, four apart; ``pad`` samples are reflected at both ends
+FULL = f"""f AS (SELECT g.user_id, g.seg, i, coalesce(c.v, 0.0) AS v FROM (SELECT DISTINCT user_id, seg FROM c) g JOIN unnest(range(0, {WIN})) AS r(i) ON true LEFT JOIN c USING (user_id, seg, i))"""
+HANN = "(0.5 - 0.5 * cos(2 * pi() * j / 8))"
+
+
+def framed_sql(name: str, frames: int, pad: int) -> str:
+    p = f"(t * 4 + j - {pad})"
+    return f"""{name} AS (SELECT user_id, seg, t, j, v FROM f JOIN (SELECT t, j, CASE WHEN {p} < 0 THEN -{p} WHEN {p} > {WIN - 1} THEN {2 * WIN - 2} - {p} ELSE {p} END AS i FROM unnest(range(0, {frames})) AS a(t), unnest(range(0, 8)) AS b(j)) USING (i))"""
+
+
+def dft_sql(name: str, source: str, taper: str) -> str:
+    parts = ", ".join(f"sum(v * {taper} * {fn}(2 * pi() * k * j / 8)) AS {to}" for fn, to in (("cos", "re"), ("sin", "im")))
+    return f"{name} AS (SELECT user_id, seg, t, k, {parts} FROM {source}, unnest(range(0, 5)) AS q(k) GROUP BY ALL)"
+
+
+def bank_sql(name: str, to_mel: str, from_mel: str, low: float, high: float, in_mel: bool, area: bool) -> str:
+    """Three triangles over five bins; ``to_mel`` and ``from_mel`` hold a ``?`` for the value."""
+    at = to_mel.replace("?", "(k * 125.0)") if in_mel else "(k * 125.0)"
+    edge, whole = "(lo + (hi - lo) * j / 4)", "(m.lo + (m.hi - m.lo) * {} / 4)"
+    x = edge if in_mel else from_mel.replace("?", edge)
+    upper, lower = (from_mel.replace("?", whole.format(j)) for j in ("(b + 2)", "b"))
+    scale = f"2.0 / ({upper} - {lower})" if area else "1.0"
+    return f"""{name}_e AS (SELECT j, {x} AS x, lo, hi FROM (SELECT {to_mel.replace("?", str(low))} AS lo, {to_mel.replace("?", str(high))} AS hi), unnest(range(0, 5)) AS r(j)),
+{name} AS (SELECT b, k, {scale} * greatest(0, least(({at} - l.x) / (m.x - l.x), (r.x - {at}) / (r.x - m.x))) AS w FROM unnest(range(0, 3)) AS q(b) JOIN {name}_e l ON l.j = b JOIN {name}_e m ON m.j = b + 1 JOIN {name}_e r ON r.j = b + 2, unnest(range(0, 5)) AS s(k))"""
+
+
+_KALDI = ("(1127 * ln(1 + ? / 700.0))", "(700 * (exp(? / 1127) - 1))")
+_HTK = ("(2595 * log10(1 + ? / 700.0))", "(700 * (pow(10, ? / 2595) - 1))")
+_SLANEY = ("(CASE WHEN ? < 1000 THEN ? * 3 / 200.0 ELSE 15 + 27 * ln(greatest(?, 1000) / 1000.0) / ln(6.4) END)", "(CASE WHEN ? < 15 THEN ? * 200 / 3.0 ELSE 1000 * exp((? - 15) * ln(6.4) / 27) END)")
+_EPS = 1.1920928955078125e-07
+MEL_RECIPES = f"""WITH {WINDOWS}, {FULL}, {framed_sql("fr", 3, 0)}, {framed_sql("fc", 5, 4)},
+dcless AS (SELECT user_id, seg, t, j, v - avg(v) OVER (PARTITION BY user_id, seg, t) AS v FROM fr),
+emph AS (SELECT user_id, seg, t, j, v - 0.97 * coalesce(lag(v) OVER (PARTITION BY user_id, seg, t ORDER BY j), v) AS v FROM dcless),
+{dft_sql("dk", "emph", "(0.5 - 0.5 * cos(2 * pi() * j / 7))")}, {dft_sql("dc", "fc", HANN)},
+{bank_sql("bk", *_KALDI, 20.0, 500.0, True, False)}, {bank_sql("bn", *_SLANEY, 0.0, 500.0, False, True)}, {bank_sql("bh", *_HTK, 0.0, 500.0, False, False)}
+SELECT 'kaldi' AS recipe, user_id, seg, t, b AS i, round(ln(greatest(sum((re * re + im * im) * w), {_EPS})), 4) + 0.0 AS v FROM dk JOIN bk USING (k) WHERE k < 4 GROUP BY ALL
+UNION ALL SELECT 'nnaudio', user_id, seg, t, b, round(ln(sum((re * re + im * im) * w) + {_EPS}), 4) + 0.0 FROM dc JOIN bn USING (k) GROUP BY ALL
+UNION ALL SELECT 'huggingface', user_id, seg, t, b, round(10 * log10(greatest(sum((re * re + im * im) * w), 1e-10)), 4) + 0.0 FROM dc JOIN bh USING (k) GROUP BY ALL"""
+
+
 @query("mel_energies", f"""WITH {SPECTRUM}, top AS (SELECT 2595 * log10(1 + 500 / 700.0) AS mel),
 edge AS (SELECT j, 700 * (pow(10, mel * j / 5 / 2595) - 1) AS hz FROM top, unnest(range(0, 6)) AS r(j)),
 bank AS (SELECT b.j - 1 AS f, k, greatest(0, least((k * 62.5 - a.hz) / (b.hz - a.hz), (c.hz - k * 62.5) / (c.hz - b.hz))) AS w FROM edge a JOIN edge b ON b.j = a.j + 1 JOIN edge c ON c.j = b.j + 1 JOIN bins ON true)
@@ -309,17 +349,33 @@ def mel_energies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("v", F.round("v", 4))
 
 
-@query("mel_recipes")
+@query("mel_recipes", MEL_RECIPES)
 def mel_recipes(spark: SparkSession, sf: str) -> DataFrame:
-    """The three other recipes on windows of every signal."""
+    """The three other recipes on windows of every signal, all frames and bands."""
     base = windows(spark, sf).select("user_id", "seg", "x")
     out = None
     for impl in ("kaldi", "nnaudio", "huggingface"):
         conf = FbankConfig(sample_rate=1000, frame_length=8, frame_shift=4, impl=impl, num_mel_bins=3, f_max=500.0 if impl != "kaldi" else None)
-        w = features.with_fbank(base, conf).withColumn("frames", F.size("spec"))
-        one = w.select(F.lit(impl).alias("recipe"), "user_id", "seg", "frames", r6(F.col("spec")[0][1]).alias("v"))
+        one = features.with_fbank(base, conf).select(F.lit(impl).alias("recipe"), "user_id", "seg", F.posexplode("spec").alias("t", "row"))
         out = one if out is None else out.unionByName(one)
-    return out
+    rows = out.select("recipe", "user_id", "seg", "t", F.posexplode("row").alias("i", "v"))
+    return rows.withColumn("v", F.round("v", 4))
+
+
+@query("stft_variants", f"""WITH {WINDOWS}, {FULL}, {framed_sql("fr", 3, 0)}, {framed_sql("fc", 5, 4)}, {dft_sql("d", "fr", HANN)}, {dft_sql("dc", "fc", HANN)}
+SELECT 'log' AS kind, user_id, seg, t, 0 AS channel, k AS i, round(ln(sqrt(re * re + im * im) + 1e-10), 3) + 0.0 AS v FROM dc
+UNION ALL SELECT 'complex', user_id, seg, t, 0, k, round(re, 3) + 0.0 FROM d UNION ALL SELECT 'complex', user_id, seg, t, 1, k, round(-im, 3) + 0.0 FROM d""")
+def stft_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Five centred frames of log magnitudes, and three frames of a complex spectrum as two channels."""
+    base = windows(spark, sf).select("user_id", "seg", "x")
+    log = features.with_stft(base, StftConfig(1000, 8, 4, center=True)).select(
+        F.lit("log").alias("kind"), "user_id", "seg", F.array("spec").alias("spec"))
+    both = features.with_stft(base, StftConfig(1000, 8, 4, data_type="complex", channels=True)).select(
+        F.lit("complex").alias("kind"), "user_id", "seg", "spec")
+    rows = log.unionByName(both).select("kind", "user_id", "seg", F.posexplode("spec").alias("channel", "m"))
+    rows = rows.select("kind", "user_id", "seg", "channel", F.posexplode("m").alias("t", "row"))
+    rows = rows.select("kind", "user_id", "seg", "t", "channel", F.posexplode("row").alias("i", "v"))
+    return rows.withColumn("v", F.round("v", 3) + 0.0)
 
 
 @query("resample", f"""WITH {WINDOWS}, p AS (SELECT user_id, seg, off, i, v FROM c), g AS (SELECT DISTINCT user_id, seg FROM c), out AS (SELECT unnest(range(0, {WIN // 2})) AS m),
@@ -332,11 +388,13 @@ def resample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("encode_and_pool", f"""WITH {WINDOWS}, z AS (SELECT user_id, seg, sum(v) / {WIN} AS m, sum(v * v) / {WIN} AS e, least(min(v), CASE WHEN count(*) < {WIN} THEN 0 ELSE min(v) END) AS lo, greatest(max(v), CASE WHEN count(*) < {WIN} THEN 0 ELSE max(v) END) AS hi FROM c GROUP BY ALL),
-l AS (SELECT user_id, [m, sqrt(greatest(e - m * m, 0)), lo, hi, e] AS x FROM z),
-p AS (SELECT user_id, i - 1 AS i, avg(x[i]) AS v FROM l, unnest(range(1, 6)) AS r(i) GROUP BY ALL)
+b AS (SELECT user_id, seg, k, (pow(sum(v * cos(2 * pi() * k * i / {WIN})), 2) + pow(sum(v * sin(2 * pi() * k * i / {WIN})), 2)) / {WIN} AS p FROM c, unnest(range(0, {WIN // 2 + 1})) AS q(k) GROUP BY ALL),
+l AS (SELECT user_id, seg, unnest([0, 1, 2, 3, 4]) AS i, unnest([m, sqrt(greatest(e - m * m, 0)), lo, hi, e]) AS v FROM z
+  UNION ALL SELECT user_id, seg, 5 + greatest(k - 1, 0), sum(p) FROM b GROUP BY ALL),
+p AS (SELECT user_id, i, avg(v) AS v FROM l GROUP BY ALL)
 SELECT user_id, i, round(v / sqrt(sum(v * v) OVER (PARTITION BY user_id)), 6) + 0.0 AS v FROM p""")
 def encode_and_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows through the default encoder, file vectors by mean; the first five dimensions at unit length."""
+    """Windows through the default encoder, file vectors by mean; all thirteen dimensions, at unit length."""
     enc = features.encode(windows(spark, sf).select("user_id", "x"))
     pooled = pooling.pool_vectors(enc.select("user_id", "emb"), ["user_id"], "mean", dim=13)
-    return spread(pooled.withColumn("x", arrays.unit(F.slice("emb", 1, 5))), "user_id")
+    return spread(pooled.withColumn("x", arrays.unit(F.col("emb"))), "user_id")
