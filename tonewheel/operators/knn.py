@@ -1,9 +1,8 @@
 """Exact nearest neighbours inside groups, by blocked matrix products.
 
-Each group becomes a grid: train rows are hashed into blocks, test rows into strips, and every
-(block, strip) cell is one bounded co-group whose distances come from one numpy matrix product.
-Only the ``k`` best rows per test row leave a cell; the cells of a strip are merged by a top-k
-window. Row pairs never exist as rows. A group that fits one cell is not replicated at all.
+A group that fits one cell is one bounded co-group whose distances come from one numpy matrix product; nothing of it is
+replicated. A larger group is cut into strips of test rows; each is held in a task while the group's train rows stream
+past (see ``strips``), and only the ``k`` best rows per test row leave it. Row pairs never exist as rows.
 """
 
 from __future__ import annotations
@@ -13,11 +12,12 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonewheel.operators.skew import null_safe_join, top_k
+from tonewheel.operators.strips import CHUNK_ROWS, STRIP_ROWS, Strip, packed, streamed, strip_count
 from tonewheel.session import settle
 
 BLOCK_ROWS = 8192
@@ -75,45 +75,29 @@ def best_keys(key: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return rows[keep], cols[keep], rank[keep]
 
 
-def _cells(test: DataFrame, train: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Add ``_block`` and ``_strip`` to both sides and ``_row`` to the test side; the flag says if any group was cut.
+def _large_groups(test: DataFrame, train: DataFrame, keys: list[str], block_rows: int) -> DataFrame | None:
+    """Groups that don't fit one cell, with their strips and chunks; None if there are none.
 
-    ``_row`` tells test rows of one id apart once their hits come from several cells. It numbers the rows of a written
-    table, so a recomputed partition gives the same numbers.
+    Only those are listed; their number decides how they are joined.
     """
-    spark = test.sparkSession
+    cores = test.sparkSession.sparkContext.defaultParallelism
+    te = F.col("_te")
+    wanted = F.greatest(F.ceil(te / STRIP_ROWS), F.least(F.ceil(te / block_rows), F.lit(2 * cores)), F.lit(1))
     sizes = (
-        train.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_tr"))
+        train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tr"))
         .transform(null_safe_join, test.groupBy(*keys).agg(F.count(F.lit(1)).alias("_te")), keys)
-        .select(
-            *keys,
-            F.ceil(F.col("_tr") / block_rows).cast("int").alias("_blocks"),
-            F.ceil(F.col("_te") / block_rows).cast("int").alias("_strips"),
-        )
-        .where("_blocks > 1 or _strips > 1")
+        .where((F.col("_tr") > block_rows) | (te > block_rows))
+        .select(*keys, wanted.cast("int").alias("_strips"), F.ceil(F.col("_tr") / CHUNK_ROWS).cast("int").alias("_chunks"))
     )
-    # Only groups too big for one cell are listed; their number decides how they are joined.
     large = sizes.limit(BROADCAST_GROUPS + 1).count()
     if large == 0:
-        one = F.lit(0)
-        test = test.withColumn("_row", one.cast("bigint"))
-        return test.withColumn("_block", one).withColumn("_strip", one), train.withColumn("_block", one).withColumn("_strip", one), False
-    small_list = F.broadcast(sizes) if large <= BROADCAST_GROUPS else sizes
-
-    test = settle(test).withColumn("_row", F.monotonically_increasing_id())
+        return None
+    return F.broadcast(sizes) if large <= BROADCAST_GROUPS else sizes
 
-    def grid(df: DataFrame, by: str, own: str, other: str, own_n: str, other_n: str) -> DataFrame:
-        out = null_safe_join(df, small_list, keys, "left").na.fill(1, ["_blocks", "_strips"])
-        out = out.withColumn(own, F.pmod(F.xxhash64("_id", by), F.col(own_n)).cast("int"))
-        out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-        return out.drop("_blocks", "_strips")
 
-    return (
-        grid(test, "_row", "_strip", "_block", "_strips", "_blocks"),
-        grid(train, "_vec", "_block", "_strip", "_blocks", "_strips"),
-        True,
-    )
+def _others(df: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    marked = null_safe_join(df, listed.select(*keys, F.lit(True).alias("_listed")), keys, "left")
+    return marked.where("_listed is null").drop("_listed")
 
 
 def knn_join(
@@ -149,7 +133,8 @@ def knn_join(
     right = train.select(
         *keys, F.col(train_id).alias("_id"), F.col(vec).alias("_vec"), *[F.col(c).alias(f"n{c}") for c in train_carry]
     )
-    left, right, cut = _cells(left, right, keys, block_rows)
+    large = _large_groups(left, right, keys, block_rows)
+    left = left.withColumn("_row", F.lit(0).cast("bigint"))
     schema = T.StructType(
         [left.schema[c] for c in (*keys, "_row", "_id", *carry)]
         + [
@@ -159,8 +144,6 @@ def knn_join(
         ]
         + [right.schema[c] for c in brought]
     )
-    on = [*keys, "_block", "_strip"]
-    left, right = _fresh(left), _fresh(right)
     passed = [*keys, "_row", "_id", *carry]
     nothing = test.sparkSession.createDataFrame([], schema).toArrow()
 
@@ -170,8 +153,8 @@ def knn_join(
         q, t = matrix(a["_vec"]), matrix(b["_vec"])
         if metric == "cosine":
             q, t = unit_rows(q), unit_rows(t)
-        if not cut:  # the whole group lies here, so a place in it names a row
-            a = a.set_column(a.column_names.index("_row"), "_row", pa.array(np.arange(a.num_rows, dtype=np.int64)))
+        # the whole group lies here, so a place in it names a row
+        a = a.set_column(a.column_names.index("_row"), "_row", pa.array(np.arange(a.num_rows, dtype=np.int64)))
         ids = b["_id"].to_numpy()
         parts = []
         for start in range(0, len(q), SLAB):
@@ -181,13 +164,36 @@ def knn_join(
         rows, cols, rank, d = (np.concatenate(p) for p in zip(*parts))
         return _with_hits(a.select(passed).take(rows), rank + 1, d, b, cols, brought)
 
-    hits = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, schema)
-    if cut:
-        hits = top_k(hits.drop("rank"), [*keys, "_row"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
+    if large is None:
+        hits = _fresh(left).groupBy(*keys).cogroup(_fresh(right).groupBy(*keys)).applyInArrow(cell, schema)
+    else:
+        small = [_fresh(_others(side, large, keys)) for side in (left, right)]
+        hits = small[0].groupBy(*keys).cogroup(small[1].groupBy(*keys)).applyInArrow(cell, schema)
+        hits = hits.unionByName(_by_strips(left, right, large, keys, k, metric, passed, brought, schema, nothing.schema))
     out_keys = [] if whole else keys
     return hits.select(*out_keys, *([F.col("_row").alias(row)] if row else []), F.col("_id").alias(test_id), *carry, "rank", "dist", "neighbour", *brought)
 
 
+def _by_strips(
+    test: DataFrame, train: DataFrame, large: DataFrame, keys: list[str], k: int, metric: str, passed: list[str], brought: list[str],
+    schema: T.StructType, arrow: pa.Schema,
+) -> DataFrame:
+    """Hits in groups above one cell. Their test rows are written once, so that a number tells rows of one id apart."""
+    test = settle(null_safe_join(test, large, keys)).withColumn("_row", F.monotonically_increasing_id())
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    held = test.withColumn("_strip", F.pmod(F.xxhash64("_row"), F.col("_strips")).cast("int")).withColumn("_chunk", every("_chunks"))
+    passing = null_safe_join(train, large, keys).withColumn("_chunk", F.pmod(F.xxhash64("_id", "_vec"), F.col("_chunks")).cast("int"))
+    passing = passing.withColumn("_strip", every("_strips"))
+    on = [*keys, "_strip", "_chunk"]
+    at = [F.col(c).alias(f"_on_{c}") for c in on]  # test rows bring their keys along
+    names = [f"_on_{c}" for c in on]
+    hits = streamed(
+        held.select(*at, *passed, "_vec"), passing.select(*at, "_id", "_vec", *brought), names,
+        lambda rows: Strip(rows, k, metric, 0, passed, brought, arrow), schema,
+    )
+    return top_k(hits.drop("rank"), [*keys, "_row"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k).select(*schema.names)
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """The same columns under new identities: both sides of a co-group may stem from one table."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -214,61 +220,41 @@ def knn_runs(
 ) -> DataFrame:
     """Cosine neighbours for many train/test splits of one table in one pass.
 
-    ``member`` is an array of booleans, true where the row is a test row of that run. A cell computes
-    its matrix product once and masks it per run, so the cost of distances does not grow with runs.
+    ``member`` is an array of booleans, true where the row is a test row of that run; it travels as packed bits. A strip
+    of test rows is held while all train rows stream past: distances are computed and ordered once for all runs, and
+    each row's hits leave once per run, however many batches went by (once a chunk of ``CHUNK_ROWS`` train rows).
     Returns ``(run, id_col, carry, rank, sim, neighbour)`` and ``n<c>`` for each of ``train_carry``.
     """
     carry, brought = list(carry), [f"n{c}" for c in train_carry]
-    base = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"))
-    rows = base.count()
-    # enough cells for the cluster, but none so small that the product is not worth a task
-    spread = min(int(np.ceil(np.sqrt(vectors.sparkSession.sparkContext.defaultParallelism))), rows * runs // MIN_CELL_WORK)
-    blocks = max(1, -(-rows // block_rows), spread)
-    own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    plain = ["_id", "_vec", "_test"]
+    spark = vectors.sparkSession
+    rows, cores = vectors.select(member).count(), spark.sparkContext.defaultParallelism
+    chunks = max(1, -(-rows // CHUNK_ROWS))
+    if chunks > 1:  # hits of a row come from several cells then: number the rows of a written table
+        vectors = settle(vectors)
+    strips = strip_count(rows, runs * k, block_rows, rows * runs // MIN_CELL_WORK, cores)
     named = vectors.select(
-        F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), F.col(member).alias("_test"), *carry,
+        F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), packed(F.col(member), runs).alias("_bits"), *carry,
         *[F.col(c).alias(f"n{c}") for c in train_carry],
-    )
-    left = named.select(*plain, *carry).withColumn("_strip", own).withColumn("_block", every)
-    right = named.select(*plain, *brought).withColumn("_block", own).withColumn("_strip", every)
+    ).withColumn("_row", F.monotonically_increasing_id() if chunks > 1 else F.lit(0).cast("long"))
+
+    def dealt(name: str, count: int) -> Column:
+        return F.pmod(F.xxhash64("_id", "_vec"), F.lit(count)).cast("int").alias(name)
+
+    def every(name: str, count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+
+    left = named.select(dealt("_strip", strips), "_row", "_id", "_vec", "_bits", *carry, every("_chunk", chunks))
+    right = named.select(dealt("_chunk", chunks), "_id", "_vec", "_bits", *brought, every("_strip", strips))
     schema = T.StructType(
-        [T.StructField("run", T.IntegerType()), base.schema["_id"]]
-        + [named.schema[c] for c in carry]
-        + [
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("dist", T.DoubleType()),
-            T.StructField("neighbour", base.schema["_id"].dataType),
-        ]
+        [T.StructField("run", T.IntegerType()), named.schema["_row"], named.schema["_id"]] + [named.schema[c] for c in carry]
+        + [T.StructField("rank", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("neighbour", named.schema["_id"].dataType)]
         + [named.schema[c] for c in brought]
     )
-    passed = ["_id", *carry]
-    nothing = vectors.sparkSession.createDataFrame([], schema).toArrow()
-
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return nothing
-        q, t = unit_rows(matrix(a["_vec"])), unit_rows(matrix(b["_vec"]))
-        in_test, in_train = matrix(a["_test"]) > 0.5, matrix(b["_test"]) < 0.5
-        ids, tables = b["_id"].to_numpy(), []
-        for start in range(0, len(q), SLAB):
-            d = distances(q[start : start + SLAB], t, "cosine")
-            key = np.round(d, TIE_DECIMALS)
-            for run in range(runs):
-                te = np.nonzero(in_test[start : start + SLAB, run])[0]
-                tr = np.nonzero(in_train[:, run])[0]
-                r, c, rank = best_keys(key[np.ix_(te, tr)], ids[tr], k)
-                head = a.select(passed).take(te[r] + start)
-                head = head.add_column(0, "run", pa.array(np.full(len(r), run, dtype=np.int32)))
-                tables.append(_with_hits(head, rank + 1, d[te[r], tr[c]], b, tr[c], brought))
-        return pa.concat_tables(tables)
-
-    on = ["_block", "_strip"]
-    left, right = _fresh(left), _fresh(right)
-    hits = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, schema)
-    if blocks > 1:
-        hits = top_k(hits.drop("rank"), ["run", "_id"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
+    empty = spark.createDataFrame([], schema).toArrow().schema
+    passed = ["_row", "_id", *carry]
+    hits = streamed(left, right, ["_strip", "_chunk"], lambda held: Strip(held, k, "cosine", runs, passed, brought, empty), schema)
+    if chunks > 1:
+        hits = top_k(hits.drop("rank"), ["run", "_row"], [F.round("dist", TIE_DECIMALS), F.col("neighbour")], k)
     return hits.select(
         "run", F.col("_id").alias(id_col), *carry, "rank", (1 - F.col("dist")).alias("sim"), "neighbour", *brought
     )
