@@ -103,4 +103,4 @@ def test_entry_and_registry(spark, sf):
     assert df.columns == ["level", "setn", "mt", "sec", "metric", "value"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(workloads.QUERIES) <= set(entry.queries())
-    assert set(workloads.QUERIES) - set(entry.oracle_sql()) == {"group_pca", "mel_recipes"}
+    assert set(workloads.QUERIES) - set(entry.oracle_sql()) == {"group_pca"}

@@ -1,15 +1,17 @@
 """Random splits that hold when a task is retried, without shuffling the split table.
 
 A recording goes to the test side if the md5 of ``seed|recording`` is among the
-``ceil(test_size * n)`` smallest of its run. Only that limit is searched: recordings are counted per
-hash prefix, and the one prefix that crosses the limit is ranked. With the limit known, each segment
-row decides on its own, so segments of one recording can never part and a hot recording costs nothing.
+``ceil(test_size * n)`` smallest of its run. Only that limit is searched: recordings are counted per hash prefix, the
+prefix that crosses the limit is counted again by longer prefixes until few recordings share it, and these few hashes
+decide. With the limit known, each segment row decides on its own, so segments of one recording can never part and a
+hot recording costs nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from pyspark.sql import Window as W
 
 from tonewheel.session import settle
 
-PREFIX = 3
-MAX_TRIES = 20
+PREFIX = 2
 SEED_STEP = 100
+#: Hashes that are fetched for one cut, seeds tried for a split in one pass, and in all where counts can't decide.
+FETCHED, MOST_SEEDS, MANY_TRIES = 1024, 16, 10_000
 
 
 @dataclass(frozen=True)
@@ -44,30 +47,78 @@ def _hashed(units: DataFrame, unit: str, seeds: Sequence[int], carry: Sequence[s
     return hashed.withColumn("p", F.substring("h", 1, PREFIX))
 
 
-def _limits(hashed: DataFrame, wanted: Sequence[tuple[int, int, float]]) -> dict[tuple[int, int, float], str]:
-    """The hash at the cut, for every ``(run, seed, test_size)``. The result has one row per entry."""
-    upto = W.partitionBy("seed").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    # at most 16**PREFIX rows per seed
-    counts = (
-        hashed.groupBy("seed", "p").agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(upto))
-        .withColumn("n", F.sum("c").over(W.partitionBy("seed")))
-    )
-    sizes: dict[int, set[float]] = {}
-    for _, s, t in wanted:
-        sizes.setdefault(s, set()).add(t)
-    by_seed = F.create_map(*[x for s, ts in sizes.items() for x in (F.lit(s), F.array(*[F.lit(t) for t in sorted(ts)]))])
-    crossing = counts.select("*", F.explode(by_seed[F.col("seed")]).alias("t"))
-    crossing = crossing.withColumn("k", F.least(F.col("n"), F.ceil(F.col("t") * F.col("n") - 1e-9)) - (F.col("upto") - F.col("c")))
-    crossing = crossing.where((F.col("k") > 0) & (F.col("k") <= F.col("c"))).select("seed", "p", "t", "k")
-    inside = W.partitionBy("seed", "p", "t").orderBy("h")
-    cut = (
-        hashed.join(F.broadcast(crossing), ["seed", "p"])  # one row per wanted entry
-        .withColumn("rn", F.row_number().over(inside))
-        .where(F.col("rn") == F.col("k"))
-        .select("seed", "t", "h")
+def _number(h: Column) -> Column:
+    """The first 60 bits of a hash: sums and extremes of numbers need no sort, those of strings do."""
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+
+
+def _summary(hashed: DataFrame) -> DataFrame:
+    """``(seed, kind, key, c, lo, hi)``: per hash prefix (kind 0) and per class (kind 1) the recordings and their extremes.
+
+    One pass over the recordings; at most ``16 ** PREFIX`` prefixes and the classes are left of each seed. Extremes are
+    numbers (``_number``).
+    """
+    keys = F.concat(
+        F.array(F.struct(F.lit(0).alias("kind"), F.col("p").alias("key"))),
+        F.transform("_labels", lambda c: F.struct(F.lit(1).alias("kind"), c.cast("string").alias("key"))),
     )
-    found = {(r["seed"], r["t"]): r["h"] for r in cut.collect()}
+    each = hashed.select("seed", _number(F.col("h")).alias("v"), F.explode(keys).alias("_k"))
+    return each.groupBy("seed", "_k.kind", "_k.key").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+
+
+def _next(counts: list[tuple], places: dict[tuple, int]) -> dict[tuple, tuple[int, int]]:
+    """Where each wanted place lies one prefix further: ``(seed, t, key) -> (place inside, recordings)``.
+
+    ``counts`` are ``(seed, prefix, key, recordings)``, at most ``16 ** PREFIX`` keys below a prefix; ``places`` are
+    ``(seed, t, prefix) -> place``.
+    """
+    below: dict[tuple, list] = {}
+    for seed, prefix, key, c in counts:
+        below.setdefault((seed, prefix), []).append((key, c))
+    out = {}
+    for (seed, t, prefix), k in places.items():
+        for key, c in sorted(below[seed, prefix]):
+            if k <= c:
+                out[seed, t, key] = (k, c)
+                break
+            k -= c
+    return out
+
+
+def _limits(hashed: DataFrame, summary: DataFrame, wanted: Sequence[tuple[int, int, float]]) -> dict[tuple[int, int, float], str]:
+    """The hash at the cut, for every ``(run, seed, test_size)``.
+
+    Rounds of histograms narrow the prefix that holds the cut until few recordings share it; only those few hashes are
+    fetched, at most ``FETCHED`` for each seed and size. A round brings at most ``16 ** PREFIX`` counts for each.
+    """
+    spark, sizes = hashed.sparkSession, sorted({(s, t) for _, s, t in wanted})
+
+    def listed(keys) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(sorted({(s, p) for s, _, p in keys}), "seed int, p string"))
+
+    counts = [(r["seed"], "", r["key"], r["c"]) for r in summary.where("kind = 0").collect()]
+    total: dict[int, int] = {}
+    for seed, _, _, c in counts:
+        total[seed] = total.get(seed, 0) + c
+    places = {(s, t, ""): min(total.get(s, 0), ceil(t * total.get(s, 0) - 1e-9)) for s, t in sizes}
+    places, size, found = {p: k for p, k in places.items() if k > 0}, 0, {}
+    while places:
+        size += PREFIX
+        reached = _next(counts, places)
+        few = {p: k for p, (k, c) in reached.items() if c <= FETCHED or size >= 32}
+        places = {p: k for p, (k, _) in reached.items() if p not in few}
+        for keys, fetch in ((few, True), (places, False)):
+            if not keys:
+                continue
+            inside = hashed.select("seed", "h", F.substring("h", 1, size).alias("p")).join(listed(keys), ["seed", "p"])
+            if fetch:
+                hashes: dict[tuple, list[str]] = {}
+                for r in inside.collect():
+                    hashes.setdefault((r["seed"], r["p"]), []).append(r["h"])
+                found |= {(s, t): sorted(hashes[s, p])[k - 1] for (s, t, p), k in keys.items()}
+            else:
+                deeper = inside.groupBy("seed", "p", F.substring("h", 1, size + PREFIX).alias("key")).agg(F.count(F.lit(1)).alias("c"))
+                counts = [tuple(r) for r in deeper.collect()]
     return {(r, s, t): found.get((s, t), "") for r, s, t in wanted}
 
 
@@ -102,24 +153,38 @@ def membership(df: DataFrame, unit: str, splits: Sequence[Split], name: str = "i
 def coverage(df: DataFrame, unit: str, label: str, splits: Sequence[Split]) -> DataFrame:
     """Classes on each side of each split: ``(run, test_size, classes, train_classes, test_classes)``."""
     units = df.groupBy(unit).agg(F.collect_set(label).alias("_labels"))
-    return _coverage(_hashed(units, unit, [s.seed for s in splits], ["_labels"]), splits)
+    return _coverage(_summary(_hashed(units, unit, [s.seed for s in splits], ["_labels"])), splits).drop("lone", "marks")
 
 
-def _coverage(hashed: DataFrame, splits: Sequence[Split]) -> DataFrame:
+def _coverage(summary: DataFrame, splits: Sequence[Split]) -> DataFrame:
     """A class is on the test side if its lowest hash is within the limit, on the train side if its
     highest is beyond it; one pair of extremes per (seed, class) serves every test size."""
-    kinds = hashed.select("seed", "h", F.explode("_labels").alias("label"))
-    extremes = kinds.groupBy("seed", "label").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     rules = F.array(*[
-        F.struct(F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size"), F.lit(s.seed).alias("seed"), F.lit(s.limit).alias("limit"))
+        F.struct(F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size"), F.lit(s.seed).alias("seed"),
+                 F.lit(int(s.limit[:15], 16) if s.limit else -1).cast("long").alias("limit"))
         for s in splits
     ])
-    each = extremes.select("*", F.explode(F.filter(rules, lambda r: r["seed"] == F.col("seed"))).alias("_r"))
-    return each.groupBy("_r.run", "_r.test_size").agg(
+    each = summary.where("kind = 1").select("*", F.explode(F.filter(rules, lambda r: r["seed"] == F.col("seed"))).alias("_r"))
+    return each.groupBy("_r.run", "_r.test_size", "_r.seed").agg(
         F.count(F.lit(1)).alias("classes"),
-        F.count(F.when(F.col("hi") > F.col("_r.limit"), F.col("label"))).alias("train_classes"),
-        F.count(F.when(F.col("lo") <= F.col("_r.limit"), F.col("label"))).alias("test_classes"),
-    )
+        F.count(F.when(F.col("hi") > F.col("_r.limit"), F.col("key"))).alias("train_classes"),
+        F.count(F.when(F.col("lo") <= F.col("_r.limit"), F.col("key"))).alias("test_classes"),
+        F.count(F.when(F.col("c") < 2, F.col("key"))).alias("lone"),
+        F.sum("c").alias("marks"),
+    ).drop("seed")
+
+
+def _must_fail(n: int, classes: int, lone: int, marks: int, test_sizes: Sequence[float]) -> tuple[list[str], bool]:
+    """Reasons why no draw can have every class on both sides, and whether there being none means that some draw can.
+
+    ``n`` recordings of ``classes``, ``lone`` of which one recording has; ``marks`` is classes over recordings.
+    """
+    sides = {t: min(n, ceil(t * n - 1e-9)) for t in test_sizes}
+    reasons = [f"{lone} of {classes} classes have one recording only"] if lone else []
+    reasons += [f"test size {t} leaves no recording on a side" for t, m in sides.items() if classes and (m < 1 or m >= n)]
+    single = marks <= n  # one class to a recording: the sides must have room for each
+    reasons += [f"test size {t} has {m} of {n} recordings for {classes} classes" for t, m in sides.items() if single and (m < classes or n - m < classes)]
+    return reasons, single
 
 
 def sealed_splits(
@@ -129,36 +194,55 @@ def sealed_splits(
     test_sizes: Sequence[float] = (0.5,),
     runs: int = 1,
     seed: int = 111,
-    max_tries: int = MAX_TRIES,
+    max_tries: int | None = None,
 ) -> list[Split]:
     """Find the splits of every run and size; a split that misses a class on a side is drawn again.
 
-    A retry adds ``SEED_STEP`` to the seed of that run and size. After ``max_tries`` the data cannot
-    be split this way (a class with one recording, for instance) and the call fails.
+    A retry adds ``SEED_STEP`` to the seed of that run and size, and the first good seed is taken; ever more seeds are
+    tried in one pass. Whether a split can exist at all is decided beforehand by counting recordings per class; if not,
+    the call fails at once. ``max_tries`` bounds the seeds of a run and size; without it the search ends when all are
+    found (recordings of several classes, whose counts can't decide it: after ``MANY_TRIES``).
+
+    Recordings are listed once, each with its few classes. Every pass hashes them and leaves counts per hash prefix and
+    extremes per class; they are not written again, whatever the number of seeds, and no group of them is sorted.
     """
     # one pass over the segments; what follows works on recordings, each with its few classes
     kinds = F.collect_set(label) if label else F.first(F.array().cast("array<string>"))
-    units = df.where(F.col(unit).isNotNull()).groupBy(unit).agg(kinds.alias("_labels"))
+    units = settle(df.where(F.col(unit).isNotNull()).groupBy(unit).agg(kinds.alias("_labels")))
     pending = [(r, seed + r, t) for t in test_sizes for r in range(runs)]
     done: list[Split] = []
-    for tries in range(max_tries):
-        hashed = settle(_hashed(units, unit, [s for _, s, _ in pending], ["_labels"]))
-        limits = _limits(hashed, pending)
-        drawn = [Split(r, t, s, limits[(r, s, t)]) for r, s, t in pending]
+    tried, batch = 0, 1
+    while pending:
+        batch = min(batch, max_tries - tried) if max_tries else batch
+        wanted = [(r, s + SEED_STEP * j, t) for r, s, t in pending for j in range(tried, tried + batch)]
+        hashed = _hashed(units, unit, [s for _, s, _ in wanted], ["_labels"])
+        summary = settle(_summary(hashed))
+        limits = _limits(hashed, summary, wanted)
+        drawn = [Split(r, t, s, limits[(r, s, t)]) for r, s, t in wanted]
         if label is None:
             return drawn
-        good = {
-            (c["run"], c["test_size"])
-            for c in _coverage(hashed, drawn).collect()  # one row per split
-            if c["train_classes"] == c["classes"] and c["test_classes"] == c["classes"]
-        }
-        done += [d for d in drawn if (d.run, d.test_size) in good]
-        pending = [(d.run, d.seed + SEED_STEP, d.test_size) for d in drawn if (d.run, d.test_size) not in good]
-        if not pending:
-            order = {t: i for i, t in enumerate(test_sizes)}
-            return sorted(done, key=lambda d: (order[d.test_size], d.run))
-        units = units if tries else settle(units)
-    raise ValueError(f"no split with every class on both sides after {max_tries} tries: {pending}")
+        # one row per split: run numbers stand for places in the list here
+        numbered = [Split(i, d.test_size, d.seed, d.limit) for i, d in enumerate(drawn)]
+        covered = _coverage(summary, numbered).collect()
+        if not tried and covered:
+            n = units.count()
+            reasons, single = _must_fail(n, covered[0]["classes"], covered[0]["lone"], covered[0]["marks"], test_sizes)
+            if reasons:
+                raise ValueError(f"no split with every class on both sides: {'; '.join(reasons)}")
+            max_tries = max_tries or (None if single else MANY_TRIES)
+        good = {c["run"] for c in covered if c["train_classes"] == c["classes"] == c["test_classes"]}
+        good = good if covered else set(range(len(drawn)))  # no recording has a class: nothing to cover
+        first: dict[tuple[int, float], Split] = {}
+        for i, d in enumerate(drawn):
+            if i in good:
+                first.setdefault((d.run, d.test_size), d)
+        done += first.values()
+        pending = [p for p in pending if (p[0], p[2]) not in first]
+        tried, batch = tried + batch, min(batch * 4, MOST_SEEDS)
+        if pending and max_tries and tried >= max_tries:
+            raise ValueError(f"no split with every class on both sides after {tried} tries: {pending}")
+    order = {t: i for i, t in enumerate(test_sizes)}
+    return sorted(done, key=lambda d: (order[d.test_size], d.run))
 
 
 def ratio_grid(low: float = 0.05, high: float = 0.95, step: float = 0.05) -> list[float]:
