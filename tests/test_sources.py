@@ -215,3 +215,98 @@ def test_swapped_columns_are_an_error(spark, tmp_path):
     (place / "fan.csv").write_text("path,file\np/x,x\n")
     with pytest.raises(Exception, match="(?i)header"):
         metadata.read_metadata(spark, str(tmp_path), "file string, path string").collect()
+
+
+def test_shards_with_fewer_rows_and_stopped_writes(spark, tmp_path):
+    few = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "i int, s string")
+    path = str(tmp_path / "few")
+    store.write_shards(few, path, 8, "i")
+    assert sorted(r.i for r in store.read_shards(spark, path, 8, 3).collect()) == [1, 2, 3]
+    store.write_shards(few.limit(0), str(tmp_path / "none"), 4, "i")
+    assert store.read_shards(spark, str(tmp_path / "none"), 4, 0).collect() == []
+    lost = next(os.path.join(d, f) for d, _, names in os.walk(path) if "shard=" in d for f in names if f.endswith(".parquet"))
+    os.remove(lost)
+    with pytest.raises(ValueError, match="hold other rows"):
+        store.read_shards(spark, path, 8, 3)
+    few.write.parquet(str(tmp_path / "plain"))
+    for gone in ("plain", "nowhere"):
+        with pytest.raises(ValueError, match="no finished cache"):
+            store.read_shards(spark, str(tmp_path / gone), 8, 3)
+
+
+def test_csv_channels_of_split_files(spark, tmp_path):
+    place = tmp_path / "c"
+    place.mkdir()
+    lines = ["t, vib,7"] + [f"{i},{i / 2},{i * 3}" for i in range(4000)]
+    (place / "a.csv").write_text("\n".join(lines[:10] + ["", "  "] + lines[10:]) + "\n")
+    (place / "b.csv").write_text("t,vib,7\n1,x,2\n3,4\n")
+    wanted = spark.createDataFrame([(str(place / "a.csv"), "vib", 100, "n1"), (str(place / "a.csv"), "0", 200, "n2"), (str(place / "a.csv"), "7", 300, "n3"),
+                                    (str(place / "b.csv"), "vib", 50, "n4"), (str(place / "b.csv"), "2", 50, "n5")], "path string, ch string, sr int, name string")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = files.csv_channels(spark, str(place), wanted)
+        assert spark.read.text(str(place)).rdd.getNumPartitions() > 3
+        out = {}
+        for r in sorted(got.collect(), key=lambda r: r.pos):
+            assert r.pos == len(out.setdefault(r.name, []))
+            out[r.name].append(r.value)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert out == {"n1": [i / 2 for i in range(4000)], "n2": [float(i) for i in range(4000)], "n3": [i * 3.0 for i in range(4000)], "n4": [None, 4.0], "n5": [2.0, None]}
+    bad = wanted.limit(1).withColumn("ch", F.lit("none"))
+    with pytest.raises(Exception, match="no channel none"):
+        files.csv_channels(spark, str(place), bad).collect()
+
+
+def test_checksums_of_a_file_of_many_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifest, "CHUNK_BYTES", 1000)
+    (tmp_path / "s").mkdir()
+    body = bytes(range(256)) * 100
+    (tmp_path / "s" / "x").write_bytes(body)
+    got = {os.path.basename(r.path): r.actual for r in manifest.file_checksums(spark, str(tmp_path / "s")).collect()}
+    assert got == {"x": hashlib.md5(body).hexdigest()}
+
+
+def test_rejects_are_counted(spark):
+    from pyspark.sql import Observation
+
+    from tonewheel.operators import segments
+
+    rows = [(1, 10, 8000), (2, 0, 8000), (3, None, 8000), (4, 5, None), (5, 5, 0)]
+    seen = Observation("clips")
+    kept, rejected = segments.split_empty(spark.createDataFrame(rows, "i int, num_frames int, sample_rate int"), counts=seen)
+    assert [r.i for r in kept.collect()] == [1] and seen.get == {"clips": 5, "kept": 1, "rejected": 4}
+    assert {r.i: r.reason for r in rejected.collect()} == {2: "no samples", 3: "unknown length", 4: "unknown rate", 5: "no rate"}
+
+
+def test_crawl_writes_each_page_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(links, "shared_folder", lambda _: str(tmp_path))
+    pages = spark.createDataFrame([(f"http://h/{i}", f'<a href="/{i + 1}">n</a><a href="/{i}.zip">z</a><a href="/0">back</a>') for i in range(6)], "url string, html string")
+    found = links.discover(pages, pages.where("url = 'http://h/0'"), "http://h/")
+    assert found.count() == 6
+    (seen,) = [d for d, subs, _ in os.walk(tmp_path) if any(s.startswith("round=") for s in subs)]
+    rounds = spark.read.schema("at string, round int").parquet(seen)
+    assert rounds.count() == rounds.select("at").distinct().count() == 7
+
+
+def test_null_groups_carry_their_value(spark):
+    from tonewheel.operators.skew import forward_fill
+
+    rows = [(None, i, 1 if i == 2 else None) for i in range(12)] + [("a", i, 5 if i == 0 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, pos int, v int")
+    got = forward_fill(df, ["g"], "pos", F.col("v"), "last", block=4)
+    assert got.where("g is null and pos >= 2 and last = 1").count() == 10 and got.where("g = 'a' and last = 5").count() == 9
+
+
+def test_fused_domains_keep_every_vector(spark):
+    from tonewheel.plans import anomaly
+
+    meta = spark.createDataFrame([("t0", 0, "train"), ("t1", 1, "train"), ("a", 0, "test")], "file string, domain int, sett string").selectExpr(
+        "file", "'dev' setn", "'m' mt", "0 sec", "domain", "0 status", "sett", "'' path", "'' attri")
+    vec = spark.createDataFrame([("t0", [1.0, 0.0]), ("t1", [0.0, 1.0]), ("a", [1.0, 0.2]), ("a", [0.3, 1.0]), ("a", [0.3, 1.0])], "file string, emb array<double>")
+    got = anomaly.score(meta, vec, domains="min", normalise=False)
+    assert got.count() == 3 and "_vector" not in got.columns
+    assert all(abs(r.score - min(r.score_sou, r.score_tar)) < 1e-12 for r in got.collect())

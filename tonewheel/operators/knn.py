@@ -287,14 +287,21 @@ def znorm(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame
 
 
 def min_fusion(df: DataFrame, keys: Sequence[str], file: str, domain: str, carry: Sequence[str]) -> DataFrame:
-    """Source-model and target-model scores of a row side by side, fused by the lower one."""
+    """Source-model and target-model scores of a row side by side, fused by the lower one.
+
+    ``file`` and ``carry`` tell rows apart; rows that are equal in all of them have equal scores and stay as many.
+    """
+    source, target = F.col(domain) == 0, F.col(domain) == 1
     return (
         df.groupBy(*keys, file, *carry)
         .agg(
-            F.max(F.when(F.col(domain) == 0, F.col("score"))).alias("score_sou"),
-            F.max(F.when(F.col(domain) == 1, F.col("score"))).alias("score_tar"),
+            F.max(F.when(source, F.col("score"))).alias("score_sou"),
+            F.max(F.when(target, F.col("score"))).alias("score_tar"),
+            F.greatest(F.count(F.when(source, 1)), F.count(F.when(target, 1))).alias("_n"),
         )
         .withColumn("score", F.least("score_sou", "score_tar"))
+        .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+        .drop("_n")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tonewheel.functions.arrays import hash_uniform
@@ -58,6 +58,30 @@ def without_empty(df: DataFrame, frames: str = "num_frames", rate: str = "sample
     return df.where((F.coalesce(frames, F.lit(0)) > 0) & (F.coalesce(rate, F.lit(0)) > 0))
 
 
+def reject_reason(frames: str = "num_frames", rate: str = "sample_rate") -> Column:
+    """Why a clip has nothing to cut; null for the others."""
+    return (
+        F.when(F.col(frames).isNull(), "unknown length").when(F.col(frames) <= 0, "no samples")
+        .when(F.col(rate).isNull(), "unknown rate").when(F.col(rate) <= 0, "no rate")
+    )
+
+
+def split_empty(
+    df: DataFrame, frames: str = "num_frames", rate: str = "sample_rate", counts: Observation | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Clips that can be cut, and the rejected ones with a ``reason``.
+
+    ``counts`` observes the first table: once it has been used, ``counts.get`` has ``clips``, ``kept`` and ``rejected``
+    of the rows that went by, without a job of its own.
+    """
+    reason = reject_reason(frames, rate)
+    seen = df
+    if counts is not None:
+        seen = df.observe(counts, F.count(F.lit(1)).alias("clips"), F.count(F.when(reason.isNull(), 1)).alias("kept"),
+                          F.count(F.when(reason.isNotNull(), 1)).alias("rejected"))
+    return seen.where(reason.isNull()), df.withColumn("reason", reason).where("reason is not null")
+
+
 def random_crops(df: DataFrame, key: Sequence[str], n: Column, win: int, seed: int) -> DataFrame:
     """``floor(n / win)`` crops at uniform offsets; a short clip gives itself once."""
     count = F.greatest(F.floor(n / F.lit(win)), F.lit(1)).cast("int")

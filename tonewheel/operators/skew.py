@@ -186,8 +186,7 @@ def forward_fill(
         .select(*on, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     )
     return (
-        cut.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
-        .join(carried, on, "left")
+        null_safe_join(cut.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)), carried, on, "left")
         .withColumn(name, F.coalesce("_in", "_carry"))
         .drop("_v", "_in", "_carry", "_block")
     )

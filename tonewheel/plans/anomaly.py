@@ -83,6 +83,9 @@ def score(
         )
         joined = settle(joined)
         carry = [*carry, "_file"]
+    elif domains == "min":
+        # both scores of a vector meet again by its file and itself
+        joined, carry = joined.withColumn("_vector", F.xxhash64("emb")), [*carry, "_vector"]
     train = joined.where(F.col("sett") == "train")
     scored = joined if score_train else joined.where(F.col("sett") == "test")
     out = None
@@ -93,7 +96,7 @@ def score(
             plain = [c for c in carry if c != "_file"]
             fold = {"mean": F.avg, "min": F.min, "max": F.max}[pool]
             one = one.groupBy(*keys, *plain, F.col("_file").alias("file")).agg(*[fold(v).alias(v) for v in values])
-        one = one.withColumn("detector", F.lit(name))
+        one = one.drop("_vector").withColumn("detector", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from tonewheel.session import settle
 
 HEADER_BYTES = 44
 
@@ -140,3 +143,48 @@ def csv_signals(spark: SparkSession, path: str, channels: list[str | int], heade
         "path", F.col("_c.channel").alias("channel"),
         F.transform("_b", lambda row: F.get(row, F.col("_c.i")).try_cast("float")).alias("x"),
     )
+
+
+def numbered_splits(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line, value)``: the lines of text files that are not blank, numbered from 0 in every file.
+
+    A large file is many splits, each read by its own task: lines are counted per split first, and a split's lines go on
+    from the sum of those before it. Text is read twice, no file is ever one row or one task.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), "value"
+    ).where(F.trim("value") != "")
+    # rows of a split follow each other inside a partition, so their running number less the split's first is a place
+    run = lines.withColumn("_run", F.monotonically_increasing_id())
+    splits = run.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_run").alias("_first"))
+    before = W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # a row for each split
+    placed = settle(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    joined = run.join(placed, ["_file", "_at"])
+    return joined.select(local_path(F.col("_file")).alias("path"), (F.col("_run") - F.col("_first") + F.col("_before")).alias("line"), "value")
+
+
+def csv_channels(
+    spark: SparkSession, path: str, wanted: DataFrame, header: bool = True, separator: str = ",", rate: int | None = None
+) -> DataFrame:
+    """``(path, ch, sr, pos, value)`` and the other columns of ``wanted``: one row per sample of every wanted channel.
+
+    ``wanted`` is the metadata: a row per channel with ``path``, ``ch`` (a column's name, or its place from 0 as text)
+    and, if it has one, ``sr``; without, all have ``rate``. A name that is digits only counts as a place unless the
+    header has it. Files are split, so a long one is read by many tasks; ``operators.blocks.blocks_of_samples`` folds
+    the rows into blocks. Fields that are no number are null; a channel that a file doesn't have is an error.
+    """
+    lines = numbered_splits(spark, path)
+    facts = wanted.withColumn("ch", F.col("ch").cast("string"))
+    facts = facts if "sr" in facts.columns else facts.withColumn("sr", F.lit(rate).cast("int"))
+    cells = F.split("value", separator)
+    place = F.expr("try_cast(ch as int)")
+    if header:
+        heads = lines.where("line = 0").select("path", F.transform(cells, lambda c: F.trim(c)).alias("_h"))  # one a file
+        facts = facts.join(heads, "path")
+        at = F.array_position("_h", F.col("ch")).cast("int")
+        unknown = F.raise_error(F.concat(F.lit("no channel "), F.coalesce(F.col("ch"), F.lit("NULL")), F.lit(" in "), F.col("path")))
+        place = F.when(at > 0, at - 1).when(place < F.size("_h"), place).otherwise(unknown)
+    facts = facts.withColumn("_i", place).drop("_h")
+    body = lines.where("line > 0").withColumn("line", F.col("line") - 1) if header else lines
+    joined = body.join(facts, "path")
+    return joined.select(*wanted.drop("ch", "sr").columns, "ch", "sr", F.col("line").alias("pos"), F.get(cells, F.col("_i")).try_cast("double").alias("value"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewheel.functions.arrays import let
 from tonewheel.functions.tables import ARCHIVE_SUFFIXES
-from tonewheel.session import settle
+from tonewheel.session import settle, shared_folder
 
 ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -88,8 +90,9 @@ def kept_links(links: DataFrame, base: str | None = None) -> DataFrame:
 def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", html: str = "html") -> DataFrame:
     """Archives reachable from ``starts`` over stored pages below ``base``: ``(link)``.
 
-    One join per link distance; each round follows only pages not seen before, and ends its lineage
-    in a checkpoint. Pages count as the same with and without a closing slash.
+    One join per link distance; each round follows only pages not seen before and writes only those, as one more
+    partition of the table of pages seen, so what is written grows with the pages and not with the rounds. Pages count
+    as the same with and without a closing slash.
     """
     def bare(c: str) -> Column:
         return F.regexp_replace(c, "/+$", "")
@@ -97,13 +100,18 @@ def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", h
     # written once before filtering: a filter pushed below would resolve every link again for each test
     found = settle(page_links(pages, url, html))
     edges = settle(kept_links(found, base).select(bare("page").alias("at"), "link", "archive").distinct())
-    frontier = settle(starts.select(bare(url).alias("at")).distinct())
-    visited, files = frontier, None
+    spark, seen = pages.sparkSession, f"{shared_folder(pages.sparkSession)}/{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, number: int) -> DataFrame:
+        rows.write.parquet(f"{seen}/round={number}")
+        return spark.read.schema("at string").parquet(f"{seen}/round={number}")
+
+    frontier, files, number = written(starts.select(bare(url).alias("at")).distinct(), 0), None, 0
     while not frontier.isEmpty():
         step = edges.join(frontier, "at", "left_semi")
         found = step.where("archive").select("link")
         files = found if files is None else files.unionByName(found)
         onward = step.where(~F.col("archive")).select(bare("link").alias("at")).distinct()
-        frontier = settle(onward.join(visited, "at", "left_anti"))
-        visited = settle(visited.unionByName(frontier))
+        visited, number = spark.read.schema("at string, round int").parquet(seen), number + 1
+        frontier = written(onward.join(visited, "at", "left_anti"), number)
     return files.distinct() if files is not None else edges.where("false").select("link")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNK_BYTES = 1 << 22
 # The two regular line forms, "MD5 (file) = sum" and "sum  file".
 TAGGED = r"^MD5\s*\((.+)\)\s*=\s*([A-Fa-f0-9]{32})$"
 PLAIN = r"^([A-Fa-f0-9]{32})\s+\*?(.+)$"
@@ -33,10 +38,30 @@ def parse_manifest(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def file_checksums(spark, root: str) -> DataFrame:
+    """``(path, actual)``: md5 of every file below ``root``, read as a stream in its task, whatever its size.
+
+    Spark lists the files and their lengths (its readers pass over empty files, so those have no row); contents are
+    opened by address on any file system that Arrow knows.
+    """
     from tonewheel.sources.files import local_path
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return raw.select(local_path(F.col("path")).alias("path"), F.md5("content").alias("actual"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    # the longest files first and one by one, so that none waits behind another
+    spread = listed.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "path").sortWithinPartitions(F.desc("length"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, inner = fs.FileSystem.from_uri(path)
+                md5 = hashlib.md5()
+                with system.open_input_stream(inner) as stream:
+                    while part := stream.read(CHUNK_BYTES):
+                        md5.update(part)
+                yield pa.record_batch([pa.array([path]), pa.array([md5.hexdigest()])], names=["path", "actual"])
+
+    return spread.mapInArrow(digest, "path string, actual string").select(local_path(F.col("path")).alias("path"), "actual")
 
 
 def audit(entries: DataFrame, files: DataFrame) -> DataFrame:

@@ -27,5 +27,5 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def load_all() -> None:
-    for part in ("scoring", "diagnosis", "signals", "stored", "naming", "rollups"):
+    for part in ("scoring", "diagnosis", "signals", "stored", "files", "naming", "rollups"):
         import_module(f"tonewheel.workloads.{part}")
