@@ -57,3 +57,25 @@ def test_no_rows_and_repeated_rows(spark):
     assert got == [(2, 2), (4, 2), (4, 2), (9, 9)]
     assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == [2, 9]
     assert ngram_join.jaccard_components(docs.limit(0)).collect() == []
+
+
+def test_one_id_with_unlike_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "p"), (1, b, "p"), (2, a, "q"), (3, b, "q"), (3, b, "q"), (3, b, "r"), (None, a, "p"), (4, None, "p"), (4, None, "p"), (5, " ", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_key string")
+    left = ngram_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    got = sorted(map(tuple, left.collect()), key=str)
+    assert got == sorted([(1, a, "p"), (1, b, "p"), (None, a, "p"), (4, None, "p"), (4, None, "p"), (5, " ", "p")], key=str)
+    found = ngram_join.jaccard_components(docs).collect()
+    assert sorted(((r.doc_id or 0), r.component_id or 0, r.n_same) for r in found) == sorted(
+        [(1, 1, 2), (1, 1, 4), (2, 1, 2), (3, 1, 4), (3, 1, 4), (3, 1, 4), (0, 0, 1), (4, 4, 1), (4, 4, 1), (5, 5, 1)])
+    again = ngram_join.one_of_each(spark.createDataFrame([(7, b, "x"), (7, b, "x"), (9, b + " more", "x")], docs.schema))
+    assert [r.doc_id for r in again.collect()] == [7]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {1: (299_997, 1), 2: (299_998, 1), 3: (got[3][0], 3)}

@@ -71,3 +71,12 @@ def test_very_long_runs(spark):
     texts = ["x" * 300_000 + "@", "1" * 200_000, "a@" + "b." * 60_000 + "c", "+1" + "(" * 100_000 + "1", "1." * 100_000]
     got = {r.doc_id: r.spans for r in pii.personal_data(rows_of(spark, texts)).collect()}
     assert got[0] == "" and got[1] == "" and got[2] == "email:0:120003" and "phone" not in got[3]
+
+
+def test_redacted_keeps_columns_of_any_name(spark):
+    rows = [(1, "write to me@host.org now", "b", [1], 24, "x"), (1, None, "b", None, 0, None), (None, "nothing", None, [], 7, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, all array<int>, n_chars long, cands string")
+    out = pii.redacted(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, "write to [EMAIL] now", "b", [1], 20, "x"), (1, None, "b", None, 0, None), (None, "nothing", None, [], 7, "y")], key=str)

@@ -29,7 +29,11 @@ FEW_ROWS = 32
 HELD_HASHES = 1 << 18
 #: Per cent by which two texts of a family may lie below the similarity asked for.
 LOOSER = 15
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
+#: Buckets of the sketch that tells frequent shingles, whatever the number of rows; and how far above a task's own mean
+#: a bucket must lie to be told of, so that a task tells of few.
+BUCKETS, TOLD = 1 << 18, 3
+#: Pairs whose sets are unpacked at a time.
+PAIR_ROWS = 512
 
 
 def text_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -81,8 +85,8 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, dtype=np.int64)
         schema = pa.schema([
-            ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("short", pa.int64()), ("bits", pa.binary()),
-            ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
+            ("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("cls", pa.binary()), ("short", pa.int64()),
+            ("bits", pa.binary()), ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
         ])
         for batch in batches:
             ns, classes, shorts, bits, held = [], [], [], [], []
@@ -98,16 +102,16 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
                     held = []
             counts += _bucket_counts(held, buckets)
             blank = pa.nulls(len(ns))
-            columns = [batch.column(0), ns, classes, shorts, bits, blank, blank]
+            columns = [batch.column(0), batch.column(2), ns, classes, shorts, bits, blank, blank]
             yield pa.record_batch([
                 pa.array(c, type=f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)
             ], schema=schema)
-        used = np.flatnonzero(counts >= max(4, 2 * counts.mean()))  # what is frequent here; the rest says little
-        one = [[None]] * 5 + [[used.tolist()], [counts[used].tolist()]]
+        used = np.flatnonzero(counts >= max(16, TOLD * counts.mean()))  # what is frequent here; the rest says little
+        one = [[None]] * 6 + [[used.tolist()], [counts[used].tolist()]]
         yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(one, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(
-        run, "doc_id long, n long, cls binary, short long, bits binary, bucket array<int>, times array<long>"
+        run, "doc_id long, text_key string, n long, cls binary, short long, bits binary, bucket array<int>, times array<long>"
     )
 
 
@@ -152,7 +156,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, by: str = "short
         return nodes.select(F.col(by).alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "bits")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 4 * PAIR_ROWS) for whole in batches for at in range(0, whole.num_rows, 4 * PAIR_ROWS)):
             n = [batch.column(c).to_numpy() for c in (1, 4)]
             left = []
             for n_a, a, n_b, b in zip(n[0], batch.column(2).to_pylist(), n[1], batch.column(5).to_pylist(), strict=True):
@@ -172,17 +176,20 @@ def room(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarra
     return np.minimum(n_a - only_a, n_b - only_b)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``rep, hashes`` of the texts of these nodes: only they are hashed again."""
+def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``rep, hashes`` of these nodes (``rep``, ``cls`` and ``doc``, a document that has the set): only they are hashed again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(i, class_digest(h), h.tobytes()) for i, h in zip(batch.column(0).to_pylist(), text_sets(batch.column(1), size), strict=True)]
-            kinds = (pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array([f[k] for f in found], type=t) for k, t in enumerate(kinds)], names=["rep", "cls", "hashes"])
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIR_ROWS):
+                batch = whole.slice(at, PAIR_ROWS)
+                found = [(i, class_digest(h), h.tobytes()) for i, h in zip(batch.column(0).to_pylist(), text_sets(batch.column(1), size), strict=True)]
+                yield pa.record_batch([pa.array([f[k] for f in found], type=t) for k, t in enumerate(kinds)], names=["doc", "cls", "hashes"])
 
-    held = docs.join(maybe_broadcast(ids.select(F.col("rep").alias("_id"))), F.col("doc_id") == F.col("_id"), "left_semi")
-    made = held.mapInArrow(run, "rep long, cls binary, hashes binary")
-    return settle(made.join(ids.select("rep", "cls"), ["rep", "cls"]).dropDuplicates(["rep"]))  # an id may have two texts
+    held = docs.join(maybe_broadcast(nodes.select(F.col("doc").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    made = held.mapInArrow(run, "doc long, cls binary, hashes binary")
+    # a document's id may come with several texts, and a text with an id several times
+    return settle(made.join(nodes.select("rep", "doc", "cls"), ["doc", "cls"]).select("rep", "hashes").dropDuplicates(["rep"]))
 
 
 def _links(sets: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -309,10 +316,12 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
         return pa.table({"a": found[0], "b": found[1]})
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[np.frombuffer(h, dtype=np.uint64) for h in batch.column(c).to_pylist()] for c in (2, 3)]
-            keep = [bool(_links([x, y], (np.array([0]), np.array([1])), percent)) for x, y in zip(*sides, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIR_ROWS):
+                batch = whole.slice(at, PAIR_ROWS)
+                sides = [[np.frombuffer(h, dtype=np.uint64) for h in batch.column(c).to_pylist()] for c in (2, 3)]
+                keep = [bool(_links([x, y], (np.array([0]), np.array([1])), percent)) for x, y in zip(*sides, strict=True)]
+                yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     labelled = settle(
         shared.join(nodes.select("short", "rep"), "short").join(families, "rep", "left")
@@ -336,40 +345,34 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
         F.xxhash64("key", "b1", "t1", "b2", "t2").alias("cell_id"), "rep", "n", "bits", "family", "left",
         F.expr("b1 = b2 and t1 = t2").alias("one"),
     )
-    # many small cells to a task's call; a cell itself is bounded
-    groups = 1 + many.count() // TILE_ROWS
+    # many small cells to a task's call; a cell itself is bounded, and rows are counted as often as they are dealt
+    groups = 1 + _cells(many, "key", percent).count() // TILE_ROWS
     dealt = cells.withColumn("deal", F.pmod(F.xxhash64("cell_id"), F.lit(groups)))
     large = dealt.groupBy("deal").applyInArrow(run, "a long, b long")
     pairs = settle(_possible(small, nodes, percent, "rep").union(large).distinct())
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _sets(docs, nodes.join(ids, "rep", "left_semi"), size)
+    sets = _sets(docs, nodes.join(ids, "rep", "left_semi").select("rep", "doc", "cls"), size)
     a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
     return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (``doc_id``, ``text``; other columns are not read): set size and component.
-
-    ``doc_id, n_shingles, component_id, n_same``: component_id is the least doc_id that links reach, n_same the number
-    of rows with the same set. Null and blank texts have an empty set, link with nothing and are their own component.
-    Rows with a null doc_id link with nothing and have no component. Repeated rows come back as often as they come in;
-    an empty table gives no rows.
+def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, text_key, n, node, component, component_id, n_same`` of every row; ``text_key`` is its text's md5.
 
-    Equal sets are one node from the start. Nodes that share a tile key are compared by bitmap with the key's least and
-    greatest node; those that may be alike form families, which a group of many copies enters by about as many pairs as
-    it has members. Families are compared cell by cell inside tasks. What shares a key across families is compared by
-    bitmap and then exactly. So no group is ever written out as pairs, and no link between components is lost.
+    A node is a set of shingles, whatever the ids of the rows that have it; ``component`` is one of the nodes that links
+    reach and ``component_id`` the least doc_id among all of them. Rows without a set or without a doc_id have no node.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 ** np.ceil(np.log2(4 * max(1, rows.count()))))))
-    first = settle(_sketched(rows, size, buckets))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"))
+    first = settle(_sketched(rows, size, BUCKETS))
     every = first.agg(F.sum("n")).first()[0] or 0
-    levels = _levels(first.filter("bucket is not null"), buckets, every / buckets)
-    kept = first.filter("bucket is null").select("doc_id", "n", "cls", "short", "bits")
+    levels = _levels(first.filter("bucket is not null"), BUCKETS, every / BUCKETS)
+    kept = first.filter("bucket is null").select("doc_id", "text_key", "n", "cls", "short", "bits")
     nodes = settle(
         kept.filter("n > 0 and doc_id is not null").groupBy("cls", "short", "n", "bits")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
+        .agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_same")).withColumn("rep", F.monotonically_increasing_id())
     )
+    rows = rows.select("doc_id", "text")
     posted = _postings(rows.filter("doc_id is not null").select("text"), size, percent, levels)
     keys = posted.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).filter("lo <> hi")
     shared = settle(posted.join(keys, "key").distinct())
@@ -378,37 +381,65 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         .select(F.least("short", "other").alias("a"), F.greatest("short", "other").alias("b")).distinct()
     )
     families = components(_possible(stars, nodes, percent - LOOSER), "a", "b").toDF("rep", "family")
-    members = nodes.join(families, "rep").select("rep", "cls", "n", "bits", "family")
-    inner = _family_links(members.join(_sets(rows, members, size).select("rep", "hashes"), "rep").drop("cls"), percent)
+    members = nodes.join(families, "rep").select("rep", "doc", "cls", "n", "bits", "family")
+    inner = _family_links(members.join(_sets(rows, members, size), "rep").drop("cls", "doc"), percent)
     outer = _cross_links(shared.select("key", "short", "n"), nodes, families, rows, size, percent)
-    comps = components(inner.union(outer), "a", "b")
-    return (
-        kept.join(nodes.select("cls", "rep", "n_same"), "cls", "left")
-        .join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
-            F.when(F.col("doc_id").isNotNull(), F.col("n_same")).otherwise(F.lit(None)).alias("_same"),
-        ).withColumn("n_same", F.coalesce("_same", F.lit(1).cast("long"))).drop("_same"
-        )
+    comps = components(inner.union(outer), "a", "b").select(F.col("node").alias("rep"), "component")
+    grouped = settle(nodes.select("cls", "rep", "doc", "n_same").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    least = grouped.groupBy("component").agg(F.min("doc").alias("component_id"))
+    placed = grouped.join(least, "component").select("cls", F.col("rep").alias("node"), "component", "component_id", "n_same")
+    known = F.col("doc_id").isNotNull()
+    return kept.join(placed, "cls", "left").select("doc_id", "text_key", "n", *[
+        F.when(known, F.col(c)).alias(c) for c in ("node", "component", "component_id", "n_same")])
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (``doc_id``, ``text``; other columns are not read): set size and component.
+
+    ``doc_id, n_shingles, component_id, n_same``: component_id is the least doc_id that links reach, n_same the number
+    of rows with the same set. Null and blank texts have an empty set, link with nothing and are their own component.
+    Rows with a null doc_id link with nothing and have no component. Repeated rows come back as often as they come in;
+    rows of one doc_id with unlike texts are told apart by their sets; an empty table gives no rows.
+
+    Equal sets are one node from the start. Nodes that share a tile key are compared by bitmap with the key's least and
+    greatest node; those that may be alike form families, which a group of many copies enters by about as many pairs as
+    it has members. Families are compared cell by cell inside tasks. What shares a key across families is compared by
+    bitmap and then exactly. So no group is ever written out as pairs, and no link between components is lost.
+    """
+    found = _classified(docs, size, percent)
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("n_same", F.lit(1).cast("long")).alias("n_same"),
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` with one row of each component: its least doc_id's, whole. Rows without doc_id stay.
+    """``docs`` with one row of each component: its least doc_id's, whole. Rows without doc_id or words stay.
 
-    Of rows that repeat a doc_id, the one with the least text and columns stays.
+    Rows are told apart by doc_id and text, so unlike texts of one doc_id are judged each by its own links. Of several
+    texts of the least doc_id in a component the one with the least md5 stays; of rows equal in both, the one with the
+    least columns.
     """
-    found = settle(jaccard_components(docs, size, percent))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(maybe_broadcast(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    found = settle(_classified(docs, size, percent).filter("node is not null").select("doc_id", "text_key", "component"))
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    told = found.join(kept, "component").withColumn("stays", F.struct("doc_id", "text_key") == F.col("kept"))
+    name = "_text_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col(name) == F.col("_key"))
+
+    gone = told.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    left = keyed.join(maybe_broadcast(gone), same, "left_anti")
     twice = settle(
-        found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-        .select(F.col("doc_id").alias("_twice"))
+        told.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1")
+        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     )
-    if not twice.limit(1).count():
-        return left
-    again = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*left.columns))
-    first = again.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-    return left.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(first)
+    if twice.isEmpty():
+        return left.drop(name)
+    again = left.join(twice, same, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", name).orderBy(*docs.columns))
+    place = f"{name}rank"
+    first = again.withColumn(place, rank).filter(F.col(place) == 1).drop(place)
+    return left.join(twice, same, "left_anti").unionByName(first).drop(name)

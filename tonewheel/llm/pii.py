@@ -105,9 +105,9 @@ def _count(rank: int) -> Column:
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``_row``, the kept columns, ``base`` spans and ``cands`` (those of the wide forms that are no base span), written once."""
+    """``_row``, the kept columns as ``_kept``, ``base`` spans and ``cands`` (those of the wide forms that are no base span), written once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"))
+    rows = docs.select(F.struct(*keep).alias("_kept"), text.alias("_text"))
     for kind in KINDS:
         rows = rows.withColumn(f"_{kind}", _held(kind))
     rows = rows.withColumn("base", F.concat(*[_ranked(F.col(f"_{kind}"), rank) for rank, kind in enumerate(KINDS)]))
@@ -124,7 +124,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("cands", F.transform(F.filter("_all", lambda c: F.length(digits_of(c["m"])).between(7, 24) | c["m"].contains("@") | (c["k"] == 0)), described))
     plain = F.transform("base", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
     return settle(rows.select(
-        F.monotonically_increasing_id().alias("_row"), *keep, F.array_sort(plain).alias("base"), "cands"
+        F.monotonically_increasing_id().alias("_row"), "_kept", F.array_sort(plain).alias("base"), "cands"
     ))
 
 
@@ -190,14 +190,18 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     made = _with_added(scanned(docs, ["doc_id"]))
     counts = [_count(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
-    return made.select("doc_id", *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("all")).alias("spans"))
+    return made.select("_kept.doc_id", *counts, F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(F.col("all")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets, overlapping spans as one; n_chars follows."""
+    """``docs`` with every span in ``text`` replaced by its kind in brackets, overlapping spans as one; n_chars follows.
+
+    Other columns come back as they were, whatever their names; so do rows without a span, null texts included.
+    """
     made = _with_added(scanned(docs, docs.columns))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.coalesce("text", F.lit(""))
+    own = F.col("_kept")
+    text = F.coalesce(own["text"].cast("string"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, c: Column) -> Column:
@@ -205,9 +209,9 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], c["e"]).alias("at"), F.when(c["s"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
 
     rebuilt = F.aggregate("all", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    changed = made.withColumn("_new", F.when(F.size("all") > 0, rebuilt).otherwise(F.col("text")))
+    changed = made.withColumn("_new", F.when(F.size("all") > 0, rebuilt).otherwise(own["text"]))
     return changed.select(*[
         F.col("_new").alias(c) if c == "text"
-        else F.when(F.size("all") > 0, F.char_length("_new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
+        else F.when(F.size("all") > 0, F.char_length("_new").cast("long")).otherwise(own[c]).alias(c) if c == "n_chars" else own[c].alias(c)
         for c in docs.columns
     ])
