@@ -31,7 +31,7 @@ HELD_HASHES = 1 << 18
 LOOSER = 15
 #: Buckets of the sketch that tells frequent shingles, whatever the number of rows; and how far above a task's own mean
 #: a bucket must lie to be told of, so that a task tells of few.
-BUCKETS, TOLD = 1 << 18, 3
+BUCKETS, TOLD = 1 << 20, 3
 #: Pairs whose sets are unpacked at a time.
 PAIR_ROWS = 512
 
@@ -50,6 +50,12 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits(marks).tobytes()
 
 
+def halved(signature: bytes) -> bytes:
+    """A bitmap of half the size: still a bound, and enough where most pairs are far apart."""
+    bits = np.frombuffer(signature, dtype=np.uint64)
+    return (bits[: len(bits) // 2] | bits[len(bits) // 2:]).tobytes() if len(bits) > LEAST_BITS // 64 else signature
+
+
 def _folded(signatures: list[bytes], bits: int) -> np.ndarray:
     """One row of 64-bit words each; longer bitmaps are folded, as halves stand for the same hashes with a bit less."""
     out = np.zeros((len(signatures), bits // 64), dtype=np.uint64)
@@ -86,7 +92,7 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
         counts = np.zeros(buckets, dtype=np.int64)
         schema = pa.schema([
             ("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int64()), ("cls", pa.binary()), ("short", pa.int64()),
-            ("bits", pa.binary()), ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
+            ("bits", pa.binary()), ("half", pa.binary()), ("bucket", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
         ])
         for batch in batches:
             ns, classes, shorts, bits, held = [], [], [], [], []
@@ -102,16 +108,17 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
                     held = []
             counts += _bucket_counts(held, buckets)
             blank = pa.nulls(len(ns))
-            columns = [batch.column(0), batch.column(2), ns, classes, shorts, bits, blank, blank]
+            halves = [b and halved(b) for b in bits]
+            columns = [batch.column(0), batch.column(2), ns, classes, shorts, bits, halves, blank, blank]
             yield pa.record_batch([
                 pa.array(c, type=f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)
             ], schema=schema)
         used = np.flatnonzero(counts >= max(16, TOLD * counts.mean()))  # what is frequent here; the rest says little
-        one = [[None]] * 6 + [[used.tolist()], [counts[used].tolist()]]
+        one = [[None]] * 7 + [[used.tolist()], [counts[used].tolist()]]
         yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(one, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(
-        run, "doc_id long, text_key string, n long, cls binary, short long, bits binary, bucket array<int>, times array<long>"
+        run, "doc_id long, text_key string, n long, cls binary, short long, bits binary, half binary, bucket array<int>, times array<long>"
     )
 
 
@@ -340,7 +347,7 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
         .filter("a < b and family <> f").filter((100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
         .select("a", "b").distinct()
     )
-    cells = _cells(many.join(nodes.select("rep", "bits"), "rep"), "key", percent)
+    cells = _cells(many.join(nodes.select("rep", F.col("half").alias("bits")), "rep"), "key", percent)
     cells = cells.select(
         F.xxhash64("key", "b1", "t1", "b2", "t2").alias("cell_id"), "rep", "n", "bits", "family", "left",
         F.expr("b1 = b2 and t1 = t2").alias("one"),
@@ -349,7 +356,7 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
     groups = 1 + _cells(many, "key", percent).count() // TILE_ROWS
     dealt = cells.withColumn("deal", F.pmod(F.xxhash64("cell_id"), F.lit(groups)))
     large = dealt.groupBy("deal").applyInArrow(run, "a long, b long")
-    pairs = settle(_possible(small, nodes, percent, "rep").union(large).distinct())
+    pairs = settle(_possible(small.union(large).distinct(), nodes, percent, "rep"))
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes.join(ids, "rep", "left_semi").select("rep", "doc", "cls"), size)
     a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
@@ -367,9 +374,9 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = settle(_sketched(rows, size, BUCKETS))
     every = first.agg(F.sum("n")).first()[0] or 0
     levels = _levels(first.filter("bucket is not null"), BUCKETS, every / BUCKETS)
-    kept = first.filter("bucket is null").select("doc_id", "text_key", "n", "cls", "short", "bits")
+    kept = first.filter("bucket is null").select("doc_id", "text_key", "n", "cls", "short", "bits", "half")
     nodes = settle(
-        kept.filter("n > 0 and doc_id is not null").groupBy("cls", "short", "n", "bits")
+        kept.filter("n > 0 and doc_id is not null").groupBy("cls", "short", "n", "bits", "half")
         .agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_same")).withColumn("rep", F.monotonically_increasing_id())
     )
     rows = rows.select("doc_id", "text")
@@ -389,7 +396,7 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     least = grouped.groupBy("component").agg(F.min("doc").alias("component_id"))
     placed = grouped.join(least, "component").select("cls", F.col("rep").alias("node"), "component", "component_id", "n_same")
     known = F.col("doc_id").isNotNull()
-    return kept.join(placed, "cls", "left").select("doc_id", "text_key", "n", *[
+    return kept.drop("bits", "half").join(placed, "cls", "left").select("doc_id", "text_key", "n", *[
         F.when(known, F.col(c)).alias(c) for c in ("node", "component", "component_id", "n_same")])
 
 
