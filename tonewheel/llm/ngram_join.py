@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tonewheel.llm.graphs import components
 from tonewheel.llm.prints import text_shingles
-from tonewheel.llm.shared import maybe_broadcast
+from tonewheel.llm.shared import frugal, maybe_broadcast
 from tonewheel.session import settle
 
 #: A bitmap has at least two bits a shingle, within these bounds, and always a power of two.
@@ -118,7 +118,7 @@ def _sketched(rows: DataFrame, size: int, buckets: int) -> DataFrame:
         yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(one, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(
-        run, "doc_id long, text_key string, n long, cls binary, short long, bits binary, half binary, bucket array<int>, times array<long>"
+        frugal(run), "doc_id long, text_key string, n long, cls binary, short long, bits binary, half binary, bucket array<int>, times array<long>"
     )
 
 
@@ -145,7 +145,7 @@ def _postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray) -> D
                     pa.array(np.concatenate(keys)), pa.array(np.concatenate(shorts)), pa.array(np.concatenate(ns))
                 ], names=["key", "short", "n"])
 
-    return rows.mapInArrow(run, "key long, short long, n int")
+    return rows.mapInArrow(frugal(run), "key long, short long, n int")
 
 
 def _levels(sketch: DataFrame, buckets: int, mean: float) -> np.ndarray:
@@ -173,7 +173,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, by: str = "short
             yield pa.record_batch([batch.column(0), batch.column(3)], names=["a", "b"]).filter(ok)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b")
-    return both.select("rep_a", "n_a", "bits_a", "rep_b", "n_b", "bits_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("rep_a", "n_a", "bits_a", "rep_b", "n_b", "bits_b").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def room(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 yield pa.record_batch([pa.array([f[k] for f in found], type=t) for k, t in enumerate(kinds)], names=["doc", "cls", "hashes"])
 
     held = docs.join(maybe_broadcast(nodes.select(F.col("doc").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    made = held.mapInArrow(run, "doc long, cls binary, hashes binary")
+    made = held.mapInArrow(frugal(run), "doc long, cls binary, hashes binary")
     # a document's id may come with several texts, and a text with an id several times
     return settle(made.join(nodes.select("rep", "doc", "cls"), ["doc", "cls"]).select("rep", "hashes").dropDuplicates(["rep"]))
 
@@ -360,7 +360,7 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes.join(ids, "rep", "left_semi").select("rep", "doc", "cls"), size)
     a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
-    return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long"))
+    return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(frugal(exact), "a long, b long"))
 
 
 def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:

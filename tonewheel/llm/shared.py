@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,26 @@ def kept(key: Hashable, make: Callable[[], object]):
     return store[key]
 
 
+def release() -> None:
+    """Hands a worker's unused memory back: workers live on after a task, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable, rows: int = 1000) -> Callable:
+    """A function on batches that gets at most ``rows`` rows at a time and leaves no unused memory behind."""
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        finally:
+            release()
+
+    return inner
+
+
 def maybe_broadcast(keys: DataFrame) -> DataFrame:
     """Marked for broadcast if it is counted to be small, else left to a shuffled join."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
