@@ -4,7 +4,8 @@ import random
 import public_tokenizers
 import pytest
 
-from tonewheel.llm.bpe import Codec, round_trip
+from tonewheel.llm import bpe
+from tonewheel.llm.bpe import Codec, round_trip, stitched
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,6 +39,17 @@ def test_chunks_of_any_size_agree_with_the_library(spark, coder):
         assert got == sorted(((i, *wanted(coder, t)) for i, t, *_ in rows), key=str)
 
 
+def test_stretches_and_texts_out_of_step(spark, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 3)
+    texts = ["one two, three. " * 40, "x" * 300, "y" * 90 + " z" * 200, "\U0001fae9 " * 80]
+    docs = spark.createDataFrame([(str(k), k, t) for k, t in enumerate(texts)], "_row string, doc_id long, text string")
+    got = {r.doc_id: r.ids for r in stitched(docs, PATH, public_tokenizers.PATTERN, 32, 16).collect()}
+    assert got[0] == coder.encode(texts[0]) and got[1] is None
+    assert all(ids is None or ids == coder.encode(texts[k]) for k, ids in got.items())
+    ends = {r.doc_id: tuple(r)[1:] for r in round_trip(docs, PATH, public_tokenizers.PATTERN, 32, 16).collect()}
+    assert ends == {k: wanted(coder, t) for k, t in enumerate(texts)}
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert round_trip(docs, PATH, public_tokenizers.PATTERN).collect() == []

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewheel.llm.shared import kept
+from tonewheel.llm.shared import kept, maybe_broadcast
+from tonewheel.session import settle
 
 #: Code points of a chunk without its overlap, and how far it reads on into the next one.
 CHUNK, OVERLAP = 16_384, 1_024
+#: Chunks that a very long text is first cut into together.
+STRETCH = 64
 CACHE_PIECES = 200_000
+PART = pa.struct([("k", pa.int32()), ("last", pa.int32()), *[(name, pa.binary()) for name in ("ids", "head", "tail")]])
+PART_DDL = "struct<k:int,last:int,ids:binary,head:binary,tail:binary>"
 
 
 class Codec:
@@ -62,17 +68,17 @@ class Codec:
 
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         """Each piece by itself: what lies around it doesn't count any more."""
-        known, out = self.known, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = tuple(self.coder._encode_single_piece(piece))
-                if len(piece) <= 64:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return list(chain.from_iterable(map(self.ids_of, pieces)))
+
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = tuple(self.coder._encode_single_piece(piece))
+            if len(piece) <= 64:
+                if len(self.known) >= CACHE_PIECES:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
 
     def count(self, piece: str) -> int:
         """Tokens of one piece."""
@@ -101,80 +107,109 @@ def _digests(c: Codec, ids: list[int]) -> tuple[int, str, str]:
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """``_row, doc_id, k, last, start, text``: overlapping chunks of each text, dealt out over the tasks."""
+    """``_row, doc_id, k, last, text``: overlapping chunks of each text, dealt out over the tasks.
+
+    Texts are cut twice, into stretches of many chunks and those into chunks, so that no cut looks for its place from the
+    far beginning of a very long text.
+    """
     count = F.greatest(F.ceil(F.char_length("text") / chunk).cast("int"), F.lit(1))
+    stretch = F.explode(F.sequence(F.lit(0), F.expr(f"cast(last div {STRETCH} as int)")))
+    inner = F.explode(F.sequence(F.lit(0), F.least(F.lit(STRETCH - 1), F.expr(f"last - far * {STRETCH}"))))
     return (
-        docs.withColumn("last", count - 1).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .withColumn("start", F.col("k").cast("long") * chunk)
-        .withColumn("text", F.expr(f"substring(text, cast(start as int) + 1, {chunk + overlap})"))
+        docs.withColumn("last", count - 1).withColumn("far", stretch)
+        .withColumn("text", F.expr(f"substring(text, far * {STRETCH * chunk} + 1, {STRETCH * chunk + overlap})"))
+        .withColumn("near", inner)
+        .select(
+            "_row", "doc_id", F.expr(f"far * {STRETCH} + near").cast("int").alias("k"), "last",
+            F.expr(f"substring(text, near * {chunk} + 1, {chunk + overlap})").alias("text"),
+        )
         .repartition("_row", "k")
     )
 
 
-def stitched(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id, ids`` (and ``_row``) of texts of any length; ``docs`` has ``_row`` (unique), ``doc_id`` and ``text``.
+def _encoded_chunks(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """Every chunk split and encoded where it is cut: ``_row, doc_id, part``.
 
-    A chunk is split from its first code point on and over its end by ``overlap``. Where a piece begins depends on
-    nothing before it, so from the first beginning that a chunk shares with its predecessor both go on alike; from
-    there the chunk's own pieces count, up to the same place of its successor. Only the few beginnings around the
-    borders are gathered for a text. A text in which some chunk never falls into step is encoded whole in one task.
+    ``part`` holds ``k``, ``last``, the chunk's ``ids`` (packed), and for the beginnings of pieces within the overlap at its
+    front (``head``) and beyond its end (``tail``) their distance from the border with the number of ids before each. The
+    text goes no further.
     """
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             rows = batch.to_pydict()
-            heads, tails, sure = [], [], []
-            for text, start, k, last in zip(rows["text"], rows["start"], rows["k"], rows["last"], strict=True):
-                at = [m.start() for m in c.find(text)]
-                # a beginning near the cut end may owe itself to the cut: leave out the last piece
-                inner = at[:-1] if k < last else at
-                heads.append([start + a for a in inner if a <= overlap] if k else [0])
-                tails.append([start + a for a in inner if a >= chunk])
-                sure.append(c.pieces_known(text))
-            yield pa.record_batch([
-                *[batch.column(name) for name in ("_row", "doc_id", "k", "last", "start", "text")],
-                pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64())), pa.array(sure, pa.bool_()),
-            ], names=["_row", "doc_id", "k", "last", "start", "text", "head", "tail", "sure"])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            rows, out = batch.to_pydict(), []
-            for text, start, begin, end in zip(rows["text"], rows["start"], rows["begin"], rows["end"], strict=True):
-                upto = end - start if end is not None else len(text)
-                out.append(c.encode_pieces([m[0] for m in c.find(text) if begin - start <= m.start() < upto]))
-            yield pa.record_batch(
-                [batch.column(n) for n in ("_row", "doc_id", "k")] + [pa.array(out, pa.list_(pa.int32()))],
-                names=["_row", "doc_id", "k", "ids"],
-            )
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for batch in batches:
-            ids = [c.encode(t) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["_row", "doc_id", "ids"]
-            )
-
-    row = Window.partitionBy("_row")
-    chunks = _chunks(docs.select("_row", "doc_id", "text"), chunk, overlap).mapInArrow(
-        split, "_row string, doc_id long, k int, last int, start long, text string, head array<long>, tail array<long>, sure boolean"
-    )
-    met = F.array_min(F.array_intersect("head", F.lag("tail").over(row.orderBy("k"))))
-    placed = chunks.withColumn("begin", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(met)).withColumn(
-        "bad", F.max(F.col("begin").isNull() | ~F.col("sure")).over(row)
-    ).withColumn("end", F.lead("begin").over(row.orderBy("k")))
-    pieces = placed.filter("not bad").select("_row", "doc_id", "k", "start", "begin", "end", "text").mapInArrow(
-        encode, "_row string, doc_id long, k int, ids array<int>"
-    )
-    joined = pieces.groupBy("_row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select(
-        "_row", "doc_id", F.flatten(F.col("parts.ids")).alias("ids")
+            parts = []
+            for text, k, last in zip(rows["text"], rows["k"], rows["last"], strict=True):
+                if not c.pieces_known(text):
+                    parts.append({"k": k, "last": last, "ids": None, "head": None, "tail": None})
+                    continue
+                ids, head, tail = array("I"), array("I"), array("I")
+                for m in c.find(text):
+                    at = m.start()
+                    # a beginning near the cut end may owe itself to the cut: leave out the last piece
+                    if k == last or m.end() < len(text):
+                        if at <= overlap:
+                            head.extend((at, len(ids)))
+                        if at >= chunk and k < last:
+                            tail.extend((at - chunk, len(ids)))
+                    ids.extend(c.ids_of(m[0]))
+                parts.append({"k": k, "last": last, "ids": ids.tobytes(), "head": head.tobytes(), "tail": tail.tobytes()})
+            yield pa.record_batch([batch.column("_row"), batch.column("doc_id"), pa.array(parts, PART)], names=["_row", "doc_id", "part"])
+
+    return _chunks(docs.select("_row", "doc_id", "text"), chunk, overlap).mapInArrow(
+        run, f"_row string, doc_id long, part {PART_DDL}"
     )
-    stuck = placed.filter("bad and k = 0").select("_row")
-    rest = docs.join(stuck, "_row", "left_semi").select("_row", "doc_id", "text").mapInArrow(
-        whole, "_row string, doc_id long, ids array<int>"
-    )
-    return joined.unionByName(rest)
+
+
+def _places(packed: bytes) -> list[tuple[int, int]]:
+    flat = array("I", packed)
+    return list(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _joined(parts: list[dict]) -> list[int] | None:
+    """The ids of a text from its chunks in order; None if some chunk was not split or never falls into step."""
+    if [p["k"] for p in parts] != list(range(parts[0]["last"] + 1)):
+        raise RuntimeError("the rows came in another order when they were read again: write the input to a table first")
+    out, since = array("I"), 0
+    for k, part in enumerate(parts):
+        if part["ids"] is None:
+            return None
+        ids = array("I", part["ids"])
+        if k == part["last"]:
+            out.extend(ids[since:])
+            break
+        follow = parts[k + 1]
+        if follow["ids"] is None:
+            return None
+        here, there = dict(_places(part["tail"])), _places(follow["head"])
+        met = next(((here[at], n) for at, n in there if at in here), None)
+        if met is None:
+            return None
+        out.extend(ids[since:met[0]])
+        since = met[1]
+    return out.tolist()
+
+
+def stitched(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``_row, doc_id, ids`` of texts of any length; ``docs`` has ``_row`` (unique), ``doc_id`` and ``text``.
+
+    A chunk is split from its first code point on and over its end by ``overlap``. Where a piece begins depends on
+    nothing before it, so from the first beginning that a chunk shares with its predecessor both go on alike; from
+    there the chunk's own pieces count, up to the same place of its successor. Only ids and the beginnings around the
+    borders are gathered for a text. ``ids`` is null for a text in which some chunk never falls into step (a piece longer
+    than the overlap lies on a border) or whose code points the two pattern libraries class differently.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                ids = _joined(one.column("parts")[0].as_py())
+                yield pa.record_batch(
+                    [one.column("_row"), one.column("doc_id"), pa.array([ids], pa.list_(pa.int32()))], names=["_row", "doc_id", "ids"])
+
+    gathered = _encoded_chunks(docs, path, pattern, chunk, overlap).groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list("part")).alias("parts"))
+    return gathered.mapInArrow(run, "_row string, doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -183,7 +218,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     The ids are the vocabulary's, without special tokens; decoding joins the raw bytes of the ids, and the digest is of
     those bytes. Null texts count as empty (no tokens, digests of nothing). Ids may repeat or be null: rows come back as
     they came. Texts of at most ``chunk`` code points are one chunk and are encoded where they are read; longer ones go
-    through ``stitched``, so a very long text is spread over many tasks.
+    through ``stitched``, so a very long text is spread over many tasks. The digests of these are written once; texts that
+    could not be stitched are then encoded whole, each in one task.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -198,13 +234,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            yield _finished(batch.column(0).to_pylist(), [_digests(c, ids) for ids in batch.column(1).to_pylist()], [], [])
+            found = [(None, None, None) if ids is None else _digests(c, ids) for ids in batch.column(2).to_pylist()]
+            yield _finished(batch.column(1).to_pylist(), found, [batch.column(0)], ["_row"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     size = F.char_length("text")
-    # the key of a long text is a digest of its row, so a task that runs again gives the same one
-    keyed = rows.filter(size > chunk).withColumn("_row", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text")))
-    times = keyed.groupBy("_row").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    ids = stitched(times, path, pattern, chunk, overlap).join(times.select("_row", F.col("times").alias("_times")), "_row")
-    again = ids.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("doc_id", "ids")
-    return rows.filter(size <= chunk).mapInArrow(short, schema).union(again.mapInArrow(long, schema))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"))
+    keyed = rows.filter(size > chunk).withColumn("_key", digest)
+    # rows of one text and id are told apart by their places
+    placed = keyed.withColumn("_row", F.concat_ws(":", "_key", F.monotonically_increasing_id().cast("string")))
+    told = settle(stitched(placed, path, pattern, chunk, overlap).mapInArrow(long, f"{schema}, _row string"))
+    stuck = told.filter("n_tokens is null").select(F.substring_index("_row", ":", 1).alias("_key")).distinct()
+    results = rows.filter(size <= chunk).mapInArrow(short, schema).union(told.filter("n_tokens is not null").drop("_row"))
+    if stuck.isEmpty():
+        return results
+    rest = keyed.join(maybe_broadcast(stuck), "_key", "left_semi").select("doc_id", "text")
+    return results.union(rest.mapInArrow(short, schema))
