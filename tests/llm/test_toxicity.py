@@ -64,3 +64,18 @@ def test_a_category_without_two_classes_is_left_out(spark):
         found = toxicity.score(docs, chain).collect()
         assert all(r.is_toxic == (r.doc_id % 2 == 0) and r.p_toxic is not None for r in found) and len(found) == 60
         assert quality(0) == 0 or all(r.p_low_quality is None and not r.is_low_quality for r in found)
+
+
+def test_words_of_a_fold_are_chosen_without_its_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "VOCABULARY", 3)
+    rows = [(k, k % 2, [f"w{k % 7}", f"v{k % 5}"], float(k % 3 == 0)) for k in range(80)]
+    facts = spark.createDataFrame(rows, "doc_id long, fold long, words array<string>, toxic double")
+    moved = facts.withColumn("toxic", F.when(F.col("fold") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    plain, other = toxicity.telling_words(facts, ["toxic"]), toxicity.telling_words(moved, ["toxic"])
+    assert plain[0] == other[0] and len(plain[0]) == 3 and plain[1:] != other[1:]
+
+
+def test_few_labels_are_said_to_be_in_fold(spark):
+    docs = spark.createDataFrame([(k, f"words {k}") for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k == 3)) for k in range(12)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, toxicity.with_categories(labels), CATEGORIES).in_fold == ["toxic"]

@@ -14,7 +14,7 @@ from tonewheel.session import settle
 
 #: Labelled documents that the chain is fitted on at most, drawn by a hash of their ids; scoring reads every document.
 MAX_LABELLED = 20_000
-#: Words per category whose share of positive documents is farthest from the category's; each in so many documents.
+#: The model's size, not the rows': words per category whose share of positive documents is farthest from the category's; each in so many documents.
 VOCABULARY, LEAST_DOCS = 1_500, 5
 FOLDS = 2
 STEPS = 30
@@ -29,6 +29,8 @@ class Chain:
     categories: list[str]
     models: list[LogisticRegressionModel] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
+    #: Categories with too few labels to leave a fold out: their training probabilities come from models that saw them.
+    in_fold: list[str] = field(default_factory=list)
     #: Categories without two classes among the labels: no model, probability null.
     left_out: list[str] = field(default_factory=list)
 
@@ -48,11 +50,11 @@ def _facts(docs: DataFrame) -> DataFrame:
     ))
 
 
-def _vectors(bagged: DataFrame, earlier: list[str]) -> DataFrame:
+def _vectors(bagged: DataFrame, earlier: list[str], bag: str = "bag") -> DataFrame:
     parts = bagged
     for k, name in enumerate(("shout", "symbols", "length")):
         parts = parts.withColumn(f"_{name}", F.col("form")[k])
-    made = VectorAssembler(inputCols=["bag", "_shout", "_symbols", "_length", *earlier], outputCol="features").transform(parts)
+    made = VectorAssembler(inputCols=[bag, "_shout", "_symbols", "_length", *earlier], outputCol="features").transform(parts)
     return made.drop("_shout", "_symbols", "_length")
 
 
@@ -83,19 +85,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], b
     return settle(_facts(texts).drop("text"))
 
 
-def telling_words(facts: DataFrame, categories: list[str]) -> list[str]:
-    """The vocabulary: for each category the words that tell most, by the distance of their counts from chance."""
-    n = facts.agg(F.count("*"), *[F.avg(c) for c in categories]).first()
-    counted = settle(
-        facts.select(F.explode(F.array_distinct("words")).alias("word"), *categories).groupBy("word")
-        .agg(F.count("*").alias("docs"), *[F.sum(c).alias(c) for c in categories], *[F.count(c).alias(f"n_{c}") for c in categories]).filter(F.col("docs") >= LEAST_DOCS)
-    )
-    found: set[str] = set()
-    for k, category in enumerate(categories):
-        chance = F.col(f"n_{category}") * n[1 + k]
-        far = F.abs(F.col(category) - chance) / F.sqrt(chance * (1 - n[1 + k]))
-        found |= {r[0] for r in counted.filter(F.col(f"n_{category}") > 0).orderBy(far.desc(), "word").limit(VOCABULARY).select("word").collect()}
-    return sorted(found) or ["-"]
+def telling_words(facts: DataFrame, categories: list[str]) -> list[list[str]]:
+    """Vocabularies: one for each fold, chosen by the labels of the other folds only, and last that of all folds.
+
+    For each category the words that tell most, by the distance of their counts from chance. Words are counted once.
+    """
+    sides = [F.col("fold") != fold for fold in range(FOLDS)] + [F.lit(True)]
+    names = list(enumerate(categories))
+    shares = facts.agg(*[F.avg(F.when(side, F.col(c))) for side in sides for c in categories]).first()
+    sums = [
+        [F.count(F.when(side, 1)).alias(f"docs_{k}")]
+        + [F.sum(F.when(side, F.col(c))).alias(f"sum_{k}_{j}") for j, c in names]
+        + [F.count(F.when(side, F.col(c))).alias(f"n_{k}_{j}") for j, c in names]
+        for k, side in enumerate(sides)
+    ]
+    each = facts.select(F.explode(F.array_distinct("words")).alias("word"), "fold", *categories)
+    counted = settle(each.groupBy("word").agg(*[c for side in sums for c in side]).filter(F.col(f"docs_{FOLDS}") >= LEAST_DOCS))
+    found = []
+    for k in range(len(sides)):
+        words: set[str] = set()
+        for j, _ in names:
+            share = shares[k * len(categories) + j]
+            if not share or share == 1:
+                continue
+            chance = F.col(f"n_{k}_{j}") * share
+            far = F.abs(F.col(f"sum_{k}_{j}") - chance) / F.sqrt(chance * (1 - share))
+            often = counted.filter((F.col(f"docs_{k}") >= LEAST_DOCS) & (F.col(f"n_{k}_{j}") > 0))
+            words |= {r[0] for r in often.orderBy(far.desc(), "word").limit(VOCABULARY).select("word").collect()}
+        found.append(sorted(words) or ["-"])
+    return found
+
+
+def _bags(vocabulary: list[str], name: str) -> CountVectorizerModel:
+    return CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol=name).setBinary(True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int = MAX_LABELLED) -> Chain | None:
@@ -104,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int =
     A category with one class only, or without labels, is left out, and the next model goes without its probability.
 
     For training, a document's earlier probabilities come from models that did not see it (folds by a hash of the id),
-    as they will for new documents. Each threshold is the one with the best F1 on such out-of-fold probabilities.
+    as they will for new documents; the words of such a model are chosen without their labels too. Where the labels are
+    too few for that, the category is named in ``in_fold``. Each threshold is the one with the best F1 on such out-of-fold probabilities.
     """
     facts = labelled_sample(docs, labels, categories, bound)
     both = facts.agg(*[F.min(c) for c in categories], *[F.max(c) for c in categories]).first()
@@ -112,24 +135,31 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], bound: int =
     categories = [c for c in categories if c not in left_out]
     if not categories:
         return None
-    words = CountVectorizerModel.from_vocabulary(telling_words(facts, categories), inputCol="words", outputCol="bag")
-    words.setBinary(True)
-    chain = Chain(words, categories, left_out=left_out)
-    rows = words.transform(facts).drop("words").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
+    facts = facts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
+    bags = [_bags(words, f"bag_{k}" if k < FOLDS else "bag") for k, words in enumerate(telling_words(facts, categories))]
+    chain = Chain(bags[-1], categories, left_out=left_out)
+    rows = facts
+    for bag in bags:
+        rows = bag.transform(rows)
+    # the sample is bounded: in few parts, a step of the fit costs no more than its sums
+    rows = settle(rows.drop("words").coalesce(PARTS))
     for k, category in enumerate(categories):
-        # the sample is bounded: in few parts, a step of the fit costs no more than its sums
-        rows = settle(_vectors(rows, [f"p_{c}" for c in categories[:k]]).coalesce(PARTS))
+        earlier = [f"p_{c}" for c in categories[:k]]
         labelled = rows.filter(F.col(category).isNotNull())
         seen = {(r[0], r[1]) for r in labelled.select("fold", category).distinct().collect()}
         held = None
         for fold in range(FOLDS):
             # few labels may leave the other folds without one of the classes; then all are used
             enough = len({y for f, y in seen if f != fold}) == 2
-            model = _linear(category).fit(labelled.filter(F.col("fold") != fold) if enough else labelled)
-            part = _scored(model, rows.filter(F.col("fold") == fold), category)
+            if not enough and category not in chain.in_fold:
+                chain.in_fold.append(category)
+            bag = f"bag_{fold}" if enough else "bag"
+            others = labelled.filter(F.col("fold") != fold) if enough else labelled
+            model = _linear(category).fit(_vectors(others, earlier, bag))
+            part = _scored(model, _vectors(rows.filter(F.col("fold") == fold), earlier, bag), category)
             held = part if held is None else held.unionByName(part)
-        chain.models.append(_linear(category).fit(labelled))
-        rows = settle(held)
+        chain.models.append(_linear(category).fit(_vectors(labelled, earlier)))
+        rows = settle(held.coalesce(PARTS))
         chain.thresholds.append(_best_threshold(rows.filter(F.col(category).isNotNull()), category))
     return chain
 
