@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tonewheel.llm import pii
@@ -80,3 +81,30 @@ def test_redacted_keeps_columns_of_any_name(spark):
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted(
         [(1, "write to [EMAIL] now", "b", [1], 20, "x"), (1, None, "b", None, 0, None), (None, "nothing", None, [], 7, "y")], key=str)
+
+
+def test_other_forms_are_added(spark):
+    draw = random.Random(5)
+
+    def number(n):
+        return "".join(draw.choice("123456789") for _ in range(n))
+
+    def card():
+        d = "4" + number(14)
+        return next(d + str(c) for c in range(10) if luhn(d + str(c)))
+
+    texts = [
+        f"alpha na{number(2)}@mail{k % 9}.example.com beta {k % 250}.{k % 99 + 1}.7.{k % 80} gamma {card()} delta +1 ({number(3)}) {number(3)}-{number(4)} "
+        f"eps token=ab{number(9)}cd" for k in range(300)
+    ]
+    forms = {
+        "(017) 555-7713": "phone", "017 555 7713": "phone", "me12 (at) host.example.org": "email", "4111-1111-1111-1112": "card",
+    }
+    clean = ["on 2019-05-12 there", "years 1998 1999 2000 went", "sums 12.5 13.7 14.2 made", "hash ab1234567890123456cd", "host me (at) home", "only 42 of 1234"]
+    asked = [f"alpha {form} beta" for form in forms] + clean
+    got = {r.doc_id: r for r in pii.personal_data(rows_of(spark, texts + asked)).collect()}
+    held(got.values(), texts + asked)
+    for k, (form, kind) in enumerate(forms.items(), len(texts)):
+        assert f"{kind}:6:{6 + len(form)}" in got[k].spans.split(","), (form, got[k].spans)
+        assert got[k].n_added >= 1
+    assert [got[k].spans for k in range(len(texts) + len(forms), len(texts) + len(asked))] == [""] * len(clean)
