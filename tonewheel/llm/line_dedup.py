@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -22,40 +23,49 @@ HOT_SHARE, HOT_PLACES = 1e-5, 1_000
 UNIT = re.compile(r"[^\n]+?(?:(?<=[.!?])(?=[^\S\n])|(?=\n)|\Z)")
 
 
+#: A digest travels as two numbers: such rows are of fixed size, without place and length of a byte string.
+DIGEST = ["d1", "d2"]
+
+
+def _digest(words: str) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.blake2b(words.encode(), digest_size=16).digest())
+
+
 def normal(unit: str) -> str:
     """Case and white space don't count."""
     return " ".join(unit.lower().split())
 
 
 def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``digest, doc_id, nth, start, end``: every unit with at least so many words; ``nth`` counts equals in a document."""
+    """``d1, d2, doc_id, nth, start, end``: every unit with at least so many words; ``nth`` counts equals in a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, ids, nths, starts, ends = [], [], [], [], []
+            d1, d2, ids, nths, starts, ends = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen: dict[bytes, int] = {}
+                seen: dict[tuple[int, int], int] = {}
                 for m in UNIT.finditer(text or ""):
                     words = m[0].lower().split()
                     if len(words) >= least_words:
-                        digest = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+                        digest = _digest(" ".join(words))
                         seen[digest] = nth = seen.get(digest, -1) + 1
-                        digests.append(digest)
+                        d1.append(digest[0])
+                        d2.append(digest[1])
                         ids.append(doc)
                         nths.append(nth)
                         lead = len(m[0]) - len(m[0].lstrip())
                         starts.append(m.start() + lead)
                         ends.append(m.end())
             yield pa.record_batch(
-                [pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(nths, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                names=["digest", "doc_id", "nth", "start", "end"],
+                [*(pa.array(c, pa.int64()) for c in (d1, d2, ids)), *(pa.array(c, pa.int32()) for c in (nths, starts, ends))],
+                names=[*DIGEST, "doc_id", "nth", "start", "end"],
             )
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "digest binary, doc_id long, nth int, start int, end int")
+    return rows.mapInArrow(run, "d1 long, d2 long, doc_id long, nth int, start int, end int")
 
 
 def runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``digest, row, doc_id, nth, own_end, starts, ends``: the shortest runs of adjacent units with so many words.
+    """``d1, d2, row, doc_id, nth, own_end, starts, ends``: the shortest runs of adjacent units with so many words.
 
     Of every unit, the run that begins with it and the run that ends with it; a unit with words enough is one by itself.
     These runs cover each longer run: a unit of it either begins or ends one that lies within. Runs go over line ends,
@@ -70,20 +80,20 @@ def runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     words = m[0].lower().split()
                     if words:
                         parts.append((words, m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
-                seen: dict[bytes, tuple[int, int]] = {}
+                seen: dict[tuple[int, int], tuple[int, int]] = {}
                 for i, j in shortest([len(p[0]) for p in parts], least_words):
-                    digest = hashlib.blake2b(" ".join(w for p in parts[i:j] for w in p[0]).encode(), digest_size=16).digest()
+                    digest = _digest(" ".join(w for p in parts[i:j] for w in p[0]))
                     nth, own_end = seen.get(digest, (0, parts[j - 1][2]))
                     seen[digest] = (nth + 1, own_end)
-                    out.append((digest, row, doc, nth, own_end, [p[1] for p in parts[i:j]], [p[2] for p in parts[i:j]]))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    out.append((*digest, row, doc, nth, own_end, [p[1] for p in parts[i:j]], [p[2] for p in parts[i:j]]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                  names=["digest", "row", "doc_id", "nth", "own_end", "starts", "ends"])
+                                  names=[*DIGEST, "row", "doc_id", "nth", "own_end", "starts", "ends"])
 
     rows = docs.filter("doc_id is not null").select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "digest binary, row long, doc_id long, nth int, own_end int, starts array<int>, ends array<int>")
+    return rows.mapInArrow(run, "d1 long, d2 long, row long, doc_id long, nth int, own_end int, starts array<int>, ends array<int>")
 
 
 def shortest(counts: list[int], least: int) -> list[tuple[int, int]]:
@@ -126,16 +136,19 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     each = _later(settle(runs(docs, least_words))).select("row", "doc_id", "own_end", "first_doc_id", "n_places", part).filter(
         "doc_id <> first_doc_id or part.starts >= own_end")
     least = F.min(F.struct("first_doc_id", (-F.col("n_places")).alias("less"))).alias("m")
-    units_of = each.groupBy("row", "doc_id", F.col("part.starts").alias("start"), F.col("part.ends").alias("end")).agg(least)
-    return units_of.select("doc_id", "start", "end", F.col("m.first_doc_id").alias("first_doc_id"), (-F.col("m.less")).alias("n_places"))
+    # start and end as one number keep the rows of this shuffle small
+    place = F.shiftleft(F.col("part.starts").cast("long"), 32).bitwiseOR(F.col("part.ends").cast("long"))
+    units_of = each.groupBy("row", "doc_id", place.alias("place")).agg(least)
+    start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return units_of.select("doc_id", start.alias("start"), end.alias("end"), F.col("m.first_doc_id").alias("first_doc_id"), (-F.col("m.less")).alias("n_places"))
 
 
 def _later(found: DataFrame) -> DataFrame:
     """The rows of ``found`` whose digest has an earlier place, with ``first_doc_id`` and ``n_places``."""
     first = settle(
-        found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_places")).filter("n_places > 1"))
+        found.groupBy(*DIGEST).agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_places")).filter("n_places > 1"))
     hot = F.col("n_places") > max(HOT_PLACES, int(found.count() * HOT_SHARE))
     often = F.broadcast(first.filter(hot))
-    rest = found.join(often.select("digest"), "digest", "left_anti")
-    joined = found.join(often, "digest").unionByName(rest.join(first.filter(~hot), "digest"))
+    rest = found.join(often.select(*DIGEST), DIGEST, "left_anti")
+    joined = found.join(often, DIGEST).unionByName(rest.join(first.filter(~hot), DIGEST))
     return joined.filter("doc_id <> first_doc_id or nth > 0")
