@@ -105,3 +105,23 @@ def test_grid_with_small_blocks(spark):
     splits = sealed_splits(vectors, "ori", None, (0.3, 0.7), 3, 111)
     a, b = ({tuple(r) for r in diagnosis.run_predictions(vectors, splits, "ori", 5, 10, block_rows=n).collect()} for n in (8192, 32))
     assert a == b and len(a) > 50
+
+
+def test_a_pool_serves_all_splits():
+    """What is held of a row are the candidates that some split needs, not ``k`` places for each split."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(6)
+    x, flags = draw.normal(size=(600, 4)), draw.random((600, 180)) < 0.5
+    words = np.stack([(flags[:, w: w + 62].astype(np.int64) << np.arange(flags[:, w: w + 62].shape[1] - 1, -1, -1)).sum(1) for w in range(0, 180, 62)], 1)
+    table = pa.table({"_id": np.arange(600), "_vec": pa.array(x.tolist()), "_bits": pa.array(words.tolist(), pa.list_(pa.int64()))})
+    schema = pa.schema([("_id", pa.int64()), ("run", pa.int32()), ("rank", pa.int32()), ("dist", pa.float64()), ("neighbour", pa.int64())])
+    strip = strips.Strip(table.slice(0, 50), 5, "euclidean", 180, ["_id"], [], schema)
+    for batch in table.combine_chunks().to_batches(max_chunksize=100):
+        strip.feed(batch)
+    got = pa.Table.from_batches(list(strip.hits())).to_pylist()
+    assert sum(len(p.ref) for p in strip.pools) < 50 * 180 * 5 / 20
+    d = np.round(np.linalg.norm(x[:50, None] - x[None], axis=2), 9)
+    want = {(i, run, r + 1, int(j)) for run in range(180) for i in np.flatnonzero(flags[:50, run])
+            for r, j in enumerate(np.flatnonzero(~flags[:, run])[np.argsort(d[i][~flags[:, run]], kind="stable")][:5])}
+    assert {(r["_id"], r["run"], r["rank"], r["neighbour"]) for r in got} == want

@@ -43,10 +43,13 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def distances(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
+    """Worked out in place: a slab of them is the largest thing in a search."""
+    out = q @ t.T
     if metric == "cosine":
-        return np.clip(1.0 - q @ t.T, 0.0, 2.0)
-    squared = (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2.0 * (q @ t.T)
-    return np.sqrt(np.maximum(squared, 0.0))
+        return np.clip(np.subtract(1.0, out, out=out), 0.0, 2.0, out=out)
+    np.multiply(out, 2.0, out=out)
+    np.subtract((q * q).sum(1)[:, None] + (t * t).sum(1)[None, :], out, out=out)
+    return np.sqrt(np.maximum(out, 0.0, out=out), out=out)
 
 
 def best_k(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ handed on doesn't grow with the number of batches, and memory is the strip, its
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 STRIP_ROWS, HELD, CHUNK_ROWS = 1 << 16, 1 << 22, 1 << 22
 SLAB_TEST, SLAB_TRAIN = 512, 4096
 #: Nearest columns of a row that are looked at first when splits hide some, and entries that are ranked at a time.
-FIRST, RANKED = 32, 1 << 22
+FIRST, RANKED = 32, 1 << 24
 WORD = 62
 
 
@@ -84,7 +85,12 @@ def streamed(held: DataFrame, passing: DataFrame, on: Sequence[str], begin: Call
 
 
 class Strip:
-    """The ``k`` nearest train rows so far of each held row, for each of ``runs`` splits (``runs`` 0: no splits)."""
+    """The ``k`` nearest train rows so far of each held row, for each of ``runs`` splits (``runs`` 0: no splits).
+
+    A block of held rows has one pool of candidates for all splits: what is among the ``k`` nearest of some split that
+    asks for the row. Once every such split has ``k``, only rows nearer than the pool's last can enter, so of later
+    slabs next to nothing but the product is left. New candidates are sorted in when they outnumber the pool.
+    """
 
     def __init__(self, held: pa.Table, k: int, metric: str, runs: int, names: Sequence[str], brought: Sequence[str], schema: pa.Schema):
         from tonewheel.operators.knn import distances, matrix, unit_rows
@@ -93,10 +99,18 @@ class Strip:
         self.held, self.k, self.metric, self.names, self.brought, self.schema = held, k, metric, list(names), list(brought), schema
         self.splits = runs
         self.q = self._rows(held["_vec"])
-        self.asked = unpacked(matrix_of(held["_bits"]), runs) if runs else np.ones((len(self.q), 1), bool)
-        self.dist = np.full((*self.asked.shape, k), np.inf)
-        self.ref = np.full(self.dist.shape, -1, np.int64)
+        self.asked = unpacked(matrix_of(held["_bits"]), runs) if runs else None
+        self.held = held.select(self.names)
+        starts = range(0, len(self.q), SLAB_TEST)
+        self.pools = [_Pool(np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)) for _ in starts]
+        self.waiting: list[list[_Pool]] = [[] for _ in starts]
+        #: Key and place of the last candidate that can still matter, by held row; infinite while a split lacks rows,
+        #: negative where no split asks.
+        self.limit, self.last = np.full(len(self.q), np.inf), np.full(len(self.q), -1, np.int64)
+        if runs:
+            self.limit[~self.asked.any(1)] = -np.inf
         self.kept: pa.Table | None = None
+        self.member = np.zeros((0, -(-runs // 8)), np.uint8)
 
     def _rows(self, column: pa.ChunkedArray) -> np.ndarray:
         x = self._matrix(column)
@@ -107,71 +121,141 @@ class Strip:
         here = rows.select(["_id", *self.brought])
         base = self.kept.num_rows if self.kept is not None else 0
         table = pa.concat_tables([self.kept, here]) if self.kept is not None else here
-        rank = np.unique(table["_id"].to_numpy(), return_inverse=True)[1]
+        ids = table["_id"].to_numpy()
+        self.rank = ids if np.issubdtype(ids.dtype, np.integer) else np.unique(ids, return_inverse=True)[1]
         t = self._rows(rows["_vec"])
-        member = ~unpacked(matrix_of(rows["_bits"]), self.splits) if self.splits else np.ones((len(t), 1), bool)
+        if self.splits:
+            self.member = np.concatenate([self.member, np.packbits(~unpacked(matrix_of(rows["_bits"]), self.splits), axis=1)])
         for b in range(0, len(t), SLAB_TRAIN):
-            part, inside = t[b: b + SLAB_TRAIN], member[b: b + SLAB_TRAIN]
-            for a in range(0, len(self.q), SLAB_TEST):
-                d = self._distances(self.q[a: a + SLAB_TEST], part, self.metric)
-                self._meet(np.arange(a, a + len(d)), d, inside, base + b, rank)
-        used = np.unique(self.ref)
-        used = used[used >= 0]
-        self.kept = table.take(pa.array(used)).combine_chunks()
-        self.ref = np.where(self.ref >= 0, np.searchsorted(used, self.ref), -1)
-
-    def _meet(self, at: np.ndarray, d: np.ndarray, inside: np.ndarray, base: int, rank: np.ndarray) -> None:
-        """Takes in the nearest columns of each row; rows whose splits hide too many of them are looked at again, wider."""
+            part = t[b: b + SLAB_TRAIN]
+            for block in range(len(self.pools)):
+                a = block * SLAB_TEST
+                self._meet(block, self._distances(self.q[a: a + SLAB_TEST], part, self.metric), base + b)
+        self._forget(table)
+
+    def _forget(self, table: pa.Table) -> None:
+        """Keeps of the train rows only those that are candidates."""
+        pools = [p for block, pool in enumerate(self.pools) for p in (pool, *self.waiting[block])]
+        used = np.unique(np.concatenate([p.ref for p in pools] + [self.last[self.last >= 0]]))
+        for p in pools:
+            p.ref = np.searchsorted(used, p.ref)
+        self.last = np.where(self.last >= 0, np.searchsorted(used, self.last), -1)
+        self.kept, self.rank = table.take(pa.array(used)).combine_chunks(), self.rank[used]
+        self.member = self.member[used] if self.splits else self.member
+
+    def _meet(self, block: int, d: np.ndarray, base: int) -> None:
+        """Takes in the columns within each row's limit; rows without one look at their nearest, then wider."""
         from tonewheel.operators.knn import TIE_DECIMALS
 
-        key, want = np.round(d, TIE_DECIMALS), np.minimum(inside.sum(0), self.k)
-        open_, wide = np.arange(len(at)), self.k if inside.all() else max(4 * self.k, FIRST)
-        while len(open_):
-            wide = min(wide, key.shape[1])
-            limit = np.partition(key[open_], wide - 1, axis=1)[:, wide - 1]
-            r, c = np.nonzero(key[open_] <= limit[:, None])
-            order = np.lexsort((rank[base + c], key[open_[r], c], r))
-            r, c = r[order], c[order]
-            first = np.searchsorted(r, np.arange(len(open_) + 1))
-            again, rows = [], max(1, RANKED // (inside.shape[1] * max(1, int(np.diff(first).max(initial=1)))))
-            for lo in range(0, len(open_), rows):  # ties can make a row long: some rows at a time
-                hi = min(lo + rows, len(open_))
-                some = slice(first[lo], first[hi])
-                own = r[some] - lo
-                mask = inside[c[some]]
-                count = np.cumsum(mask, axis=0, dtype=np.int32)
-                before = np.concatenate([np.zeros((1, mask.shape[1]), np.int32), count])[first[lo:hi] - first[lo]]
-                place = count - before[own]
-                short = ((np.concatenate([np.zeros((1, mask.shape[1]), np.int32), count])[first[lo + 1: hi + 1] - first[lo]] - before) < want).any(1)
-                again.append(open_[lo:hi][short] if wide < key.shape[1] else open_[:0])
-                e, run = np.nonzero(mask & (place <= self.k) & ~(short & (wide < key.shape[1]))[own][:, None])
-                self._merge(at, open_[lo:hi], own[e], run, place[e, run] - 1, d[open_[lo:hi][own[e]], c[some][e]], base + c[some][e], rank)
-            open_ = np.concatenate(again)
-            wide *= 4
-
-    def _merge(self, at, rows, own, run, place, dist, ref, rank) -> None:
+        at = block * SLAB_TEST
+        limit = self.limit[at: at + len(d)]
+        wide = min(max(8 * self.k, 8 * FIRST) if self.splits else self.k, d.shape[1])
+        beyond, open_ = np.full(len(d), -np.inf), np.flatnonzero(np.isposinf(limit))
+        margin = 10.0**-TIE_DECIMALS  # more than rounding moves a distance
+        upto = limit + margin
+        while True:
+            if len(open_):
+                near = np.partition(d[open_], wide - 1, axis=1)[:, wide - 1] if wide < d.shape[1] else np.full(len(open_), np.inf)
+                upto[open_] = near + margin
+            if (beyond == -np.inf).all():
+                r, c = np.nonzero(d <= upto[:, None])
+            else:
+                r, c = np.nonzero((d[open_] <= upto[open_, None]) & (d[open_] > beyond[open_, None]))
+                r = open_[r]
+            dist, ref = d[r, c], base + c
+            key, own, last = np.round(dist, TIE_DECIMALS), self.limit[at + r], self.last[at + r]
+            inside = (key < own) | ((key == own) & (self.rank[ref] < self.rank[last]))
+            self.waiting[block].append(_Pool(r[inside].astype(np.int32), dist[inside], ref[inside]))
+            if len(open_) or sum(len(p.ref) for p in self.waiting[block]) > max(len(self.pools[block].ref), 64 * len(d)):
+                self._settle(block)
+            if not len(open_):
+                return
+            beyond[open_] = upto[open_]
+            open_ = open_[np.isposinf(self.limit[at + open_])]
+            if wide == d.shape[1] or not len(open_):
+                return
+            wide = min(4 * wide, d.shape[1])
+
+    def _settle(self, block: int) -> None:
+        """Sorts what waits into the block's pool, drops what no split needs any more and draws the limits."""
+        pools = [self.pools[block], *self.waiting[block]]
+        self.waiting[block] = []
+        row, dist, ref = (np.concatenate(part) for part in zip(*[(p.row, p.dist, p.ref) for p in pools], strict=True))
+        key = self._key(dist)
+        order = np.lexsort((self.rank[ref], key, row))
+        row, dist, ref, key = row[order], dist[order], ref[order], key[order]
+        at, count = block * SLAB_TEST, min(SLAB_TEST, len(self.q) - block * SLAB_TEST)
+        keep = np.zeros(len(row), bool)
+        for some, rows, used, full in self._chosen(at, row, ref, count):
+            keep[some] = used.any(1)
+            kept = np.flatnonzero(keep[some]) + some.start
+            end = np.searchsorted(row[kept], rows[full], side="right") - 1
+            self.limit[at + rows[full]], self.last[at + rows[full]] = key[kept[end]], ref[kept[end]]
+        self.pools[block] = _Pool(row[keep], dist[keep], ref[keep])
+
+    def _key(self, dist: np.ndarray) -> np.ndarray:
         from tonewheel.operators.knn import TIE_DECIMALS
 
-        shape = (len(rows), self.dist.shape[1], self.k)
-        new_dist, new_ref = np.full(shape, np.inf), np.full(shape, -1, np.int64)
-        new_dist[own, run, place], new_ref[own, run, place] = dist, ref
-        to = at[rows]
-        d = np.concatenate([self.dist[to], new_dist], axis=2)
-        x = np.concatenate([self.ref[to], new_ref], axis=2)
-        order = np.lexsort((np.where(x >= 0, rank[x], len(rank)), np.round(d, TIE_DECIMALS)), axis=-1)[..., : self.k]
-        self.dist[to], self.ref[to] = np.take_along_axis(d, order, 2), np.take_along_axis(x, order, 2)
+        return np.round(dist, TIE_DECIMALS)
+
+    def _chosen(self, at: int, row: np.ndarray, ref: np.ndarray, count: int) -> Iterator[tuple]:
+        """Some sorted candidates at a time: their slice, their held rows, ``[candidates, splits]`` true where one is
+        among the ``k`` nearest, and for which of the held rows each split that asks has ``k``."""
+        first = np.searchsorted(row, np.arange(count + 1))
+        step = max(1, RANKED // max(1, self.splits))
+        lo = 0
+        while lo < count:
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + step, side="right")) - 1)
+            some, rows = slice(int(first[lo]), int(first[hi])), np.arange(lo, hi)
+            place = np.arange(some.stop - some.start) - (first[row[some]] - some.start)
+            if not self.splits:
+                yield some, rows, (place < self.k)[:, None], first[lo + 1: hi + 1] - first[lo:hi] >= self.k
+            else:
+                asked = self.asked[at + lo: at + hi]
+                mask = np.unpackbits(self.member[ref[some]], axis=1, count=self.splits).view(bool) & asked[row[some] - lo]
+                length, start = np.diff(first[lo: hi + 1]), first[lo:hi] - first[lo]
+                have = np.zeros((hi - lo, self.splits), np.uint8 if self.k < 256 else np.int64)
+                by_length = np.argsort(-length, kind="stable")
+                longer = np.searchsorted(-length[by_length], -np.arange(length.max(initial=0)), side="left")
+                for place, n in enumerate(longer):  # the next candidate of each row that has one
+                    of = by_length[:n]
+                    taken = mask[start[of] + place] & (have[of] < self.k)
+                    mask[start[of] + place] = taken
+                    have[of] += taken
+                full = (~asked | (have >= self.k)).all(1) & (length > 0)
+                yield some, rows, mask, full
+            lo = hi
 
     def hits(self) -> Iterator[pa.RecordBatch]:
-        rows, run, rank = np.nonzero((self.ref >= 0) & self.asked[:, :, None])
+        for block in range(len(self.pools)):
+            self._settle(block)
+            pool, at = self.pools[block], block * SLAB_TEST
+            for some, _, used, _ in self._chosen(at, pool.row, pool.ref, min(SLAB_TEST, len(self.q) - at)):
+                run, entry = np.nonzero(used.T)  # by split, then by row, nearest first
+                held = pool.row[some][entry]
+                new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (held[1:] != held[:-1])])) if len(run) else run
+                place = np.arange(len(run)) - np.repeat(new, np.diff(np.append(new, len(run))))
+                yield from self._named(at + held, run, place, pool.dist[some][entry], pool.ref[some][entry])
+
+    def _named(self, rows: np.ndarray, run: np.ndarray, place: np.ndarray, dist: np.ndarray, ref: np.ndarray) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(rows), 1 << 16):
-            r, s, p = (v[start: start + (1 << 16)] for v in (rows, run, rank))
-            near = self.kept.take(pa.array(self.ref[r, s, p]))
-            columns = {n: c for n, c in zip(self.names, self.held.select(self.names).take(pa.array(r)).columns, strict=True)}
-            columns |= {"run": pa.array(s.astype(np.int32)), "rank": pa.array((p + 1).astype(np.int32)), "dist": pa.array(self.dist[r, s, p])}
+            r, s, p, d, x = (v[start: start + (1 << 16)] for v in (rows, run, place, dist, ref))
+            near = self.kept.take(pa.array(x))
+            columns = {n: c for n, c in zip(self.names, self.held.take(pa.array(r)).columns, strict=True)}
+            columns |= {"run": pa.array(s.astype(np.int32)), "rank": pa.array((p + 1).astype(np.int32)), "dist": pa.array(d)}
             columns |= {"neighbour": near["_id"]} | {n: near[n] for n in self.brought}
             yield from pa.table({n: columns[n] for n in self.schema.names}).combine_chunks().to_batches()
 
 
+@dataclass
+class _Pool:
+    """Candidates of a block: the held row inside the block, the distance and the train row's place in the table kept."""
+
+    row: np.ndarray
+    dist: np.ndarray
+    ref: np.ndarray
+
+
 def matrix_of(column: pa.ChunkedArray) -> np.ndarray:
     """Equally long lists of longs as a matrix."""
     flat = column.combine_chunks()
