@@ -125,3 +125,20 @@ def test_a_pool_serves_all_splits():
     want = {(i, run, r + 1, int(j)) for run in range(180) for i in np.flatnonzero(flags[:50, run])
             for r, j in enumerate(np.flatnonzero(~flags[:, run])[np.argsort(d[i][~flags[:, run]], kind="stable")][:5])}
     assert {(r["_id"], r["run"], r["rank"], r["neighbour"]) for r in got} == want
+
+
+@pytest.mark.parametrize(("metric", "times"), [("cosine", 1.3), ("euclidean", 2.3)])
+def test_memory_of_a_product(metric, times):
+    """Distances are worked out in place, and a strip keeps its vectors once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(7).normal(size=(512, 8))
+    tracemalloc.start()
+    d = knn.distances(x, x, metric)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < times * d.nbytes
+    table = pa.table({"_id": np.arange(512), "_vec": pa.array(x.tolist())})
+    assert strips.Strip(table, 3, metric, 0, ["_id"], [], pa.schema([])).held.column_names == ["_id"]

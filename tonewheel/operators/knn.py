@@ -23,7 +23,8 @@ from tonewheel.session import settle
 BLOCK_ROWS = 8192
 MIN_CELL_WORK = 4096
 BROADCAST_GROUPS = 100_000
-SLAB = 1024
+#: Test rows of one product in a cell, and its entries: a worker's memory doesn't grow with the cell.
+SLAB, CELL = 1024, 1 << 20
 TIE_DECIMALS = 9
 
 
@@ -160,8 +161,9 @@ def knn_join(
         a = a.set_column(a.column_names.index("_row"), "_row", pa.array(np.arange(a.num_rows, dtype=np.int64)))
         ids = b["_id"].to_numpy()
         parts = []
-        for start in range(0, len(q), SLAB):
-            d = distances(q[start : start + SLAB], t, metric)
+        slab = max(1, min(SLAB, CELL // len(t)))
+        for start in range(0, len(q), slab):
+            d = distances(q[start : start + slab], t, metric)
             rows, cols, rank = best_k(d, ids, k)
             parts.append((rows + start, cols, rank, d[rows, cols]))
         rows, cols, rank, d = (np.concatenate(p) for p in zip(*parts))
