@@ -310,3 +310,16 @@ def test_fused_domains_keep_every_vector(spark):
     got = anomaly.score(meta, vec, domains="min", normalise=False)
     assert got.count() == 3 and "_vector" not in got.columns
     assert all(abs(r.score - min(r.score_sou, r.score_tar)) < 1e-12 for r in got.collect())
+
+
+def test_discovery_resolves_links_of_reached_pages_only(spark, monkeypatch):
+    """Pages out of reach cost no links; long frontiers, which are not broadcast, find the same."""
+    rows = [(f"http://h/{i}", f'<a href="http://h/{i * 2}">x</a><a href="/{i}.zip">z</a>') for i in range(1, 65)]
+    pages, wrote, real = spark.createDataFrame(rows, "url string, html string"), [], links.settle
+    monkeypatch.setattr(links, "settle", lambda df: wrote.append(df.count() if "link" in df.columns else 0) or real(df))
+    for listed in (200_000, 0):
+        monkeypatch.setattr(links, "LISTED", listed, raising=False)
+        found = links.discover(pages, pages.where("url = 'http://h/3'"), "http://h/")
+        assert {r.link for r in found.collect()} == {f"http://h/{i}.zip" for i in (3, 6, 12, 24, 48)}
+        assert sum(wrote) == 10
+        wrote.clear()

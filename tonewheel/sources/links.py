@@ -11,6 +11,8 @@ from tonewheel.functions.arrays import let
 from tonewheel.functions.tables import ARCHIVE_SUFFIXES
 from tonewheel.session import settle, shared_folder
 
+#: Addresses that are broadcast to the pages at most.
+LISTED = 200_000
 ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
 
 
@@ -70,15 +72,20 @@ def is_below(url: Column, base: str | Column) -> Column:
     return F.startswith(url, base) & ~is_archive(url)
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(page, link)`` for every anchor, absolute, one row per distinct pair."""
+def _links_of(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """``(page, link)`` for every anchor, absolute, as often as it is there."""
     found = pages.select(
         F.col(url).alias("page"),
         page_facts(F.col(url)).alias("_p"),
         F.explode(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))).alias("href"),
     )
     link = let(F.trim(F.replace("href", F.lit("&amp;"), F.lit("&"))), lambda h: absolute(F.col("_p"), h))
-    return found.select("page", link.alias("link")).distinct()
+    return found.select("page", link.alias("link"))
+
+
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(page, link)`` for every anchor, absolute, one row per distinct pair."""
+    return _links_of(pages, url, html).distinct()
 
 
 def kept_links(links: DataFrame, base: str | None = None) -> DataFrame:
@@ -91,15 +98,14 @@ def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", h
     """Archives reachable from ``starts`` over stored pages below ``base``: ``(link)``.
 
     One join per link distance; each round follows only pages not seen before and writes only those, as one more
-    partition of the table of pages seen, so what is written grows with the pages and not with the rounds. Pages count
+    partition of the table of pages seen, so what is written grows with the pages and not with the rounds. Links are
+    resolved when their page is reached, so once for each page and never for pages out of reach. Pages count
     as the same with and without a closing slash.
     """
     def bare(c: str) -> Column:
         return F.regexp_replace(c, "/+$", "")
 
-    # written once before filtering: a filter pushed below would resolve every link again for each test
-    found = settle(page_links(pages, url, html))
-    edges = settle(kept_links(found, base).select(bare("page").alias("at"), "link", "archive").distinct())
+    at = pages.select(bare(url).alias("at"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     spark, seen = pages.sparkSession, f"{shared_folder(pages.sparkSession)}/{uuid.uuid4().hex}"
 
     def written(rows: DataFrame, number: int) -> DataFrame:
@@ -107,11 +113,16 @@ def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", h
         return spark.read.schema("at string").parquet(f"{seen}/round={number}")
 
     frontier, files, number = written(starts.select(bare(url).alias("at")).distinct(), 0), None, 0
-    while not frontier.isEmpty():
-        step = edges.join(frontier, "at", "left_semi")
+    while count := frontier.limit(LISTED + 1).count():
+        # the frontier holds an address once; the pages are not shuffled while it is short
+        reached = at.join(F.broadcast(frontier) if count <= LISTED else frontier, "at", "left_semi")
+        # written first: the filter that comes with explode would be pushed below the join and read links of all pages
+        reached = settle(reached.select("_url", "_html"))
+        # written before filtering: a filter pushed below would resolve every link again for each test
+        step = kept_links(settle(_links_of(reached, "_url", "_html").select("link")), base)
         found = step.where("archive").select("link")
         files = found if files is None else files.unionByName(found)
         onward = step.where(~F.col("archive")).select(bare("link").alias("at")).distinct()
         visited, number = spark.read.schema("at string, round int").parquet(seen), number + 1
         frontier = written(onward.join(visited, "at", "left_anti"), number)
-    return files.distinct() if files is not None else edges.where("false").select("link")
+    return files.distinct() if files is not None else spark.createDataFrame([], "link string")
