@@ -105,7 +105,8 @@ def discover(pages: DataFrame, starts: DataFrame, base: str, url: str = "url", h
     def bare(c: str) -> Column:
         return F.regexp_replace(c, "/+$", "")
 
-    at = pages.select(bare(url).alias("at"), F.col(url).alias("_url"), F.col(html).alias("_html"))
+    # written once: pages made by expressions would be made again in each round
+    at = settle(pages.select(bare(url).alias("at"), F.col(url).alias("_url"), F.col(html).alias("_html")))
     spark, seen = pages.sparkSession, f"{shared_folder(pages.sparkSession)}/{uuid.uuid4().hex}"
 
     def written(rows: DataFrame, number: int) -> DataFrame:
