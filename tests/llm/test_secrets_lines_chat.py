@@ -124,3 +124,15 @@ def test_snapshots_collapse(spark):
     assert set(got) == {3, 5, 6} and got[3].n_same == 2
     assert got[3].rendered == "<|user|>\nhi\n<|assistant|>\nyes\n<|user|>\n"
     assert chat_collapse.rendered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_passages_are_shuffled_by_their_places(spark):
+    """What meets by digest and by text is of fixed size: no run carries the places of its units."""
+    docs = spark.createDataFrame([(k, f"Own {k}.\nWe like it here. You may stay. Come in now.") for k in range(3)], "doc_id long, text string")
+    found = line_dedup.runs(docs)
+    assert {k for k, t in found.dtypes if t.startswith("array")} == {"starts", "ends"}
+    assert found.filter("d1 is not null and (starts is not null or ends is not null)").count() == 0
+    assert found.filter("d1 is null").count() == 3
+    got = line_dedup.passages(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and {(r.doc_id, r.first_doc_id, r.n_places) for r in got.collect()} == {(1, 0, 3), (2, 0, 3)}

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.session import settle
@@ -18,7 +18,8 @@ from tonewheel.session import settle
 #: Units of fewer words go only within a repeated run of so many: short sentences agree by chance.
 LEAST_WORDS = 8
 #: A digest with over this share of all units (and so many places) is joined back by broadcast: at most 1 / share can be.
-HOT_SHARE, HOT_PLACES = 1e-5, 1_000
+#: One row in HOT_PART, drawn by hash, tells which they are.
+HOT_SHARE, HOT_PLACES, HOT_PART = 1e-5, 1_000, 32
 # A unit ends at a line's end, or after the sign that ends a sentence.
 UNIT = re.compile(r"[^\n]+?(?:(?<=[.!?])(?=[^\S\n])|(?=\n)|\Z)")
 
@@ -65,35 +66,41 @@ def units(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``d1, d2, row, doc_id, nth, own_end, starts, ends``: the shortest runs of adjacent units with so many words.
+    """``d1, d2, row, doc_id, nth, own, lo, hi``: the shortest runs of adjacent units with so many words.
 
     Of every unit, the run that begins with it and the run that ends with it; a unit with words enough is one by itself.
     These runs cover each longer run: a unit of it either begins or ends one that lies within. Runs go over line ends,
-    and units without words are in none. ``own_end`` is the end of the first equal run in the same text.
+    and units without words are in none. A run is units ``lo`` to ``hi`` (exclusive) of its text; ``own`` is where the
+    first equal run in the same text ends. One more row a text, without a digest, has its units' ``starts`` and ``ends``,
+    so that no run carries them.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*(pa.int64(),) * 4, *(pa.int32(),) * 4, pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
             out: list[tuple] = []
             for row, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = []
+                parts, starts, ends = [], [], []
                 for m in UNIT.finditer(text or ""):
                     words = m[0].lower().split()
                     if words:
-                        parts.append((words, m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
+                        parts.append(words)
+                        starts.append(m.start() + len(m[0]) - len(m[0].lstrip()))
+                        ends.append(m.end())
                 seen: dict[tuple[int, int], tuple[int, int]] = {}
-                for i, j in shortest([len(p[0]) for p in parts], least_words):
-                    digest = _digest(" ".join(w for p in parts[i:j] for w in p[0]))
-                    nth, own_end = seen.get(digest, (0, parts[j - 1][2]))
-                    seen[digest] = (nth + 1, own_end)
-                    out.append((*digest, row, doc, nth, own_end, [p[1] for p in parts[i:j]], [p[2] for p in parts[i:j]]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                for i, j in shortest([len(p) for p in parts], least_words):
+                    digest = _digest(" ".join(w for p in parts[i:j] for w in p))
+                    nth, own = seen.get(digest, (0, j))
+                    seen[digest] = (nth + 1, own)
+                    out.append((*digest, row, doc, nth, own, i, j, None, None))
+                if seen:
+                    out.append((None, None, row, doc, None, None, None, None, starts, ends))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                  names=[*DIGEST, "row", "doc_id", "nth", "own_end", "starts", "ends"])
+                                  names=[*DIGEST, "row", "doc_id", "nth", "own", "lo", "hi", "starts", "ends"])
 
     rows = docs.filter("doc_id is not null").select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "d1 long, d2 long, row long, doc_id long, nth int, own_end int, starts array<int>, ends array<int>")
+    return rows.mapInArrow(run, "d1 long, d2 long, row long, doc_id long, nth int, own int, lo int, hi int, starts array<int>, ends array<int>")
 
 
 def shortest(counts: list[int], least: int) -> list[tuple[int, int]]:
@@ -117,8 +124,8 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Null and blank texts have no units; rows with a null doc_id have no rank and are left alone; rows that repeat a
     doc_id are one document, whose first places stay in each of them. Other columns are not read; no rows give no rows.
 
-    Digests are folded to one row before they are joined back. A line that a third of all texts has is not shuffled:
-    the digests over ``HOT_SHARE`` of all units number 100,000 at most, a few megabytes, and go to where the units are.
+    Units are shuffled once, by digest. A line that a third of all texts has is not: the digests over ``HOT_SHARE`` of
+    all units number 100,000 at most, a few megabytes, and go to where the units are.
     """
     joined = _later(settle(units(docs, least_words)))
     return joined.select("doc_id", "start", "end", "first_doc_id", "n_places")
@@ -132,23 +139,28 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     run with the earliest first document (then the most places). Where equal runs of the first document overlap, the
     first of them stays whole.
     """
-    part = F.explode(F.arrays_zip("starts", "ends")).alias("part")
-    each = _later(settle(runs(docs, least_words))).select("row", "doc_id", "own_end", "first_doc_id", "n_places", part).filter(
-        "doc_id <> first_doc_id or part.starts >= own_end")
+    found = settle(runs(docs, least_words))
+    begin = F.when(F.col("doc_id") == F.col("first_doc_id"), F.greatest("lo", "own")).otherwise(F.col("lo"))
+    # a text's runs meet as runs; they are cut into units where they have met
+    each = _later(found.filter("d1 is not null").drop("starts", "ends")).select(
+        "row", "doc_id", begin.alias("lo"), "hi", "first_doc_id", "n_places").filter("lo < hi").repartition("row")
     least = F.min(F.struct("first_doc_id", (-F.col("n_places")).alias("less"))).alias("m")
-    # start and end as one number keep the rows of this shuffle small
-    place = F.shiftleft(F.col("part.starts").cast("long"), 32).bitwiseOR(F.col("part.ends").cast("long"))
-    units_of = each.groupBy("row", "doc_id", place.alias("place")).agg(least)
-    start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    return units_of.select("doc_id", start.alias("start"), end.alias("end"), F.col("m.first_doc_id").alias("first_doc_id"), (-F.col("m.less")).alias("n_places"))
+    units_of = each.withColumn("unit", F.explode(F.sequence("lo", F.col("hi") - 1))).groupBy("row", "doc_id", "unit").agg(least)
+    places = found.filter("starts is not null").select("row", "starts", "ends")
+    start, end = (F.element_at(c, F.col("unit") + 1).alias(c[:-1]) for c in ("starts", "ends"))
+    return units_of.join(places, "row").select("doc_id", start, end, F.col("m.first_doc_id").alias("first_doc_id"), (-F.col("m.less")).alias("n_places"))
 
 
 def _later(found: DataFrame) -> DataFrame:
-    """The rows of ``found`` whose digest has an earlier place, with ``first_doc_id`` and ``n_places``."""
-    first = settle(
-        found.groupBy(*DIGEST).agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_places")).filter("n_places > 1"))
-    hot = F.col("n_places") > max(HOT_PLACES, int(found.count() * HOT_SHARE))
-    often = F.broadcast(first.filter(hot))
-    rest = found.join(often.select(*DIGEST), DIGEST, "left_anti")
-    joined = found.join(often, DIGEST).unionByName(rest.join(first.filter(~hot), DIGEST))
-    return joined.filter("doc_id <> first_doc_id or nth > 0")
+    """The rows of ``found`` whose digest has an earlier place, with ``first_doc_id`` and ``n_places``.
+
+    Which digests are frequent is told from a part of the rows; that decides how a digest's rows meet, never what comes
+    out. Frequent ones are counted in full and broadcast, the rows of all others meet in one shuffle.
+    """
+    some = found.filter(F.pmod(F.xxhash64(*found.columns), F.lit(HOT_PART)) == 0).groupBy(*DIGEST).count()
+    hot = settle(some.filter(F.col("count") * HOT_PART > max(HOT_PLACES, int(found.count() * HOT_SHARE))).select(*DIGEST))
+    first, places = F.min("doc_id"), F.count(F.lit(1))
+    often = settle(found.join(F.broadcast(hot), DIGEST, "left_semi").groupBy(*DIGEST).agg(first.alias("first_doc_id"), places.alias("n_places")))
+    same = Window.partitionBy(*DIGEST)
+    rest = found.join(F.broadcast(hot), DIGEST, "left_anti").withColumn("first_doc_id", first.over(same)).withColumn("n_places", places.over(same))
+    return found.join(F.broadcast(often), DIGEST).unionByName(rest).filter("doc_id <> first_doc_id or nth > 0")
