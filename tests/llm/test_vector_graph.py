@@ -1,5 +1,6 @@
 import numpy as np
 
+from tonewheel.llm import vector_graph
 from tonewheel.llm.vector_graph import audit, near_links
 
 
@@ -61,3 +62,19 @@ def test_many_groups_of_near_copies(spark):
     want = brute([(i, [float(np.float32(c)) for c in v], lab) for i, v, lab in rows])
     assert sum(w[0] for w in want.values()) > 500_000
     assert {r[0]: tuple(r)[1:] for r in near_links(table).collect()} == want
+
+
+def test_only_possible_links_are_searched_for():
+    """Far vectors cost no search of the graph; each near pair does, wherever it lies."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 32))
+    x[300:310] = x[:10] + draw.normal(size=(10, 32)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    met = vector_graph.may_meet(x, x, np.arange(400), 0.98)
+    assert set(np.flatnonzero(met)) >= {*range(10), *range(300, 310)} and met.sum() < 40
+    assert vector_graph.may_meet(x, x[:5], np.full(5, -1), 0.98).all()
+    centres = x[:60]
+    near = x @ centres.T
+    beyond = vector_graph.farthest_planes(near, np.argsort(-near, axis=1), centres @ centres.T)
+    home, angle = near.argmax(axis=1), np.arccos(np.clip(x @ x.T, -1, 1))
+    assert (np.arcsin(np.clip(beyond, -1, 1))[:, home] <= angle + 1e-7).all() and (beyond > 0).mean() > 0.5

@@ -22,6 +22,8 @@ OVERLAP = 2
 DEGREE, ALPHA, BEAM = 24, 1.2, 32
 #: Queries of one search task, about: more that look into a shard are dealt to several tasks, each with the whole shard.
 ASKED_ROWS = 8_192
+#: Queries whose bounds are taken in one product, and nearest centres that a cell's planes are joined from.
+BOUND_ROWS, PLANES = 256, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -146,6 +148,29 @@ def range_search(
     return nodes[scores >= least - 1e-9]
 
 
+def may_meet(x: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Of each query, whether any of the nodes ``x`` but its ``own`` (-1: it is none of them) can have cosine >= least with it.
+
+    Nodes and queries are turned to the nodes' principal axes. On the first half of them a cosine is what the parts make,
+    beyond them it is the product of the rests' lengths at most. A query that no node's bound lets in has no link here,
+    and so no search; whatever is let in is searched for in the graph.
+    """
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : (x.shape[1] + 1) // 2]
+
+    def turned(rows: np.ndarray) -> np.ndarray:
+        part = rows @ axes
+        rest = np.sqrt(np.maximum((rows * rows).sum(axis=1) - (part * part).sum(axis=1), 0))
+        return np.column_stack([part, rest]).astype(np.float32)
+
+    nodes, met = turned(x).T.copy(), np.zeros(len(queries), dtype=bool)
+    for at in range(0, len(queries), BOUND_ROWS):
+        # single precision errs by far less than the room left here
+        bounds, mine = turned(queries[at: at + BOUND_ROWS]) @ nodes, own[at: at + BOUND_ROWS]
+        bounds[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -1
+        met[at: at + BOUND_ROWS] = bounds.max(axis=1) >= least - 1e-4
+    return met
+
+
 def _reach(least: float) -> float:
     """The angle of a range, with some room for rounding."""
     return math.acos(max(min(least, 1.0), -1.0)) + 1e-6
@@ -166,11 +191,31 @@ def _centres(rows: DataFrame) -> dict[int, np.ndarray]:
     return {int(label): x[labels == label] for label in np.unique(labels)}
 
 
+def farthest_planes(near: np.ndarray, order: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """How far away, at least, every cluster is from each vector: the sine of the angle to the farthest plane before it.
+
+    ``near`` are cosines of vectors with centres, ``order`` the centres from near to far, ``between`` their own cosines.
+    The mean of the nearest t centres less a cluster's own centre is the normal of a plane with the cluster behind it.
+    """
+    beyond = np.zeros(near.shape)
+    cosines, length = np.zeros(near.shape), np.zeros(len(near))
+    total = np.zeros((len(near), 1))
+    for t in range(min(PLANES, near.shape[1])):
+        one = order[:, t]
+        length += 2 * cosines[np.arange(len(one)), one] + between[one, one]
+        cosines += between[one]
+        total += np.take_along_axis(near, one[:, None], axis=1)
+        apart = np.sqrt(np.maximum(length[:, None] / (t + 1) ** 2 - 2 * cosines / (t + 1) + np.diag(between), 0))
+        beyond = np.maximum(beyond, np.where(apart < 1e-6, 0, (total / (t + 1) - near) / np.maximum(apart, 1e-6)))
+    return beyond
+
+
 def _placed(rows: DataFrame, centres: dict[int, np.ndarray], least: float) -> DataFrame:
     """A row per vector and cluster that indexes it (the first is its own) or that it looks into.
 
-    It looks into a cluster unless the plane between that centre and its own is farther away than its range reaches:
-    beyond the plane, and so in that cluster, there is nothing for it.
+    It looks into a cluster unless a plane that has the whole cluster behind it is farther away than its range reaches.
+    Such a plane lies between the cluster's centre and the vector's own; and as a cluster's vectors are nearer to their
+    centre than to any others, also between that centre and the mean of the vector's nearest few.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +228,8 @@ def _placed(rows: DataFrame, centres: dict[int, np.ndarray], least: float) -> Da
                     near = x[at] @ own.T
                     order = np.argsort(-near, axis=1, kind="stable")
                     rank = np.argsort(order, axis=1, kind="stable")
-                    apart = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))[order[:, 0]]
-                    plane = np.arcsin(np.clip((near.max(axis=1, keepdims=True) - near) / np.maximum(apart, 1e-6), -1, 1))
-                    wanted = (rank < OVERLAP) | (apart < 1e-6) | (plane <= _reach(least))
+                    beyond = farthest_planes(near, order, own @ own.T)
+                    wanted = (rank < OVERLAP) | (np.arcsin(np.clip(beyond, -1, 1)) <= _reach(least))
                     out += [(ids[at[r]], int(label), int(c), rank[r, c] == 0, rank[r, c] < OVERLAP) for r, c in zip(*np.nonzero(wanted), strict=True)]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
             yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["vec_id", "label", "cluster", "own", "member"])
@@ -203,8 +247,9 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     Shards are clusters with overlap, each of bounded size (a crowded cluster is cut by hash and all its parts are
     looked into). Neighbour lists of all shards are united in one table; a search task holds its shard's nodes and the
-    neighbours that other shards gave them. What a search's edges don't lead to is compared if it can be in range, so all
-    links are found. A hit counts only in the shard that owns it, so counts add up, and each task
+    neighbours that other shards gave them. Queries that no node of a shard can be in range of are told at once by bounds
+    on half the axes and not searched for there. What a search's edges don't lead to is compared if it can be in range,
+    so all links are found. A hit counts only in the shard that owns it, so counts add up, and each task
     hands on one link per node it joins, never its pairs.
     """
     rows = settle(usable(vectors).select("vec_id", F.col("label").cast("int").alias("label"), "embedding"))
@@ -249,9 +294,13 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         base = np.flatnonzero(member)
         held_x = x[base]
         place = {int(i): k for k, i in enumerate(ids[base])}
-        near = table.column("near").to_pylist()
-        lists = [np.array([place[n] for n in (near[k] or []) if n in place], dtype=np.int64) for k in base]
-        entries = landmarks(held_x, lists) if len(base) else None
+        asking = np.flatnonzero(asks) if len(base) else base
+        if len(asking):
+            at = np.array([place.get(i, -1) for i in ids[asking].tolist()], dtype=np.int64)
+            asking = asking[may_meet(held_x, x[asking], at, least)]
+        near = table.column("near").to_pylist() if len(asking) else []
+        lists = [np.array([place[n] for n in (near[k] or []) if n in place], dtype=np.int64) for k in base] if len(asking) else []
+        entries = landmarks(held_x, lists) if len(asking) else None
         parent = list(range(len(ids)))
 
         def root(k: int) -> int:
@@ -261,7 +310,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             return k
 
         out = {"vec_id": [], "hits": [], "other": []}
-        for q in np.flatnonzero(asks) if len(base) else []:
+        for q in asking:
             found = base[range_search(held_x, lists, entries, place.get(int(ids[q])), x[q], least)]
             found = found[(found != q) & ((x[found] * x[q]).sum(axis=1) >= least)]
             for k in found.tolist():
