@@ -151,11 +151,11 @@ def range_search(
 def may_meet(x: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
     """Of each query, whether any of the nodes ``x`` but its ``own`` (-1: it is none of them) can have cosine >= least with it.
 
-    Nodes and queries are turned to the nodes' principal axes. On the first half of them a cosine is what the parts make,
+    Nodes and queries are turned to the nodes' principal axes. On the first three quarters of them a cosine is what the parts make,
     beyond them it is the product of the rests' lengths at most. A query that no node's bound lets in has no link here,
     and so no search; whatever is let in is searched for in the graph.
     """
-    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : (x.shape[1] + 1) // 2]
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : -(-3 * x.shape[1] // 4)]
 
     def turned(rows: np.ndarray) -> np.ndarray:
         part = rows @ axes
@@ -248,7 +248,7 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     Shards are clusters with overlap, each of bounded size (a crowded cluster is cut by hash and all its parts are
     looked into). Neighbour lists of all shards are united in one table; a search task holds its shard's nodes and the
     neighbours that other shards gave them. Queries that no node of a shard can be in range of are told at once by bounds
-    on half the axes and not searched for there. What a search's edges don't lead to is compared if it can be in range,
+    on most of the axes and not searched for there. What a search's edges don't lead to is compared if it can be in range,
     so all links are found. A hit counts only in the shard that owns it, so counts add up, and each task
     hands on one link per node it joins, never its pairs.
     """
@@ -295,9 +295,12 @@ def near_links(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         held_x = x[base]
         place = {int(i): k for k, i in enumerate(ids[base])}
         asking = np.flatnonzero(asks) if len(base) else base
-        if len(asking):
-            at = np.array([place.get(i, -1) for i in ids[asking].tolist()], dtype=np.int64)
-            asking = asking[may_meet(held_x, x[asking], at, least)]
+        mine = base[own[base]]
+        if len(asking) and len(mine):  # a link is found where its other end is owned, so others' nodes call for no search
+            at = {i: k for k, i in enumerate(ids[mine].tolist())}
+            asking = asking[may_meet(x[mine], x[asking], np.array([at.get(i, -1) for i in ids[asking].tolist()], dtype=np.int64), least)]
+        else:
+            asking = asking[:0]
         near = table.column("near").to_pylist() if len(asking) else []
         lists = [np.array([place[n] for n in (near[k] or []) if n in place], dtype=np.int64) for k in base] if len(asking) else []
         entries = landmarks(held_x, lists) if len(asking) else None
