@@ -79,3 +79,22 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert got == {1: (299_997, 1), 2: (299_998, 1), 3: (got[3][0], 3)}
+
+
+def test_what_shares_one_key_or_is_unlike_in_size_is_not_compared(spark, monkeypatch):
+    asked, possible = [], ngram_join._possible
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return possible(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_possible", counted)
+    rows = []
+    for k in range(300):  # two texts with one shingle in common, which is a key of both in some of them
+        rows += [(2 * k + side, f"p{k} q{k} r{k} s{k} " + " ".join(f"{side}x{k}y{w}" for w in range(8))) for side in (0, 1)]
+    assert {r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(600))
+    assert asked == [0, 0]
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words), (2, words + " more"), (3, " ".join([words] + [f"v{k}" for k in range(90)]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and asked[2:] == [1, 0]

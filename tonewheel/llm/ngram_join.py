@@ -1,8 +1,8 @@
 """N-gram Jaccard join: size-banded tiles with bitmap signatures, then exact intersection of sorted arrays.
 
 Two texts link when ``100 * |A & B| >= percent * |A | B|`` for their sets of word shingles. Every link lies in a tile
-that both texts are in, because two such sets share one of the first ``n - ceil(t * n) + 1`` shingles of any common
-order. The order used takes very frequent shingles last, by counts over all texts, so a passage that a third of all
+that both texts are in, because two such sets share two of the first ``n - ceil(t * n) + 2`` shingles of any common
+order (for ``t`` up to a half: one of one less). The order used takes very frequent shingles last, by counts over all texts, so a passage that a third of all
 texts carries makes no tile.
 """
 
@@ -73,8 +73,13 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared_keys(percent: int) -> int:
+    """Keys that unlike sets share if they link. With one shingle in common they are half alike at most; few share two by chance."""
+    return 2 if percent > 50 else 1
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + shared_keys(percent))
 
 
 def _bucket_counts(held: list[np.ndarray], buckets: int) -> np.ndarray:
@@ -148,6 +153,31 @@ def _postings(rows: DataFrame, size: int, percent: int, levels: np.ndarray) -> D
     return rows.mapInArrow(frugal(run), "key long, short long, n int")
 
 
+def _shared(posted: DataFrame, percent: int) -> DataFrame:
+    """``key, short, n, rows, lo, hi``: postings with another class of like size at their key, once per class.
+
+    A key's classes in order of size are cut where one is too small to link with the next: nothing links across such a
+    gap, so each part is a key of its own, and a class alone in its part has no row. ``rows`` counts the part's classes,
+    ``lo`` and ``hi`` are those of least and greatest digest (``short``, ``n``). Postings are shuffled once, by key.
+    """
+    by_size = Window.partitionBy("key").orderBy("n", "short")
+    before = posted.withColumn("last", F.lag("short").over(by_size)).withColumn("less", F.lag("n").over(by_size))
+    once = before.filter("last is null or last <> short or less <> n")
+    less, more = F.lag("n").over(by_size), F.lead("n").over(by_size)
+
+    def alike(small, large):
+        return F.coalesce(100 * small.cast("long") >= percent * large.cast("long"), F.lit(False))
+
+    sided = once.select("key", "short", "n", alike(less, F.col("n")).alias("down"), alike(F.col("n"), more).alias("up")).filter("down or up")
+    gaps = F.sum(F.when(F.col("down"), 0).otherwise(1)).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    part = Window.partitionBy("key", "part")
+    entry = F.struct("short", "n")
+    return sided.withColumn("part", gaps).select(
+        F.xxhash64("key", "part").alias("key"), "short", "n", F.count(F.lit(1)).over(part).alias("rows"),
+        F.min(entry).over(part).alias("lo"), F.max(entry).over(part).alias("hi"),
+    )
+
+
 def _levels(sketch: DataFrame, buckets: int, mean: float) -> np.ndarray:
     """Per bucket: 0, or how many doublings its count lies above four times the mean. One byte each, bounded."""
     counts = np.zeros(buckets, dtype=np.float64)
@@ -196,7 +226,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     held = docs.join(maybe_broadcast(nodes.select(F.col("doc").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
     made = held.mapInArrow(frugal(run), "doc long, cls binary, hashes binary")
     # a document's id may come with several texts, and a text with an id several times
-    return settle(made.join(nodes.select("rep", "doc", "cls"), ["doc", "cls"]).select("rep", "hashes").dropDuplicates(["rep"]))
+    return made.join(maybe_broadcast(nodes.select("rep", "doc", "cls")), ["doc", "cls"]).select("rep", "hashes").dropDuplicates(["rep"])
 
 
 def _links(sets: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -291,7 +321,7 @@ def _open_pairs(n, signatures, left, one, percent, apart=None) -> tuple[np.ndarr
     return np.concatenate(x), np.concatenate(y)
 
 
-def _family_links(members: DataFrame, percent: int) -> DataFrame:
+def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links within families, compared cell by cell; a cell hands on a spanning forest, never its pairs."""
     def run(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
@@ -301,7 +331,8 @@ def _family_links(members: DataFrame, percent: int) -> DataFrame:
         out = _links(sets, _open_pairs(n, table.column("bits").to_pylist(), left, one, percent), percent)
         return pa.table({c: pa.array([rep[o[k]] for o in out], type=pa.int64()) for k, c in enumerate("ab")})
 
-    cells = _cells(members, "family", percent)
+    # rows are dealt to cells before they get their bitmaps and sets
+    cells = _cells(members.select("family", "rep", "n"), "family", percent).join(members.select("rep", "bits").join(sets, "rep"), "rep")
     return settle(cells.groupBy("family", "b1", "t1", "b2", "t2").applyInArrow(run, "a long, b long"))
 
 
@@ -330,24 +361,22 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
                 keep = [bool(_links([x, y], (np.array([0]), np.array([1])), percent)) for x, y in zip(*sides, strict=True)]
                 yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    labelled = settle(
-        shared.join(nodes.select("short", "rep"), "short").join(families, "rep", "left")
-        .select("key", "rep", F.col("n").cast("long").alias("n"), F.coalesce("family", "rep").alias("family"))
-    )
-    # of up to three texts every pair holds the least or the greatest digest, and so has been compared
-    mixed_keys = (
-        labelled.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("rows"))
-        .filter("lo < hi and rows > 3").select("key", "rows")
+    placed = nodes.select("short", "rep").join(families, "rep", "left").select("short", "rep", F.coalesce("family", "rep").alias("family"))
+    by_key = Window.partitionBy("key")
+    opened = settle(
+        shared.join(placed, "short").select("key", "rep", F.col("n").cast("long").alias("n"), "family", "rows")
+        .withColumn("lo", F.min("family").over(by_key)).withColumn("hi", F.max("family").over(by_key))
+        .filter("lo < hi").drop("lo", "hi")
     )
-    opened = settle(labelled.join(mixed_keys, "key"))
+    # texts that link share two keys: a large one, whose cells compare all, or two of those whose pairs are listed
     few, many = opened.filter(F.col("rows") <= FEW_ROWS).drop("rows"), opened.filter(F.col("rows") > FEW_ROWS).drop("rows")
     other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("family").alias("f"))
     small = (
         few.withColumnRenamed("rep", "a").join(other, "key")
         .filter("a < b and family <> f").filter((100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-        .select("a", "b").distinct()
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= shared_keys(percent)).select("a", "b")
     )
-    cells = _cells(many.join(nodes.select("rep", F.col("half").alias("bits")), "rep"), "key", percent)
+    cells = _cells(many, "key", percent).join(nodes.select("rep", F.col("half").alias("bits")), "rep")
     cells = cells.select(
         F.xxhash64("key", "b1", "t1", "b2", "t2").alias("cell_id"), "rep", "n", "bits", "family", "left",
         F.expr("b1 = b2 and t1 = t2").alias("one"),
@@ -358,7 +387,7 @@ def _cross_links(shared: DataFrame, nodes: DataFrame, families: DataFrame, docs:
     large = dealt.groupBy("deal").applyInArrow(run, "a long, b long")
     pairs = settle(_possible(small.union(large).distinct(), nodes, percent, "rep"))
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _sets(docs, nodes.join(ids, "rep", "left_semi").select("rep", "doc", "cls"), size)
+    sets = settle(_sets(docs, nodes.join(ids, "rep", "left_semi").select("rep", "doc", "cls"), size))
     a, b = (sets.select(F.col("rep").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
     return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(frugal(exact), "a long, b long"))
 
@@ -381,16 +410,19 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
     rows = rows.select("doc_id", "text")
     posted = _postings(rows.filter("doc_id is not null").select("text"), size, percent, levels)
-    keys = posted.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).filter("lo <> hi")
-    shared = settle(posted.join(keys, "key").distinct())
+    shared = settle(_shared(posted, percent))
+    # a key lists each of its pairs with the least or the greatest digest once
     stars = (
-        shared.select("short", F.explode(F.array("lo", "hi")).alias("other")).filter("short <> other")
-        .select(F.least("short", "other").alias("a"), F.greatest("short", "other").alias("b")).distinct()
+        shared.filter(F.col("short") != F.col("hi.short")).select("short", "n", F.explode(F.array("hi", "lo")).alias("o"))
+        .filter(F.col("short") != F.col("o.short"))
+        .filter(100 * F.least("n", "o.n").cast("long") >= (percent - LOOSER) * F.greatest("n", "o.n").cast("long"))
+        .groupBy(F.least("short", "o.short").alias("a"), F.greatest("short", "o.short").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        .filter(F.col("times") >= shared_keys(percent)).select("a", "b")
     )
     families = components(_possible(stars, nodes, percent - LOOSER), "a", "b").toDF("rep", "family")
     members = nodes.join(families, "rep").select("rep", "doc", "cls", "n", "bits", "family")
-    inner = _family_links(members.join(_sets(rows, members, size), "rep").drop("cls", "doc"), percent)
-    outer = _cross_links(shared.select("key", "short", "n"), nodes, families, rows, size, percent)
+    inner = _family_links(members, _sets(rows, members, size), percent)
+    outer = _cross_links(shared.select("key", "short", "n", "rows"), nodes, families, rows, size, percent)
     comps = components(inner.union(outer), "a", "b").select(F.col("node").alias("rep"), "component")
     grouped = settle(nodes.select("cls", "rep", "doc", "n_same").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     least = grouped.groupBy("component").agg(F.min("doc").alias("component_id"))
@@ -408,8 +440,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     Rows with a null doc_id link with nothing and have no component. Repeated rows come back as often as they come in;
     rows of one doc_id with unlike texts are told apart by their sets; an empty table gives no rows.
 
-    Equal sets are one node from the start. Nodes that share a tile key are compared by bitmap with the key's least and
-    greatest node; those that may be alike form families, which a group of many copies enters by about as many pairs as
+    Equal sets are one node from the start. Nodes that share two keys with a key's least or greatest node are compared
+    with it by bitmap; those that may be alike form families, which a group of many copies enters by about as many pairs as
     it has members. Families are compared cell by cell inside tasks. What shares a key across families is compared by
     bitmap and then exactly. So no group is ever written out as pairs, and no link between components is lost.
     """
