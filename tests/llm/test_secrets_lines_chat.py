@@ -136,3 +136,14 @@ def test_passages_are_shuffled_by_their_places(spark):
     got = line_dedup.passages(docs)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and {(r.doc_id, r.first_doc_id, r.n_places) for r in got.collect()} == {(1, 0, 3), (2, 0, 3)}
+
+
+def test_frequent_lines_meet_one_row_each(spark, monkeypatch):
+    """Places are read once and joined to counts, one to one: no place is left out of that join or comes twice."""
+    monkeypatch.setattr(line_dedup, "HOT_PLACES", 2)
+    line = "One two three four five six seven eight nine."
+    docs = spark.createDataFrame([(k, f"{line}\nOwn {k}.\n{line}") for k in range(400)], "doc_id long, text string")
+    for found in (line_dedup.repeats(docs), line_dedup.passages(docs)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == 1 and "LeftAnti" not in plan and "Union" not in plan
+        assert {(r.first_doc_id, r.n_places) for r in found.collect()} == {(0, 800)} and found.count() == 799

@@ -124,8 +124,8 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     Null and blank texts have no units; rows with a null doc_id have no rank and are left alone; rows that repeat a
     doc_id are one document, whose first places stay in each of them. Other columns are not read; no rows give no rows.
 
-    Units are shuffled once, by digest. A line that a third of all texts has is not: the digests over ``HOT_SHARE`` of
-    all units number 100,000 at most, a few megabytes, and go to where the units are.
+    Units are shuffled once, by digest; those of a line that a third of all texts has go to any task. The digests over
+    ``HOT_SHARE`` of all units number 100,000 at most, a few megabytes, and go to where the units are.
     """
     joined = _later(settle(units(docs, least_words)))
     return joined.select("doc_id", "start", "end", "first_doc_id", "n_places")
@@ -155,12 +155,17 @@ def _later(found: DataFrame) -> DataFrame:
     """The rows of ``found`` whose digest has an earlier place, with ``first_doc_id`` and ``n_places``.
 
     Which digests are frequent is told from a part of the rows; that decides how a digest's rows meet, never what comes
-    out. Frequent ones are counted in full and broadcast, the rows of all others meet in one shuffle.
+    out. Frequent ones are counted in full and broadcast, one row each, so that a place meets one row at most; the places
+    of all others meet in one shuffle, through which those of frequent ones go wherever there is room.
     """
     some = found.filter(F.pmod(F.xxhash64(*found.columns), F.lit(HOT_PART)) == 0).groupBy(*DIGEST).count()
-    hot = settle(some.filter(F.col("count") * HOT_PART > max(HOT_PLACES, int(found.count() * HOT_SHARE))).select(*DIGEST))
+    hot = settle(some.filter(F.col("count") * HOT_PART > max(HOT_PLACES, int(found.count() * HOT_SHARE))).select(*DIGEST, F.lit(True).alias("hot")))
     first, places = F.min("doc_id"), F.count(F.lit(1))
-    often = settle(found.join(F.broadcast(hot), DIGEST, "left_semi").groupBy(*DIGEST).agg(first.alias("first_doc_id"), places.alias("n_places")))
-    same = Window.partitionBy(*DIGEST)
-    rest = found.join(F.broadcast(hot), DIGEST, "left_anti").withColumn("first_doc_id", first.over(same)).withColumn("n_places", places.over(same))
-    return found.join(F.broadcast(often), DIGEST).unionByName(rest).filter("doc_id <> first_doc_id or nth > 0")
+    # all others are one group without a digest, which meets nothing
+    own = [F.when(F.col("hot"), F.col(c)).alias(c) for c in DIGEST]
+    often = settle(found.join(F.broadcast(hot), DIGEST, "left").groupBy(*own).agg(first.alias("first_often"), places.alias("often")))
+    deal = F.when(F.col("often").isNotNull(), F.xxhash64("doc_id", "nth")).otherwise(0)
+    same = Window.partitionBy(*DIGEST, "deal")
+    told = found.join(F.broadcast(often), DIGEST, "left").withColumn("deal", deal).select(
+        *found.columns, F.coalesce("first_often", first.over(same)).alias("first_doc_id"), F.coalesce("often", places.over(same)).alias("n_places"))
+    return told.filter("doc_id <> first_doc_id or nth > 0")
