@@ -60,3 +60,16 @@ def test_recordings_of_several_classes(spark):
         assert all(len(k) == 4 for k in classes_on(s.seed, s.test_size, units))
         row = splits.coverage(df, "u", "c", [s]).first()
         assert row.classes == row.train_classes == row.test_classes == 4
+
+
+def test_sums_of_sides_equal_assigned_rows(spark):
+    df = spark.range(900).select((F.col("id") % 211).alias("u"), (F.col("id") % 3).alias("c"), F.col("id").alias("v"))
+    drawn = splits.sealed_splits(df, "u", "c", (0.1, 0.5, 0.9), 3) + [splits.Split(7, 0.0, 111, ""), splits.Split(8, 1.0, 5, "g")]
+    sided = splits.assign(df, "u", drawn)
+    # a row is hashed once per seed, below the list of that seed's splits
+    plan = sided._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(i for i, line in enumerate(plan) if "md5(" in line) > min(i for i, line in enumerate(plan) if "Generate" in line)
+    want = sided.groupBy("run", "test_size", "c").agg(
+        F.sum(F.when(F.col("side") == "train", F.col("v"))).alias("train"), F.sum(F.when(F.col("side") == "test", F.col("v"))).alias("test"))
+    got = splits.side_sums(df, "u", drawn, ["c"], F.col("v"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3 * len(drawn)

@@ -138,12 +138,40 @@ def assign(df: DataFrame, unit: str, splits: Sequence[Split]) -> DataFrame:
         for seed, group in by_seed.items()
     ])
     seeded = df.select("*", F.explode(rules).alias("_s"))
-    hashed = seeded.select(*df.columns, F.explode("_s.rules").alias("_r"), unit_hash(F.col("_s.seed"), unit).alias("_h"))
+    # hashed before the rules are listed: what stands beside an explode is made for each of its rows
+    hashed = seeded.select(*df.columns, F.col("_s.rules").alias("_rules"), unit_hash(F.col("_s.seed"), unit).alias("_h"))
+    hashed = hashed.select(*df.columns, F.explode("_rules").alias("_r"), "_h")
     return hashed.select(
         *df.columns, "_r.run", "_r.test_size", F.when(F.col("_h") <= F.col("_r.limit"), "test").otherwise("train").alias("side")
     )
 
 
+def side_sums(df: DataFrame, unit: str, splits: Sequence[Split], keys: Sequence[str], value: Column) -> DataFrame:
+    """``(run, test_size, keys, train, test)``: sums of ``value`` on each side of each split, NULL where a side has no row.
+
+    A row is hashed once per seed and placed between the limits of that seed; it is summed there, and only these sums are
+    repeated per split. ``value`` is a long.
+    """
+    limits: dict[int, list[str]] = {}
+    for s in splits:
+        limits[s.seed] = sorted({*limits.get(s.seed, ()), s.limit})
+    hashed = df.select(*keys, value.alias("_v"), *[unit_hash(seed, unit).alias(f"_h{i}") for i, seed in enumerate(limits)])
+    places = [sum(((F.col(f"_h{i}") > F.lit(x)).cast("int") for x in known), F.lit(0)) for i, known in enumerate(limits.values())]
+    placed = hashed.select(*keys, "_v", *[p.alias(f"_p{i}") for i, p in enumerate(places)])
+    each = placed.select(*keys, "_v", F.explode(F.array(*[
+        F.struct(F.lit(seed).alias("seed"), F.col(f"_p{i}").alias("place")) for i, seed in enumerate(limits)])).alias("_s"))
+    sums = each.groupBy(F.col("_s.seed").alias("_seed"), F.col("_s.place").alias("_place"), *keys).agg(F.sum("_v").alias("_v"))
+    rules = F.array(*[
+        F.struct(F.lit(s.run).alias("run"), F.lit(s.test_size).alias("test_size"), F.lit(s.seed).alias("seed"),
+                 F.lit(limits[s.seed].index(s.limit)).alias("place"))
+        for s in splits
+    ])
+    ruled = sums.select("*", F.explode(F.filter(rules, lambda r: r["seed"] == F.col("_seed"))).alias("_r"))
+    # a hash within a limit lies above none but the limits below that one
+    test = F.col("_place") <= F.col("_r.place")
+    return ruled.groupBy("_r.run", "_r.test_size", *keys).agg(F.sum(F.when(~test, F.col("_v"))).alias("train"), F.sum(F.when(test, F.col("_v"))).alias("test"))
+
+
 def membership(df: DataFrame, unit: str, splits: Sequence[Split], name: str = "in_test") -> DataFrame:
     """One row per row: array of booleans, true where it is a test row of split i."""
     flags = [unit_hash(s.seed, unit) <= F.lit(s.limit) for s in splits]

@@ -190,11 +190,8 @@ def _majority_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy in percent of the commonest flag of the train orders on the test orders, per size and run."""
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
     drawn = splits.sealed_splits(li, "l_orderkey", "l_returnflag", GRID, 2, SEED)
-    per = li.groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("c"))
-    sided = splits.assign(per, "l_orderkey", drawn)
-    folded = sided.groupBy("run", "test_size", "l_returnflag").agg(
-        F.sum(F.when(F.col("side") == "train", F.col("c"))).alias("tr"), F.sum(F.when(F.col("side") == "test", F.col("c"))).alias("te")
-    )
+    folded = splits.side_sums(li, "l_orderkey", drawn, ["l_returnflag"], F.lit(1).cast("long"))
+    folded = folded.withColumnsRenamed({"train": "tr", "test": "te"})
     return folded.groupBy("run", "test_size").agg(
         (F.max_by("te", F.struct("tr", "l_returnflag")) * 100.0 / F.sum("te")).alias("acc")
     )
