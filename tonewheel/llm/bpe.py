@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewheel.llm.shared import kept, maybe_broadcast
+from tonewheel.llm.shared import frugal, kept, maybe_broadcast
 from tonewheel.session import settle
 
 #: Code points of a chunk without its overlap, and how far it reads on into the next one.
 CHUNK, OVERLAP = 16_384, 1_024
 #: Chunks that a very long text is first cut into together.
 STRETCH = 64
+#: Chunks that a worker turns into Python strings at a time.
+CHUNK_ROWS = 100
 CACHE_PIECES = 200_000
 PART = pa.struct([("k", pa.int32()), ("last", pa.int32()), *[(name, pa.binary()) for name in ("ids", "head", "tail")]])
 PART_DDL = "struct<k:int,last:int,ids:binary,head:binary,tail:binary>"
@@ -157,7 +159,7 @@ def _encoded_chunks(docs: DataFrame, path: str, pattern: str, chunk: int, overla
             yield pa.record_batch([batch.column("_row"), batch.column("doc_id"), pa.array(parts, PART)], names=["_row", "doc_id", "part"])
 
     return _chunks(docs.select("_row", "doc_id", "text"), chunk, overlap).mapInArrow(
-        run, f"_row string, doc_id long, part {PART_DDL}"
+        frugal(run, CHUNK_ROWS), f"_row string, doc_id long, part {PART_DDL}"
     )
 
 
@@ -209,7 +211,7 @@ def stitched(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overl
 
     gathered = _encoded_chunks(docs, path, pattern, chunk, overlap).groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list("part")).alias("parts"))
-    return gathered.mapInArrow(run, "_row string, doc_id long, ids array<int>")
+    return gathered.mapInArrow(frugal(run), "_row string, doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -234,7 +236,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            found = [(None, None, None) if ids is None else _digests(c, ids) for ids in batch.column(2).to_pylist()]
+            found = [(None, None, None) if ids is None else _digests(c, ids) for ids in (x.as_py() for x in batch.column(2))]
             yield _finished(batch.column(1).to_pylist(), found, [batch.column(0)], ["_row"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -243,10 +245,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     keyed = rows.filter(size > chunk).withColumn("_key", digest)
     # rows of one text and id are told apart by their places
     placed = keyed.withColumn("_row", F.concat_ws(":", "_key", F.monotonically_increasing_id().cast("string")))
-    told = settle(stitched(placed, path, pattern, chunk, overlap).mapInArrow(long, f"{schema}, _row string"))
+    told = settle(stitched(placed, path, pattern, chunk, overlap).mapInArrow(frugal(long), f"{schema}, _row string"))
     stuck = told.filter("n_tokens is null").select(F.substring_index("_row", ":", 1).alias("_key")).distinct()
-    results = rows.filter(size <= chunk).mapInArrow(short, schema).union(told.filter("n_tokens is not null").drop("_row"))
+    results = rows.filter(size <= chunk).mapInArrow(frugal(short), schema).union(told.filter("n_tokens is not null").drop("_row"))
     if stuck.isEmpty():
         return results
     rest = keyed.join(maybe_broadcast(stuck), "_key", "left_semi").select("doc_id", "text")
-    return results.union(rest.mapInArrow(short, schema))
+    return results.union(rest.mapInArrow(frugal(short), schema))

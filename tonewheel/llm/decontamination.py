@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewheel.llm.prints import joined_bytes, run_hashes, text_shingles, word_hashes
-from tonewheel.llm.shared import maybe_broadcast
+from tonewheel.llm.shared import frugal, maybe_broadcast
 from tonewheel.session import settle
 
 K1, B = 1.2, 0.75
@@ -20,7 +20,9 @@ BLOCK_ITEMS = 8
 #: Items of one index: its dense block maxima stay below some tens of megabytes. More items make more indexes.
 SHARD_ITEMS = 2_048
 SHINGLE = 5
-TEXTS_BYTES = 1 << 20
+TEXTS_BYTES = 1 << 18
+#: Block maxima, or their sums, that a worker holds at a time.
+CELLS = 1 << 19
 # Ends of sentences.
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -95,7 +97,7 @@ def _counted_words(items: DataFrame) -> DataFrame:
                 pa.array([len(words), *[0] * len(terms)], pa.int64()),
             ], names=["word", "held", "said"])
 
-    made = items.select("text").mapInArrow(run, "word long, held long, said long")
+    made = items.select("text").mapInArrow(frugal(run), "word long, held long, said long")
     return made.groupBy("word").agg(F.sum("held").alias("held"), F.sum("said").alias("said"))
 
 
@@ -125,40 +127,55 @@ def indexes(items: DataFrame) -> Iterator[Index]:
             yield built([ids[k] for k in full], [texts[k] for k in full], (count, by_term, said / count))
 
 
+def _half_sums(block_max: np.ndarray, place: np.ndarray, half_of: np.ndarray, halves: int) -> np.ndarray:
+    """Block maxima added up over the words of each half window, CELLS of them at a time."""
+    sums = np.zeros((halves, block_max.shape[1]), dtype=np.float64)
+    step = max(1, CELLS // block_max.shape[1])
+    for lo in range(0, len(place), step):
+        own = half_of[lo: lo + step]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[first]] += np.add.reduceat(block_max[place[lo: lo + step]], first, axis=0, dtype=np.float64)
+    return sums
+
+
 def _answers(index: Index, words: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
     """``text, item, score`` of all passages at or over the threshold, the best passage of each text and item.
 
     Passages are windows of twice the longest item's words, half a window apart, so every item that a text holds lies
-    whole in one. First the block maxima of a passage's words are added up for all passages and blocks at once, an upper
-    bound of every item in the block; only blocks over the threshold have their items scored.
+    whole in one. First the block maxima of a passage's words are added up for many passages and all blocks at once, an
+    upper bound of every item in the block; only blocks over the threshold have their items scored. Memory is a few
+    numbers a word and a bounded part, whatever the number of blocks.
     """
     place = np.searchsorted(index.terms, words)
     place[place == len(index.terms)] = 0
-    known = index.terms[place] == words
-    at = np.flatnonzero(known)
-    place, blocks = place[at], index.block_max.shape[1]
+    at = np.flatnonzero(index.terms[place] == words)
     if not len(at):
         return []
-    sums = np.zeros((len(at) + 1, blocks), dtype=np.float64)
-    np.cumsum(index.block_max[place], axis=0, out=sums[1:])
+    place = place[at]
     half = index.window // 2
     length = np.diff(bounds)
     count = np.where(length > 0, np.maximum(1, -(-(length - half) // half)), 0)
     text = np.repeat(np.arange(len(length)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    lo = bounds[text] + nth * half
-    hi = np.minimum(lo + index.window, bounds[text + 1])
-    lo, hi = np.searchsorted(at, lo), np.searchsorted(at, hi)
-    passage, block = np.nonzero(sums[hi] - sums[lo] >= threshold - 1e-6)
+    # a text has one half window more than passages: a passage is a half window and the next
+    begin = np.cumsum(count + (count > 0)) - count - (count > 0)
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    half_of = begin[owner] + (at - bounds[owner]) // half
+    first_half = np.arange(len(text)) + np.cumsum(count > 0)[text] - 1
+    lo, hi = np.searchsorted(half_of, first_half), np.searchsorted(half_of, first_half + 2)
     best: dict[tuple[int, int], float] = {}
-    for p in np.unique(passage).tolist():
-        asked = np.unique(place[lo[p]: hi[p]])
-        for b in block[slice(*np.searchsorted(passage, (p, p + 1)))].tolist():
-            first = b * BLOCK_ITEMS
-            scores = index.impact[asked, first: first + BLOCK_ITEMS].sum(axis=0)
-            for k in np.flatnonzero(scores >= threshold).tolist():
-                key = int(text[p]), first + k
-                best[key] = max(best.get(key, 0.0), float(scores[k]))
+    step = max(1, CELLS // index.block_max.shape[1])
+    for begun in range(0, len(text), step):
+        mine = first_half[begun: begun + step]
+        a, b = lo[begun], hi[min(begun + step, len(text)) - 1]
+        sums = _half_sums(index.block_max, place[a:b], half_of[a:b] - mine[0], mine[-1] - mine[0] + 2)
+        passage, block = np.nonzero(sums[mine - mine[0]] + sums[mine - mine[0] + 1] >= threshold - 1e-6)
+        for p in np.unique(passage).tolist():
+            asked = np.unique(place[lo[begun + p]: hi[begun + p]])
+            for k0 in (block[slice(*np.searchsorted(passage, (p, p + 1)))] * BLOCK_ITEMS).tolist():
+                scores = index.impact[asked, k0: k0 + BLOCK_ITEMS].sum(axis=0)
+                for k in np.flatnonzero(scores >= threshold).tolist():
+                    key = int(text[begun + p]), k0 + k
+                    best[key] = max(best.get(key, 0.0), float(scores[k]))
     return [(t, k, s) for (t, k), s in best.items()]
 
 
@@ -189,9 +206,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
                     words, _, _, bounds = word_hashes(*joined_bytes(texts))
                     found = _answers(index, words, bounds, threshold)
                     for t, k, score in found:
-                        own = words[bounds[t]: bounds[t + 1]]
-                        runs = np.concatenate([run_hashes(own, size, SHINGLE) for size in range(1, SHINGLE + 1)])
-                        held = [float(np.isin(side[k], runs).mean()) if len(side[k]) else 1.0 for side in (index.question, index.answer)]
+                        sides = [index.question[k], index.answer[k]]
+                        there = [np.zeros(len(side), dtype=bool) for side in sides]
+                        for size in range(1, SHINGLE + 1):
+                            runs = run_hashes(words[bounds[t]: bounds[t + 1]], size, SHINGLE)
+                            there = [known | np.isin(side, runs) for side, known in zip(sides, there, strict=True)]
+                        held = [float(known.mean()) if len(known) else 1.0 for known in there]
                         if min(held) >= overlap:
                             out.append((part.column(0)[t].as_py(), int(index.ids[k]), score, *held))
                 yield pa.record_batch(
@@ -199,7 +219,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(frugal(run), schema)
 
     found = None
     for index in indexes(items):
@@ -213,8 +233,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: fl
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of about a megabyte of text, or one longer text."""
-    sizes = np.cumsum(np.array([0, *(len(t) if t else 0 for t in batch.column(1).to_pylist())]))
+    """Slices of about TEXTS_BYTES of text, or one longer text."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum([0, *pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()])
     row = 0
     while row < batch.num_rows:
         upto = max(row + 1, int(np.searchsorted(sizes, sizes[row] + TEXTS_BYTES, side="right")) - 1)
